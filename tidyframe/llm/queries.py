@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, exact_dedup, pieces, simhash, token_count, toxicity, url_filter
+from . import chat, decontam, exact_dedup, language_model, pieces, simhash, token_count, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,13 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"), keep="most")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of those outside the held-out seventh."""
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    scored = language_model.score_texts(_table(spark, sf_dir, "documents"), ~held)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model of the labelled rows outside the held-out third."""
     fold = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 3 == 1
@@ -63,7 +70,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", fold("doc_id").alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_token_counts, op4_sentencepiece, op5_url_filters, op6_chat_format, op7_exact_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_token_counts, op4_sentencepiece, op5_url_filters, op6_chat_format, op7_exact_dedup, op9_lm_scoring, op10_toxicity)}
 
 
 
