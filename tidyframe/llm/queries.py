@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, exact_dedup, language_model, pieces, simhash, token_count, toxicity, url_filter
+from . import chat, decontam, exact_dedup, language_model, pieces, simhash, token_count, toxicity, url_filter, warc
+from .shared import shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +57,23 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"), keep="most")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives of all pages hold: digests of the payloads read back, and which records refer to which."""
+    path = shared_folder(spark, "warc")
+    warc.write_warc(_table(spark, sf_dir, "pages"), path)
+    read = warc.read_warc(spark, path)
+    page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).cast("bigint")
+    whole = F.col("record_type") == "response"
+    digest = F.when(whole, warc.base32(F.sha1("payload"))).otherwise(F.regexp_replace("payload_digest", "^sha1:", ""))
+    return read.select(
+        page("record_id").alias("page_id"),
+        F.when(whole, F.octet_length("payload")).otherwise(F.col("payload_length")).cast("bigint").alias("payload_bytes"),
+        digest.alias("payload_digest"),
+        "record_type",
+        F.when(~whole, page("refers_to")).alias("refers_to"),
+    )
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model of those outside the held-out seventh."""
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
@@ -70,7 +88,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", fold("doc_id").alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_token_counts, op4_sentencepiece, op5_url_filters, op6_chat_format, op7_exact_dedup, op9_lm_scoring, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_token_counts, op4_sentencepiece, op5_url_filters, op6_chat_format, op7_exact_dedup, op8_warc, op9_lm_scoring, op10_toxicity)}
 
 
 
@@ -124,6 +142,13 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, said) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(4 + length(role) + 2 + length(said) + 7)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op8_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT page_id, octet_length(encode(t))::BIGINT AS payload_bytes, sha1(t) AS h, max(page_id) OVER (PARTITION BY t) AS first FROM p)
+SELECT page_id, payload_bytes,
+       (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) % 32, 1), '' ORDER BY i) FROM range(32) r(i)) AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, nullif(first, page_id) AS refers_to
+FROM d""",
     "op7_exact_dedup": """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
