@@ -21,7 +21,7 @@ from .shared import slices
 BITS = 20
 #: Labelled rows that the model is fitted on, at most: those with the least hashed ids.
 SAMPLE_ROWS = 8000
-ALPHA, BETA, L1, L2, EPOCHS, TOXIC_WEIGHT, THRESHOLD = 2.0, 1.0, 12.0, 0.1, 4, 5.0, 0.7
+ALPHA, BETA, L1, L2, EPOCHS, TOXIC_WEIGHT, THRESHOLD = 3.0, 1.0, 12.0, 0.03, 4, 5.0, 0.7
 #: Lengths of the stems that stand beside a word; words remembered by a worker.
 STEMS = (4, 5, 6)
 _WORDS = 300_000

@@ -52,8 +52,8 @@ def revisits(rows: DataFrame, least_bytes: int = 0) -> DataFrame:
     return joined.withColumn("refers_to", F.when(F.col("id") != F.col("first"), F.col("first"))).drop("first")
 
 
-def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", compression: str = "gzip") -> None:
-    """Writes a response or revisit record for each row of ``pages`` below ``path``.
+def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", compression: str = "gzip", records_per_file: int = 20_000) -> None:
+    """Writes a response or revisit record for each row of ``pages`` below ``path``, ``records_per_file`` to an archive.
 
     Payload: the text in UTF-8, null as empty. Of equal payloads of ``least_bytes`` or more the row
     with the largest id is the response; the others are revisits, which hold no payload but name
@@ -84,7 +84,7 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "1
         _line("Content-Type", F.lit("application/http; msgtype=response")),
     )
     record = F.concat(head, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF + CRLF), block)
-    rows.select(record.alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", compression).text(path)
+    rows.select(record.alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", compression).option("maxRecordsPerFile", records_per_file).text(path)
 
 
 class _Files(InputPartition):
