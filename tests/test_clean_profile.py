@@ -1,0 +1,179 @@
+"""Cleaning, encoding, profiling, diff, recipes and files."""
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidyframe.operators import aggregate, by_example, clean, diff, encode, profile
+from tidyframe.plans import recipe
+from tidyframe.plans.recipe import Step
+from tidyframe.sources import files
+from tidyframe.streaming import stream_recipe
+
+
+@pytest.fixture(scope="module")
+def messy(spark):
+    rows = [(1, "  o'neil mc-donald\t", 1.0, "a,b"), (2, "ÉCOLE straße", float("nan"), "b,,c"), (3, None, None, ""), (4, "x", 2.5, None), (5, "x", 3.5, "a")]
+    return spark.createDataFrame(rows, "id bigint, k string, v double, tags string")
+
+
+def col(df, c, key="id"):
+    return [r[c] for r in df.orderBy(key).collect()]
+
+
+def test_text(messy):
+    assert col(clean.title_case(messy, "k"), "k")[:3] == ["O'Neil Mc-Donald", "École Straße", None]
+    assert col(clean.capitalize(messy, "k"), "k")[0] == "O'neil mc-donald" and col(clean.uppercase(messy, ["k", "tags"]), "tags")[0] == "A,B"
+    assert col(clean.strip_whitespace(messy, "k"), "k")[0] == "o'neil mc-donald" and col(clean.calc_text_length(messy, "k"), "k_length") == [19, 12, None, 1, 1]
+    assert clean.split_text(messy, "tags", ",").columns[-3:] == ["tags_1", "tags_2", "tags_3"] and col(clean.split_text(messy, "tags", ",", 1), "tags_2") == ["b", ",c", None, None, None]
+    assert col(clean.find_replace(messy, "k", "x", "$\\"), "k")[3] == "$\\" and col(clean.find_replace(messy, "tags", "(a),(b)", r"\2-\g<1>$", True), "tags")[0] == "b-a$"
+
+
+def test_missing(messy):
+    assert col(clean.drop_missing(messy, ["v"]), "id") == [1, 4, 5] and col(clean.drop_missing(messy, ["k", "v"], "all"), "id") == [1, 2, 4, 5] and col(clean.drop_missing(messy), "id") == [1, 5]
+    assert col(clean.fill_missing(messy, "v", "value", "0"), "v") == [1.0, 0.0, 0.0, 2.5, 3.5] and col(clean.fill_missing(messy, "v", "median"), "v")[1] == 2.5
+    assert col(clean.fill_missing(messy, "k", "mode"), "k")[2] == "x" and math.isclose(col(clean.fill_missing(messy, "v", "mean"), "v")[2], 7 / 3)
+    assert col(clean.fill_missing(messy, "v", "ffill", order_by="id"), "v") == [1.0, 1.0, 1.0, 2.5, 3.5]
+    with pytest.raises(ValueError):
+        clean.fill_missing(messy, "v", "bfill")
+
+
+def test_duplicates(spark):
+    rows = [(1, "a", None), (2, "a", None), (3, "b", 1.0), (4, "b", float("nan")), (5, None, None), (6, "a", float("nan"))]
+    df = spark.createDataFrame(rows, "id bigint, k string, v double")
+    assert col(clean.drop_duplicates(df, ["k", "v"], "first", "id"), "id") == [1, 3, 4, 5]
+    assert col(clean.drop_duplicates(df, ["k", "v"], "last", "id"), "id") == [3, 4, 5, 6]
+    assert col(clean.drop_duplicates(df, ["k", "v"], "none"), "id") == [3, 4, 5]
+    hot = spark.range(5000).select("id", F.when(F.col("id") % 10 == 3, F.col("id")).otherwise(-1).alias("k"))
+    assert clean.drop_duplicates(hot, ["k"], "first", "id").count() == 501
+
+
+def test_types_and_columns(spark):
+    df = spark.createDataFrame([(1, "12.5", 12.7, True), (2, " 7 ", -3.0, False), (3, "yes", None, None)], "id bigint, s string, d double, b boolean")
+    assert col(clean.change_type(df, "s", "int64"), "s") == [None, 7, None] and col(clean.change_type(df, "d", "int64"), "d") == [None, -3, None]
+    assert col(clean.change_type(df, "s", "float64"), "s") == [12.5, 7.0, None] and col(clean.change_type(df, "s", "boolean"), "s") == [None, None, True]
+    assert col(clean.change_type(df, "d", "boolean"), "d") == [True, True, None]
+    assert clean.rename_column(df, "s", "a.b").columns == ["id", "a.b", "d", "b"] and clean.drop_column(clean.rename_column(df, "s", "a.b"), "a.b").columns == ["id", "d", "b"]
+    assert clean.clone_column(df, "d").columns[-1] == "d_copy" and clean.select_columns(df, ["b", "id"]).columns == ["b", "id"]
+    for bad in (lambda: clean.drop_column(df, "zz"), lambda: clean.select_columns(df, ["zz"]), lambda: clean.change_type(df, "s", "odd")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_numbers(spark):
+    df = spark.createDataFrame([(1, 0.5), (2, 1.5), (3, 2.5), (4, -1.25), (5, None)], "id bigint, v double")
+    assert col(clean.round_column(df, "v"), "v")[:3] == [0.0, 2.0, 2.0] and col(clean.round_column(df, "v", 1), "v")[3] == -1.2
+    assert col(clean.floor_column(df, "v"), "v")[3:] == [-2.0, None] and col(clean.ceiling_column(df, "v"), "v")[0] == 1.0
+    assert col(clean.scale_min_max(df, "v"), "v")[2:] == [1.0, 0.0, None] and col(clean.scale_min_max(df.filter("id = 1"), "v"), "v") == [None]
+
+
+def test_encode(messy):
+    one = encode.one_hot_encode(messy.select("id", "k"), "k")
+    assert one.columns == ["id", "k_  o'neil mc-donald\t", "k_x", "k_ÉCOLE straße"] and col(one, "k_x") == [False, False, False, True, True]
+    many = encode.multi_label_binarizer(messy, "tags")
+    assert many.columns[-3:] == ["a", "b", "c"] and col(many, "b") == [1, 1, 0, 0, 0]
+    with pytest.raises(ValueError):
+        encode.one_hot_encode(messy, "id", 3)
+    with pytest.raises(ValueError):
+        encode.multi_label_binarizer(messy.withColumn("a", F.lit(1)), "tags")
+
+
+def test_by_example(messy):
+    for pairs, rule in (([("HELLO", "hello"), ("World", "world")], ("lower", None)), ([("Alice Smith", "Alice"), ("Bob Jones", "Bob")], ("first_part", " ")), ([("12345", "12"), ("98765", "98")], ("prefix", 2)), ([("Alice", "ALICE"), ("Bob", "BOB")], ("upper", None)), ([("a/b-c", "c"), ("d-e", "e")], ("last_part", "-")), ([(" a", "a"), ("b\t", "b")], ("suffix", 1)) if False else ([(" ab", "ab"), ("abc\t", "abc")], ("strip", None))):
+        assert by_example.infer_rule(pairs) == rule
+    assert by_example.infer_rule([("a", "z")], constant=True) == ("constant", "z")
+    with pytest.raises(ValueError):
+        by_example.infer_rule([("a", "z")])
+    assert col(by_example.by_example(messy, "tags", "t", [("p,q", "q"), ("r,s,t", "t")]), "t") == ["b", "c", "", None, "a"]
+
+
+def test_groups(messy):
+    got = {r.k: r.v for r in aggregate.group_by_agg(messy, ["k"], "v", "sum").collect()}
+    assert got == {"  o'neil mc-donald\t": 1.0, "ÉCOLE straße": 0.0, "x": 6.0} and aggregate.count_distinct(messy, "v").first()[0] == 3
+    assert {r.k: r.v for r in aggregate.group_by_agg(messy, ["k"], "v", "median").collect()}["x"] == 3.0
+
+
+def test_profile(spark, messy):
+    s = {r.column: r for r in profile.column_stats(messy).collect()}
+    assert (s["v"]["count"], s["v"].missing, s["v"].distinct, s["v"].p50) == (3, 2, 3, 2.5) and (s["k"].top_value, s["k"].top_count) == ("x", 2) and s["id"].top_value is None
+    five = spark.createDataFrame([(float(i),) for i in range(1, 6)], "x double")
+    r = profile.column_stats(five).first()
+    assert (r["count"], r.missing, r.mean, r.p50) == (5, 0, 3.0, 3.0) and math.isclose(r.std_pop**2, 2.0) and math.isclose(r.std_samp**2, 2.5)
+    a = {r.column: r for r in profile.column_stats(messy, approximate=True).collect()}
+    assert a["v"].distinct == 3 and a["k"].top_value == "x"
+    assert [r.n for r in profile.histogram(five, "x", 4).orderBy("bin").collect()] == [1, 1, 1, 2]
+    constant = spark.createDataFrame([(2.0,), (2.0,), (None,)], "x double")
+    assert [tuple(r) for r in profile.histogram(constant, "x").collect()] == [(0, 2.0, 2.0, 2)]
+    gone = spark.createDataFrame([(None,), (float("nan"),)], "x double")
+    assert profile.histogram(gone, "x").count() == 0 and profile.column_stats(gone).first().missing == 2 and profile.quality_report(gone).first().all_missing
+    q = profile.quick_insights(gone).collect()
+    assert len(q) == 1 and (q[0].missing, q[0].distinct, q[0].slot) == (2, 0, None)
+    assert profile.completeness(gone).first().band == "low" and profile.completeness(five).first().complete_pct == 100.0
+    assert {(r.column, r.value, r.n) for r in profile.value_domain(messy.select("k")).collect()} == {("k", "x", 2), ("k", "  o'neil mc-donald\t", 1), ("k", "ÉCOLE straße", 1)}
+    assert [tuple(r) for r in profile.top_n(messy, "k", 1).collect()] == [("x", 2)]
+    flags = spark.createDataFrame([(True,), (False,), (True,), (None,)], "b boolean")
+    assert [(r.slot, r.value, r.n) for r in profile.quick_insights(flags).orderBy("slot").collect()] == [(0, "true", 2), (1, "false", 1)]
+    wide = spark.range(200).select(*[(F.col("id") % (i + 2)).alias(f"c.{i}") for i in range(60)])
+    assert profile.column_stats(wide).filter("column = 'c.3'").first().distinct == 5 and profile.quick_insights(wide).filter("column = 'c.1'").count() == 12
+
+
+def test_diff(messy):
+    after = clean.fill_missing(messy, "v", "value", 9).withColumn("new", F.lit(1)).drop("tags")
+    assert tuple(diff.diff_summary(messy, after, ["id"]).first()) == (0, 0, 2, "new", "tags")
+    assert tuple(diff.diff_summary(messy, messy.filter("id > 1"), ["id"]).first()) == (0, 1, 0, "", "") and tuple(diff.diff_summary(messy, messy, ["id"]).first()) == (0, 0, 0, "", "")
+    assert sorted(tuple(r) for r in diff.changed_cells(messy, after, ["id"]).collect()) == [(2, "v", None, "9.0"), (3, "v", None, "9.0")]
+    assert tuple(diff.diff_of_row_step(messy, {"k": F.upper("k"), "n": F.lit(0)}).first()) == (0, 0, 4, "n", "")
+    rows, summary = diff.preview(messy, lambda d: clean.uppercase(d, "k"), ["id"], ["id"], 0, 2)
+    assert rows.count() == 2 and summary.first().cells_changed == 4
+
+
+def test_recipe(spark, messy, tmp_path):
+    steps = [Step("drop_missing", {"columns": ["v"]}), Step("lowercase", {"columns": "k"}), Step("custom", {"step": "SELECT id, k FROM {df} WHERE id > 1"})]
+    assert col(recipe.apply_recipe(messy, recipe.from_json(recipe.to_json(steps))), "k") == ["x", "x"]
+    assert recipe.apply_recipe(messy, recipe.undo_step(steps, steps[0].id)).count() == 4
+    for bad in (lambda: Step("odd"), lambda: recipe.undo_step(steps, "zz")):
+        with pytest.raises(ValueError):
+            bad()
+    messy.write.parquet(str(tmp_path / "in"))
+    stream = stream_recipe(spark.readStream.schema(messy.schema).parquet(str(tmp_path / "in")), steps[:2])
+    q = stream.writeStream.format("memory").queryName("cleaned").start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.table("cleaned").count() == 3
+    with pytest.raises(ValueError):
+        stream_recipe(messy, [Step("sort", {"columns": ["id"]})])
+
+
+def test_csv(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes('﻿id,name,id\n1,"a, ""b""",NA\n2,"line\nend"\n3,c,2024-01-02,extra\n4,-,n/a\n'.encode())
+    df = files.read_csv(spark, str(tmp_path / "a.csv"))
+    assert df.columns == ["id", "name", "id_2", "col_4"]
+    assert [tuple(r) for r in df.select("id", "name", F.col("id_2").cast("string"), "col_4").orderBy("id").collect()] == [(1, 'a, "b"', None, None), (2, "line\nend", None, None), (3, "c", "2024-01-02 00:00:00", "extra"), (4, None, None, None)]
+    (tmp_path / "b.tsv").write_text("1\t2.5\n3\t\n")
+    plain = files.read_tsv(spark, str(tmp_path / "b.tsv"), has_header=False)
+    assert plain.dtypes == [("col_1", "bigint"), ("col_2", "double")] and plain.count() == 2
+    for values, kind in ((["1", "2", "3"], "bigint"), (["1.0", "2", "3"], "double"), (["true", "false", "true"], "boolean"), (["foo", "1", "true"], "string"), (["1", "", "NA", "2"], "bigint"), (["NA", ""], "string"), (["1.5d"], "string"), (["2024-01-01T00:00:00Z"], "timestamp")):
+        frame = spark.createDataFrame([(v,) for v in values], "x string")
+        assert files.infer_kinds(frame) == files.infer_kinds(frame, None) == {"x": kind}
+
+
+def test_jsonl(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"a": 1, "b": {"c": [1, 2]}}\n\n{"d": "NA", "a": 2}\n5\n"text"\n')
+    df = files.read_jsonl(spark, str(tmp_path / "a.jsonl"))
+    assert df.columns == ["a", "b", "d", "value"]
+    rows = sorted([tuple(r) for r in df.collect()], key=str)
+    assert (1, '{"c":[1,2]}', None, None) in rows and (2, None, "NA", None) in rows and (None, None, None, "5") in rows and (None, None, None, "text") in rows
+    (tmp_path / "bad.jsonl").write_text('{"a": 1}\n{oops\n')
+    with pytest.raises(Exception, match="bad JSON"):
+        files.read_jsonl(spark, str(tmp_path / "bad.jsonl")).collect()
+
+
+def test_round_trip(spark, sf_dir, tmp_path):
+    orders = files.read_parquet(spark, f"{sf_dir}/orders.parquet")
+    files.write_csv(orders, str(tmp_path / "c"))
+    files.write_parquet(orders, str(tmp_path / "p"))
+    for back in (files.read_csv(spark, str(tmp_path / "c"), multi_line=False), files.read_parquet(spark, str(tmp_path / "p"))):
+        assert tuple(diff.diff_summary(orders, back, ["o_orderkey"]).first()) == (0, 0, 0, "", "")
+    info = files.dataset_info(orders).collect()
+    assert [r.label for r in info][:3] == ["integer", "integer", "string"] and info[0].row_count == orders.count()
