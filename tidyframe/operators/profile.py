@@ -1,7 +1,8 @@
 """Column statistics, histograms, frequencies, completeness and quality.
 
-Distinct counts and frequencies of all columns come from one table of (column, value, count): the
-rows are unpivoted once and counted partly before the shuffle.
+Distinct counts and frequencies come from one table of (column, value, count): the rows are
+unpivoted once and counted partly before the shuffle, which later uses share (they count n, not
+rows, so that their plans stay equal up to it).
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..dtypes import format_cell, kind_of, label, missing, name, present
+from ..session import checkpointed
 
 BINS, TOP_TEXT, TOP_BOOLEAN, DOMAIN = 12, 5, 2, 12
 
@@ -69,7 +71,7 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None, approximat
         return stats.withColumns({"top_value": F.lit(None).cast("string"), "top_count": F.lit(None).cast("bigint")})
     counts = value_counts(df, topped if approximate else columns)
     tops = _first_of(counts)
-    found = counts.groupBy("column").agg(F.count("*").alias("distinct")).join(tops, "column", "left")
+    found = counts.groupBy("column").agg(F.count("n").alias("distinct")).join(tops, "column", "left")
     found = found.drop("distinct") if approximate else found
     joined = stats.join(F.broadcast(found), "column", "left")
     is_text = F.col("kind").isin("string", "boolean")
@@ -89,22 +91,31 @@ def top_n(df: DataFrame, column: str, n: int = 10) -> DataFrame:
     return counts.orderBy(F.desc("count"), F.asc("value")).limit(n)
 
 
-def _bins(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
+def _ends(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, kind, missing, lo, hi): a row for each column, from one pass that is made at once."""
+    number = set(_kinds(df, "integer", "float", "datetime"))
+    wanted = [(F.count_if(missing(df, c)), *(f(_number(df, c)) if c in number else F.lit(None).cast("double") for f in (F.min, F.max))) for c in columns]
+    one = df.agg(*[x.alias(f"{what}{i}") for i, row in enumerate(wanted) for what, x in zip(("m", "lo", "hi"), row)])
+    rows = [F.struct(F.lit(c).alias("column"), F.lit(label(kind_of(df, c))).alias("kind"), F.col(f"m{i}").alias("missing"), F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi")) for i, c in enumerate(columns)]
+    return checkpointed(one.select(F.inline(F.array(*rows))))
+
+
+def _bins(df: DataFrame, columns: Sequence[str], bins: int, ends: DataFrame) -> DataFrame:
     """(column, bin, lower, upper, n) of equal widths over [min, max]; the last bin is closed; one bin where all values are equal."""
+    ends = ends.filter("lo is not null").select("column", "lo", "hi")  # a row for each column
     values = [F.struct(F.lit(c).alias("column"), _number(df, c).alias("v")) for c in columns]
     long = df.select(F.inline(F.array(*values))).filter("v is not null")
-    ends = long.groupBy("column").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))  # a row for each column
-    width = (F.col("hi") - F.col("lo")) / F.lit(bins)
-    at = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(F.least(F.floor(F.try_divide(F.col("v") - F.col("lo"), width)), F.lit(bins - 1))).cast("int")
+    width, one = (F.col("hi") - F.col("lo")) / F.lit(bins), F.col("hi") == F.col("lo")
+    at = F.when(one, F.lit(0)).otherwise(F.least(F.floor(F.try_divide(F.col("v") - F.col("lo"), width)), F.lit(bins - 1))).cast("int")
     counts = long.join(F.broadcast(ends), "column").groupBy("column", at.alias("bin")).agg(F.count("*").alias("n"))
-    every = ends.select("column", "lo", "hi", F.explode(F.sequence(F.lit(0), F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(F.lit(bins - 1)))).alias("bin"))
-    upper = F.when((F.col("hi") == F.col("lo")) | (F.col("bin") == bins - 1), F.col("hi")).otherwise(F.col("lo") + (F.col("bin") + 1) * width)
+    every = ends.select("column", "lo", "hi", F.explode(F.sequence(F.lit(0), F.when(one, F.lit(0)).otherwise(F.lit(bins - 1)))).alias("bin"))
+    upper = F.when(one | (F.col("bin") == bins - 1), F.col("hi")).otherwise(F.col("lo") + (F.col("bin") + 1) * width)
     return every.join(F.broadcast(counts), ["column", "bin"], "left").select("column", "bin", (F.col("lo") + F.col("bin") * width).alias("lower"), upper.alias("upper"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
     """(bin, lower, upper, n), empty bins kept; datetimes in epoch milliseconds; an empty column has no rows."""
-    return _bins(df, [column], bins).drop("column")
+    return _bins(df, [column], bins, _ends(df, [column])).drop("column")
 
 
 def quick_insights(df: DataFrame) -> DataFrame:
@@ -113,25 +124,33 @@ def quick_insights(df: DataFrame) -> DataFrame:
     (column, kind, missing, distinct, slot, value, lower, upper, n): slots count bins or ranks from 0; a column
     with nothing to show has one row with slot null.
     """
-    numbers, texts, flags = _kinds(df, "integer", "float", "datetime"), _kinds(df, "string"), _kinds(df, "boolean")
-    counts = value_counts(df)
-    gone = df.agg(*[F.count_if(missing(df, c)).alias(f"m{i}") for i, c in enumerate(df.columns)])
-    head = gone.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(label(kind_of(df, c))).alias("kind"), F.col(f"m{i}").alias("missing")) for i, c in enumerate(df.columns)])))
-    distinct = counts.groupBy("column").agg(F.count("*").alias("distinct"))
-    w = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
-    # a rank filter: Spark keeps the first of each group before the shuffle too
-    ranked = counts.filter(F.col("column").isin(*texts, *flags) if texts or flags else F.lit(False)).withColumn("slot", F.row_number().over(w) - 1)
-    tops = ranked.filter(F.col("slot") < F.when(F.col("column").isin(*flags), TOP_BOOLEAN).otherwise(TOP_TEXT) if flags else F.col("slot") < TOP_TEXT).filter(F.col("slot") < TOP_TEXT)
-    shown = tops.select("column", "slot", "value", F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper"), "n")
+    numbers, shown_as_text = _kinds(df, "integer", "float", "datetime"), _kinds(df, "string", "boolean")
+    ends = _ends(df, df.columns)
+    rest = [c for c in df.columns if c not in shown_as_text]
+    parts, found = [], []
+    null = lambda *names: [F.lit(None).cast(k).alias(n) for n, k in names]
+    if shown_as_text:
+        counts = value_counts(df, shown_as_text)
+        found.append(counts.groupBy("column").agg(F.count("n").alias("distinct")))
+        w = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))  # Spark keeps the first ranks before the shuffle too
+        ranked = counts.withColumn("slot", F.row_number().over(w) - 1).filter(F.col("slot") < TOP_TEXT)
+        most = F.when(F.col("column").isin(*_kinds(df, "boolean")), TOP_BOOLEAN).otherwise(TOP_TEXT)
+        parts.append(ranked.filter(F.col("slot") < most).select("column", "slot", "value", *null(("lower", "double"), ("upper", "double")), "n"))
+    if rest:
+        found.append(value_counts(df, rest).groupBy("column").agg(F.count("n").alias("distinct")))
     if numbers:
-        shown = shown.unionByName(_bins(df, numbers, BINS).select("column", F.col("bin").alias("slot"), F.lit(None).cast("string").alias("value"), "lower", "upper", "n"))
-    return head.join(F.broadcast(distinct), "column", "left").join(shown, "column", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)))
+        parts.append(_bins(df, numbers, BINS, ends).select("column", F.col("bin").alias("slot"), *null(("value", "string")), "lower", "upper", "n"))
+    distinct = reduce(DataFrame.unionByName, found)
+    out = ends.select("column", "kind", "missing").join(F.broadcast(distinct), "column", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)))
+    if not parts:
+        return out.select("*", *null(("slot", "int"), ("value", "string"), ("lower", "double"), ("upper", "double"), ("n", "bigint")))
+    return out.join(reduce(DataFrame.unionByName, parts), "column", "left")
 
 
 def value_domain(df: DataFrame, most: int = DOMAIN) -> DataFrame:
     """(column, value, n) of every column with at most ``most`` distinct values."""
     counts = value_counts(df)
-    few = counts.groupBy("column").agg(F.count("*").alias("_d")).filter(F.col("_d") <= most).select("column")
+    few = counts.groupBy("column").agg(F.count("n").alias("_d")).filter(F.col("_d") <= most).select("column")
     return counts.join(F.broadcast(few), "column", "left_semi")
 
 
