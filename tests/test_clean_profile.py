@@ -150,6 +150,9 @@ def test_csv(spark, tmp_path):
     df = files.read_csv(spark, str(tmp_path / "a.csv"))
     assert df.columns == ["id", "name", "id_2", "col_4"]
     assert [tuple(r) for r in df.select("id", "name", F.col("id_2").cast("string"), "col_4").orderBy("id").collect()] == [(1, 'a, "b"', None, None), (2, "line\nend", None, None), (3, "c", "2024-01-02 00:00:00", "extra"), (4, None, None, None)]
+    (tmp_path / "q.csv").write_text('a,b\n1,"x,y\nz,w,v"\n2,"p\n""q"", r",7\n')
+    quoted = files.read_csv(spark, str(tmp_path / "q.csv"))
+    assert [tuple(r) for r in quoted.orderBy("a").collect()] == [(1, "x,y\nz,w,v", None), (2, 'p\n"q", r', 7)]
     (tmp_path / "b.tsv").write_text("1\t2.5\n3\t\n")
     plain = files.read_tsv(spark, str(tmp_path / "b.tsv"), has_header=False)
     assert plain.dtypes == [("col_1", "bigint"), ("col_2", "double")] and plain.count() == 2

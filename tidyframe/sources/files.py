@@ -80,12 +80,26 @@ def _unrepeated(names: list[str]) -> list[str]:
     return out
 
 
+def _most_fields(spark: SparkSession, path: str, delimiter: str, encoding: str, multi_line: bool) -> int:
+    """Most fields of any record: delimiters left once quoted parts are taken out.
+
+    Quoted line ends need whole files at a time, as ``multiLine`` itself does.
+    """
+    mark = delimiter if delimiter.isalnum() else "\\" + delimiter
+    if multi_line:
+        whole = spark.read.option("encoding", encoding).text(path, wholetext=True)
+        lines = whole.select(F.explode(F.split(F.regexp_replace("value", '"[^"]*"', ""), "\r\n|\r|\n")).alias("value"))
+    else:
+        lines = spark.read.option("encoding", encoding).text(path).select(F.regexp_replace("value", '"[^"]*"', "").alias("value"))
+    return lines.agg(F.max(F.length(F.regexp_replace("value", f"[^{mark}]", "")) + 1)).first()[0] or 1
+
+
 def read_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8", has_header: bool = True, infer: bool = True, multi_line: bool = True, sample: int | None = SAMPLE_ROWS, width: int | None = None) -> DataFrame:
     """Delimited text with quoted fields and ragged rows.
 
     Short rows are filled with missing, surplus fields are columns col_{i+1}. ``multi_line`` allows
-    line ends in quotes but makes files unsplittable; ``width``, if given, saves the pass that
-    finds the most fields in a row.
+    line ends in quotes but makes files unsplittable (one task a file); ``width``, if given, saves the
+    pass that finds the most fields in a row.
     """
     def raw(**more):
         reader = spark.read.option("sep", delimiter).option("encoding", encoding).option("quote", '"').option("escape", '"').option("multiLine", multi_line).option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("enforceSchema", True)
@@ -97,10 +111,7 @@ def read_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str
     if named:
         named[0] = named[0].lstrip("\ufeff")
     if width is None:
-        # fields of a row: counted outside quotes
-        q, d = '"[^"]*"', delimiter if delimiter.isalnum() else "\\" + delimiter
-        lines = spark.read.option("encoding", encoding).text(path)
-        width = lines.agg(F.max(F.length(F.regexp_replace(F.regexp_replace("value", q, ""), f"[^{d}]", "")) + 1)).first()[0] or 1
+        width = _most_fields(spark, path, delimiter, encoding, multi_line)
     names = _unrepeated([*named, *[""] * max(0, width - len(named))])
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     df = raw(header=has_header, nullValue="").schema(schema).csv(path)
