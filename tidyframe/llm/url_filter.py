@@ -13,8 +13,9 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+# The terms that reject at once, and those of which several do.
 STRICT = ("porn", "xxx", "adult-x", "free-bets", "escort", "warez", "hardcore", "malware")
-SOFT = ("adult", "bet", "bets", "casino", "free", "poker", "sex", "cams", "dating", "pills", "loan", "jackpot", "click", "win")
+SOFT = ("adult", "bet", "bets", "casino", "free", "poker", "sex", "cams", "dating", "pills", "loan", "cheap", "jackpot", "click", "win", "spam", "farm", "ads", "track")
 SOFT_LIMIT = 2
 #: (verdict, host and path prefix)
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
