@@ -25,6 +25,20 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return long.groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
+_NATIVE = {"integer": "bigint", "float": "double", "datetime": "timestamp", "boolean": "boolean"}
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, distinct) of present values: columns of one kind are unpivoted together, in their own type."""
+    found = []
+    for kind in dict.fromkeys(_NATIVE.get(label(kind_of(df, c)), "string") for c in columns):
+        own = [c for c in columns if _NATIVE.get(label(kind_of(df, c)), "string") == kind]
+        cells = [F.struct(F.lit(i).alias("i"), (format_cell(df, c) if kind == "string" else present(df, c).cast(kind)).alias("v")) for i, c in enumerate(own)]
+        counts = df.select(F.inline(F.array(*cells))).filter("v is not null").groupBy("i", "v").agg(F.count("*").alias("n")).groupBy("i").agg(F.count("n").alias("distinct"))
+        found.append(counts.select(F.get(F.array(*[F.lit(c) for c in own]), F.col("i")).alias("column"), "distinct"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def _number(df: DataFrame, column: str) -> Column:
     c = present(df, column)
     return F.unix_millis(c.cast("timestamp")).cast("double") if label(kind_of(df, column)) == "datetime" else c.cast("double")
@@ -67,16 +81,17 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None, approximat
     ]
     stats = one.select(F.inline(F.array(*rows)))
     topped = _kinds(df.select(*[name(c) for c in columns]), "string", "boolean")
-    if approximate and not topped:
+    others = [c for c in columns if c not in topped]
+    parts = [] if approximate or not others else [distinct_counts(df, others).select("column", "distinct", *[F.lit(None).cast(k).alias(n) for n, k in (("top_value", "string"), ("top_count", "bigint"))])]
+    if topped:
+        counts = value_counts(df, topped)
+        parts.append(counts.groupBy("column").agg(F.count("n").alias("distinct")).join(_first_of(counts), "column", "left"))
+    if not parts:
         return stats.withColumns({"top_value": F.lit(None).cast("string"), "top_count": F.lit(None).cast("bigint")})
-    counts = value_counts(df, topped if approximate else columns)
-    tops = _first_of(counts)
-    found = counts.groupBy("column").agg(F.count("n").alias("distinct")).join(tops, "column", "left")
-    found = found.drop("distinct") if approximate else found
-    joined = stats.join(F.broadcast(found), "column", "left")
-    is_text = F.col("kind").isin("string", "boolean")
-    out = joined.withColumns({"top_value": F.when(is_text, F.col("top_value")), "top_count": F.when(is_text, F.col("top_count"))})
-    return out if approximate else out.withColumn("distinct", F.coalesce("distinct", F.lit(0)))
+    found = reduce(DataFrame.unionByName, parts)
+    if approximate:
+        return stats.join(F.broadcast(found.drop("distinct")), "column", "left")
+    return stats.join(F.broadcast(found), "column", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)))
 
 
 def _first_of(counts: DataFrame) -> DataFrame:
@@ -137,7 +152,7 @@ def quick_insights(df: DataFrame) -> DataFrame:
         most = F.when(F.col("column").isin(*_kinds(df, "boolean")), TOP_BOOLEAN).otherwise(TOP_TEXT)
         parts.append(ranked.filter(F.col("slot") < most).select("column", "slot", "value", *null(("lower", "double"), ("upper", "double")), "n"))
     if rest:
-        found.append(value_counts(df, rest).groupBy("column").agg(F.count("n").alias("distinct")))
+        found.append(distinct_counts(df, rest))
     if numbers:
         parts.append(_bins(df, numbers, BINS, ends).select("column", F.col("bin").alias("slot"), *null(("value", "string")), "lower", "upper", "n"))
     distinct = reduce(DataFrame.unionByName, found)
