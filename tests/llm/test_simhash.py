@@ -92,3 +92,42 @@ def test_components(spark):
     want = brute_components(nodes, lambda a, b: b in met[a])
     assert {x.node: x.label for x in connected_components(edges).collect()} == want
     assert connected_components(edges.limit(0)).count() == 0
+
+
+def test_similarity_against_jaccard(spark):
+    """Five-word shingles: pairs of Jaccard similarity 0.8 or more are linked, texts without any near one are left alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {}
+    for r in docs.orderBy("doc_id").collect():
+        texts.setdefault(r.text, r.doc_id)
+    sets = {d: set(simhash.shingle_hashes(t, 5).tolist()) for t, d in texts.items()}
+    planted = []  # texts with single words changed, far enough apart to break five shingles each
+    for d, t in list((d, t) for t, d in texts.items())[:60]:
+        words = t.split()
+        if len(words) > 120:
+            for i in range(0, len(words), 60):
+                words[i] = "changed"
+            planted.append((10_000 + d, " ".join(words)))
+            sets[10_000 + d] = set(simhash.shingle_hashes(planted[-1][1], 5).tolist())
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(planted, "doc_id bigint, text string"))
+    component = {r.doc_id: r.component_id for r in simhash.near_duplicates(both).collect()}
+    held = defaultdict(list)
+    for d, s in sets.items():
+        for h in s:
+            held[h].append(d)
+    shared = defaultdict(int)
+    for own in held.values():
+        for i, a in enumerate(own):
+            for b in own[:i]:
+                shared[min(a, b), max(a, b)] += 1
+    similar = {p: n / (len(sets[p[0]]) + len(sets[p[1]]) - n) for p, n in shared.items()}
+    near = [p for p, j in similar.items() if j >= 0.8]
+    assert len(near) > 40 and sum(component[a] == component[b] for a, b in near) >= 0.97 * len(near)
+    most = defaultdict(float)
+    for (a, b), j in similar.items():
+        most[a], most[b] = max(most[a], j), max(most[b], j)
+    groups = defaultdict(set)
+    for d in sets:
+        groups[component[d]].add(d)
+    assert all(len(g) == 1 or any(most[d] > 0.4 for d in g) for g in groups.values())
+    assert all(most[d] > 0.3 for g in groups.values() if len(g) > 1 for d in g)

@@ -25,8 +25,8 @@ from .shared import checkpointed, slices
 SEED = 42
 #: Fingerprints that a bucket should hold, and at which it is cut into tiles.
 BUCKET, TILE = 512, 8192
-#: Rows compared at a time, and planes between two looks for words to abandon.
-QUERIES, PLANES = 64, 6
+#: Pairs of a query and a word of lanes compared at a time, and planes between two looks for words to abandon.
+PAIRS, PLANES = 16384, 15
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -49,7 +49,7 @@ def _widened(h: np.ndarray, words: int) -> np.ndarray:
     """h and words - 1 further hashes made from it by a multiply-xor mixer."""
     out = [h]
     for i in range(1, words):
-        x = h + np.uint64(i) * np.uint64(0x9E3779B97F4A7C15)
+        x = h + np.uint64(i * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         out.append(x ^ (x >> np.uint64(31)))
@@ -91,31 +91,39 @@ def _more_than(counters: list[np.ndarray], radius: int) -> np.ndarray:
     return more
 
 
+def _carry_saved(planes: list[np.ndarray]) -> list[list[np.ndarray]]:
+    """Bit counts of planes as lists by weight 1, 2, 4, ...: three of a weight become one of it and one of the next."""
+    columns = [planes]
+    for column in columns:
+        carries = []
+        while len(column) >= 3:
+            x, y, z = column.pop(), column.pop(), column.pop()
+            u = x ^ y
+            column.append(u ^ z)
+            carries.append((x & y) | (u & z))
+        if carries:
+            columns.append(carries)
+    return columns
+
+
 def _near(planes: np.ndarray, masks: np.ndarray, q: np.ndarray, w: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of (query, word of 64 lanes) pairs, those left with lanes within radius, and these lanes."""
     levels = max(1, radius.bit_length())
     counters = [np.zeros(len(q), np.uint64) for _ in range(levels)]
     over = np.zeros(len(q), np.uint64)
-
-    def add(x: np.ndarray, level: int) -> None:
-        for i in range(level, levels):
-            counters[i], x = counters[i] ^ x, counters[i] & x
-        over[:] |= x
-
     for first in range(0, len(planes), PLANES):
-        d = [planes[b][w] ^ masks[b][q] for b in range(first, min(first + PLANES, len(planes)))]
-        while len(d) >= 3:  # three planes of weight 1 become one of weight 1 and one of weight 2
-            x, y, z = d.pop(), d.pop(), d.pop()
-            u = x ^ y
-            add((x & y) | (u & z), 1)
-            d.append(u ^ z)
-        for x in d:
-            add(x, 0)
+        columns = _carry_saved([planes[b][w] ^ masks[b][q] for b in range(first, min(first + PLANES, len(planes)))])
+        for weight, column in enumerate(columns):
+            for x in column:
+                for i in range(weight, levels):
+                    counters[i], x = counters[i] ^ x, counters[i] & x
+                over |= x
         over |= _more_than(counters, radius)
         alive = over != _FULL
-        if not alive.any():
+        left = np.count_nonzero(alive)
+        if not left:
             return q[:0], w[:0], over[:0]
-        if alive.mean() < 0.7:
+        if left < 0.7 * len(alive):
             q, w, over = q[alive], w[alive], over[alive]
             counters = [c[alive] for c in counters]
     return q, w, ~over
@@ -132,11 +140,14 @@ def linked(fps: np.ndarray, radius: int) -> np.ndarray:
     padded = np.zeros((bits, lanes * 64), np.uint8)
     padded[:, :n] = flat.T
     planes = np.packbits(padded, axis=1, bitorder="little").view("<u8").astype(np.uint64)
-    for at in range(0, n, QUERIES):
-        rows = np.arange(at, min(at + QUERIES, n))
+    step = max(64, PAIRS // lanes // 64 * 64)
+    for at in range(0, n, step):
+        rows = np.arange(at, min(at + step, n))
         masks = np.where(flat[rows].T.astype(bool), _FULL, np.uint64(0))
-        words = np.arange(at // 64, lanes)  # earlier words have met these rows as queries
-        q, w, near = _near(planes, masks, np.repeat(np.arange(len(rows)), len(words)), np.tile(words, len(rows)), radius)
+        words = np.arange(at // 64, lanes)
+        q, w = np.repeat(np.arange(len(rows)), len(words)), np.tile(words, len(rows))
+        later = w >= rows[q] // 64  # a row has met the lanes of earlier words as their queries' lane
+        q, w, near = _near(planes, masks, q[later], w[later], radius)
         if not len(q):
             continue
         lit = np.unpackbits(near.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -154,7 +165,7 @@ def linked(fps: np.ndarray, radius: int) -> np.ndarray:
     return labels
 
 
-def bit_tables(n: int, bits: int, radius: int, recall: float = 0.95) -> list[list[int]]:
+def bit_tables(n: int, bits: int, radius: int, recall: float = 0.99) -> list[list[int]]:
     """Which bits form the bucket key of each table, for n distinct fingerprints."""
     wanted = max(1, math.ceil(math.log2(max(2, n) / BUCKET)))
     if radius < 8:
@@ -211,7 +222,7 @@ def links(fps: DataFrame, n: int, bits: int, radius: int, tile: int = TILE) -> D
     return tiles.groupBy("t", "k", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, bits: int = 256, radius: int | None = None, similarity: float = 0.8, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, bits: int = 384, radius: int | None = None, similarity: float = 0.8, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint hex, component_id) for every row of ``docs``.
 
     Two rows are linked if their fingerprints differ in at most ``radius`` bits (by default the
