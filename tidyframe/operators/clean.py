@@ -11,6 +11,7 @@ from ..dtypes import FALSE_TOKENS, TRUE_TOKENS, kind_of, label, missing, name, p
 from ..functions import numeric, text
 from ..sources.files import parse_datetime
 from .ordering import fill_in_order
+from .quantile import group_quantiles, mode
 
 
 def _known(df: DataFrame, columns: Sequence[str]) -> None:
@@ -93,7 +94,7 @@ def drop_duplicates(df: DataFrame, columns: Sequence[str] = (), keep: str = "fir
     """One row (first or last by ``order_by``) of each group of equal keys, or only rows alone in theirs (none).
 
     Missing equals missing. A group is reduced before it is shuffled, so a hot key is no burden.
-    Without ``order_by`` any row of a group may stay.
+    A missing ``order_by`` comes last. Without ``order_by`` any row of a group may stay.
     """
     _known(df, columns)
     keys = [present(df, c) for c in columns or df.columns]
@@ -105,7 +106,7 @@ def drop_duplicates(df: DataFrame, columns: Sequence[str] = (), keep: str = "fir
         if order_by is None:
             return df.dropDuplicates(list(columns) or None)
         pick = F.min_by if keep == "first" else F.max_by
-        kept = df.groupBy(*named).agg(pick(row, name(order_by)).alias("_r"))
+        kept = df.groupBy(*named).agg(pick(row, F.struct(missing(df, order_by), name(order_by))).alias("_r"))
     else:
         raise ValueError(f"unknown keep {keep!r}")
     return kept.select("_r.*")
@@ -122,8 +123,15 @@ def fill_missing(df: DataFrame, column: str, method: str = "value", value: Any =
         if order_by is None:
             raise ValueError("order_by is needed: Spark's rows have no order of their own")
         return fill_in_order(df, column, order_by, method == "bfill", partition_by)
-    how = {"mean": F.avg, "median": lambda x: F.percentile(x, 0.5), "mode": lambda x: F.mode(x, True)}[method]
-    one = df.agg(how(c).alias("_fill"))  # a single row
+    if method == "median":
+        one = group_quantiles(df, [], c, [0.5]).agg(F.max(F.get("q", F.lit(0))).alias("_fill"))
+    elif method == "mode":
+        one = mode(df, c).select(F.col("mode").alias("_fill"))
+    elif method == "mean":
+        one = df.agg(F.avg(c).alias("_fill"))
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    # ``one`` is a single row
     return replaced(df.crossJoin(F.broadcast(one)), column, F.coalesce(c, F.col("_fill"))).select(*[name(x) for x in df.columns])
 
 

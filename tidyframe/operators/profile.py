@@ -1,6 +1,6 @@
 """Column statistics, histograms, frequencies, completeness and quality.
 
-Distinct counts and frequencies come from one table of (column, value, count): the rows are
+Exact quantiles come from counts of all numbers by (column, value) in range partitions. Distinct counts and frequencies come from one table of (column, value, count): the rows are
 unpivoted once and counted partly before the shuffle, which later uses share (they count n, not
 rows, so that their plans stay equal up to it).
 """
@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..dtypes import format_cell, kind_of, label, missing, name, present
 from ..session import checkpointed
+from .quantile import dealt_by_value, quantiles
 
 BINS, TOP_TEXT, TOP_BOOLEAN, DOMAIN = 12, 5, 2, 12
+QUARTILES = (0.25, 0.5, 0.75)
 
 
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -39,6 +41,24 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def _numbers(df: DataFrame, columns: Sequence[str], ranked: Sequence[str]) -> DataFrame:
+    """(column, distinct, q): distinct values of number and datetime columns, and quartiles of the ``ranked`` among them.
+
+    Integers and datetimes are counted as whole numbers, the others as doubles, all in one pass.
+    """
+    def cell(i: int, c: str) -> Column:
+        kind, v = label(kind_of(df, c)), present(df, c)
+        whole = F.unix_micros(v.cast("timestamp")) if kind == "datetime" else v.cast("bigint") if kind == "integer" else F.lit(None).cast("bigint")
+        return F.struct(F.lit(i).alias("i"), whole.alias("b"), (v.cast("double") if kind == "float" else F.lit(None).cast("double")).alias("d"))
+
+    long = df.select(F.inline(F.array(*[cell(i, c) for i, c in enumerate(columns)]))).filter("b is not null or d is not null")
+    dealt = dealt_by_value(long.groupBy("i", "b", "d").agg(F.count("*").alias("n")), ["i"], ["b", "d"])
+    sought = dealt.filter(F.col("i").isin(*[i for i, c in enumerate(columns) if c in ranked]))
+    q = quantiles(sought, ["i"], ["b", "d"], F.coalesce(F.col("d"), F.col("b").cast("double")), QUARTILES)
+    found = dealt.groupBy("i").agg(F.count("n").alias("distinct")).join(F.broadcast(q), "i", "left")  # a row for each column
+    return found.select(F.get(F.array(*[F.lit(c) for c in columns]), F.col("i")).alias("column"), "distinct", "q")
+
+
 def _number(df: DataFrame, column: str) -> Column:
     c = present(df, column)
     return F.unix_millis(c.cast("timestamp")).cast("double") if label(kind_of(df, column)) == "datetime" else c.cast("double")
@@ -53,7 +73,8 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None, approximat
 
     count, missing, distinct; min, max, mean, std_pop, std_samp, sum, p25, p50, p75 of numbers; min
     and max of datetimes in epoch milliseconds; the most frequent value of texts and booleans,
-    ties by value. ``approximate`` quantiles and distinct counts need little memory.
+    ties by value. ``approximate`` quantiles and distinct counts take one pass and little memory;
+    exact ones sort the distinct values.
     """
     columns = list(columns or df.columns)
     aggregates = []
@@ -63,35 +84,44 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None, approximat
         if v is not None:
             aggregates += [F.min(v).alias(f"{i}_min"), F.max(v).alias(f"{i}_max")]
         if kind in ("integer", "float"):
-            q = F.percentile_approx(v, [0.25, 0.5, 0.75], 10000) if approximate else F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-            aggregates += [F.avg(v).alias(f"{i}_mean"), F.stddev_pop(v).alias(f"{i}_std_pop"), F.stddev_samp(v).alias(f"{i}_std_samp"), F.sum(v).alias(f"{i}_sum"), q.alias(f"{i}_q")]
+            aggregates += [F.avg(v).alias(f"{i}_mean"), F.stddev_pop(v).alias(f"{i}_std_pop"), F.stddev_samp(v).alias(f"{i}_std_samp"), F.sum(v).alias(f"{i}_sum")]
+            if approximate:
+                aggregates.append(F.percentile_approx(v, list(QUARTILES), 10000).alias(f"{i}_q"))
         if approximate:
             aggregates.append(F.approx_count_distinct(present(df, c)).alias(f"{i}_distinct"))
     one = df.agg(*aggregates)
     have = set(one.columns)
-    num = lambda i, what: F.col(f"{i}_{what}") if f"{i}_{what}" in have else F.lit(None).cast("double")
-    quantile = lambda i, k: F.col(f"{i}_q")[k] if f"{i}_q" in have else F.lit(None).cast("double")
+    made = lambda i, what, kind="double": F.col(f"{i}_{what}") if f"{i}_{what}" in have else F.lit(None).cast(kind)
     rows = [
         F.struct(
             F.lit(c).alias("column"), F.lit(label(kind_of(df, c))).alias("kind"), F.col(f"{i}_count").alias("count"), F.col(f"{i}_missing").alias("missing"),
-            *[num(i, w).alias(w) for w in ("min", "max", "mean", "std_pop", "std_samp", "sum")], *[quantile(i, k).alias(n) for k, n in enumerate(("p25", "p50", "p75"))],
-            *([F.col(f"{i}_distinct").alias("distinct")] if approximate else []),
+            *[made(i, w).alias(w) for w in ("min", "max", "mean", "std_pop", "std_samp", "sum")],
+            *([made(i, "q", "array<double>").alias("q"), F.col(f"{i}_distinct").alias("distinct")] if approximate else []),
         )
         for i, c in enumerate(columns)
     ]
     stats = one.select(F.inline(F.array(*rows)))
-    topped = _kinds(df.select(*[name(c) for c in columns]), "string", "boolean")
-    others = [c for c in columns if c not in topped]
-    parts = [] if approximate or not others else [distinct_counts(df, others).select("column", "distinct", *[F.lit(None).cast(k).alias(n) for n, k in (("top_value", "string"), ("top_count", "bigint"))])]
+    own = df.select(*[name(c) for c in columns])
+    numbers, topped = _kinds(own, "integer", "float", "datetime"), _kinds(own, "string", "boolean")
+    others = [c for c in columns if c not in numbers + topped]
+    null = lambda **kinds: [F.lit(None).cast(k).alias(n) for n, k in kinds.items()]
+    parts = []
     if topped:
         counts = value_counts(df, topped)
-        parts.append(counts.groupBy("column").agg(F.count("n").alias("distinct")).join(_first_of(counts), "column", "left"))
-    if not parts:
-        return stats.withColumns({"top_value": F.lit(None).cast("string"), "top_count": F.lit(None).cast("bigint")})
-    found = reduce(DataFrame.unionByName, parts)
-    if approximate:
-        return stats.join(F.broadcast(found.drop("distinct")), "column", "left")
-    return stats.join(F.broadcast(found), "column", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)))
+        parts.append(counts.groupBy("column").agg(F.count("n").alias("distinct")).join(_first_of(counts), "column", "left").select("column", "distinct", *null(q="array<double>"), "top_value", "top_count"))
+    if not approximate:
+        if numbers:
+            parts.append(_numbers(df, numbers, _kinds(own, "integer", "float")).select("*", *null(top_value="string", top_count="bigint")))
+        if others:
+            parts.append(distinct_counts(df, others).select("column", "distinct", *null(q="array<double>", top_value="string", top_count="bigint")))
+    if parts:
+        found = reduce(DataFrame.unionByName, parts)
+        stats = stats.join(F.broadcast(found.drop("distinct", "q") if approximate else found), "column", "left")  # a row for each column
+    else:
+        stats = stats.select("*", *null(top_value="string", top_count="bigint"))
+    # quantiles of no values are an array of nulls or none at all
+    quartiles = [F.get("q", F.lit(k)).alias(n) for k, n in enumerate(("p25", "p50", "p75"))]
+    return stats.select("column", "kind", "count", "missing", F.coalesce("distinct", F.lit(0)).alias("distinct"), "min", "max", "mean", "std_pop", "std_samp", "sum", *quartiles, "top_value", "top_count")
 
 
 def _first_of(counts: DataFrame) -> DataFrame:
