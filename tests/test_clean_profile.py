@@ -2,10 +2,12 @@
 
 import math
 
+import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from tidyframe.operators import aggregate, by_example, clean, diff, encode, profile
+from tidyframe.operators import aggregate, by_example, clean, diff, encode, profile, quantile
 from tidyframe.plans import recipe
 from tidyframe.plans.recipe import Step
 from tidyframe.sources import files
@@ -94,6 +96,45 @@ def test_groups(messy):
     assert {r.k: r.v for r in aggregate.group_by_agg(messy, ["k"], "v", "median").collect()}["x"] == 3.0
 
 
+@settings(max_examples=10, deadline=None, database=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.one_of(st.none(), st.sampled_from([1.0, 2.0]), st.floats(-9, 9))), min_size=1, max_size=60), st.sampled_from(["1", "3", "7"]))
+def test_quantiles(spark, rows, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        df = spark.createDataFrame(rows, "k string, v double")
+        got = {r.k0: r.q for r in quantile.group_quantiles(df, [F.col("k")], F.col("v"), [0.0, 0.3, 0.5, 1.0]).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got.keys() == {k for k, _ in rows}
+    for k, q in got.items():
+        values = [v for x, v in rows if x == k and v is not None]
+        assert q is None if not values else np.allclose(q, np.quantile(values, [0.0, 0.3, 0.5, 1.0]))
+
+
+def test_quantiles_of_odd_columns(spark):
+    df = spark.createDataFrame([(1, 2**53 + 1, float("inf"), None), (2, 2**53, 1.0, None), (3, 2**53, -0.0, None), (4, None, 0.0, None), (5, None, float("nan"), None)], "id bigint, big bigint, x double, gone double")
+    s = {r.column: r for r in profile.column_stats(df).collect()}
+    assert (s["big"].distinct, s["x"].distinct, s["gone"].distinct) == (2, 3, 0)
+    assert (s["x"].p25, s["x"].p50, s["x"].p75) == (0.0, 0.5, math.inf) and s["gone"].p50 is None
+    assert profile.column_stats(df.filter("id < 0")).filter("distinct = 0 and p50 is null").count() == 4
+    # a group that holds nearly all rows is spread over the partitions
+    hot = spark.range(20000).select(F.when(F.col("id") < 19990, "a").otherwise("b").alias("k"), F.col("id").alias("v"))
+    assert {r.k: r.v for r in aggregate.group_by_agg(hot, ["k"], "v", "median").collect()} == {"a": 9994.5, "b": 19994.5}
+    assert clean.fill_missing(df, "gone", "median").filter("gone is null").count() == clean.fill_missing(df, "gone", "mode").filter("gone is null").count() == 5
+    with pytest.raises(ValueError):
+        clean.fill_missing(df, "x", "odd")
+
+
+def test_missing_order_keys_come_last(spark):
+    df = spark.createDataFrame([(1, "a", None, 1.0), (2, "a", 5, None), (3, "b", None, 7.0), (4, "c", 6, None), (5, "c", 4, 2.0)], "id bigint, k string, t bigint, v double")
+    assert col(clean.drop_duplicates(df, ["k"], "first", "t"), "id") == [2, 3, 5] and col(clean.drop_duplicates(df, ["k"], "last", "t"), "id") == [1, 3, 4]
+    own = df.filter("id <> 3")
+    assert col(clean.fill_missing(own, "v", "ffill", order_by="t"), "v") == [1.0, 2.0, 2.0, 2.0]
+    assert col(clean.fill_missing(own, "v", "bfill", order_by="t"), "v") == [1.0, 1.0, 1.0, 2.0]
+    assert col(clean.fill_missing(own, "v", "bfill", order_by="t", partition_by=["k"]), "v") == [1.0, 1.0, None, 2.0]
+
+
 def test_profile(spark, messy):
     s = {r.column: r for r in profile.column_stats(messy).collect()}
     assert (s["v"]["count"], s["v"].missing, s["v"].distinct, s["v"].p50) == (3, 2, 3, 2.5) and (s["k"].top_value, s["k"].top_count) == ("x", 2) and s["id"].top_value is None

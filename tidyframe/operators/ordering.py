@@ -84,23 +84,23 @@ def search_values(df: DataFrame, column: str, query: str, order_by: Sequence[Key
 
 
 def fill_in_order(df: DataFrame, column: str, order_by: str, backward: bool = False, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Missing cells take the last present value before them (after them if backward) in order.
+    """Missing cells take the last present value before them (after them if backward) in order; rows without a key come last.
 
     With ``partition_by`` a plain window. Without, the rows are range-partitioned by the order key,
     filled within partitions, and what each partition hands on is carried over by a table
     of one row for each partition.
     """
-    value = present(df, column)
+    value, at = present(df, column), present(df, order_by)
+    key = at.desc_nulls_first() if backward else at.asc_nulls_last()
     if partition_by:
-        w = Window.partitionBy(*[name(c) for c in partition_by]).orderBy(name(order_by).desc() if backward else name(order_by))
+        w = Window.partitionBy(*[name(c) for c in partition_by]).orderBy(key)
         filled = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
         return df.withColumn(column, filled).select(*[name(c) for c in df.columns])
-    key = name(order_by).desc() if backward else name(order_by).asc()
     dealt = df.withColumn("_v", value).repartitionByRange(shuffle_partitions(df.sparkSession), key)
     rows = checkpointed(dealt.withColumn("_p", F.spark_partition_id()))
     inner = Window.partitionBy("_p").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     edge = F.min_by if backward else F.max_by
-    tails = rows.groupBy("_p").agg(edge("_v", F.when(F.col("_v").isNotNull(), name(order_by))).alias("_tail"))
+    tails = rows.groupBy("_p").agg(edge("_v", F.when(F.col("_v").isNotNull(), F.struct(at.isNull(), at))).alias("_tail"))
     carry = tails.select("_p", F.last("_tail", ignorenulls=True).over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
     filled = rows.withColumn("_v", F.last("_v", ignorenulls=True).over(inner)).join(F.broadcast(carry), "_p")
     return filled.withColumn(column, F.coalesce("_v", "_carry")).select(*[name(c) for c in df.columns])
