@@ -194,6 +194,14 @@ def test_csv(spark, tmp_path):
     (tmp_path / "q.csv").write_text('a,b\n1,"x,y\nz,w,v"\n2,"p\n""q"", r",7\n')
     quoted = files.read_csv(spark, str(tmp_path / "q.csv"))
     assert [tuple(r) for r in quoted.orderBy("a").collect()] == [(1, "x,y\nz,w,v", None), (2, 'p\n"q", r', 7)]
+    (tmp_path / "w.csv").write_text('a,b\n1,"' + "x,\n" * 50_000 + '""y"\n2,"",p"q,"r,s",t\n3\n')
+    wide = files.read_csv(spark, str(tmp_path / "w.csv"))
+    assert wide.columns == ["a", "b", "col_3", "col_4", "col_5"] and [tuple(r) for r in wide.drop("b").orderBy("a").collect()] == [(1, None, None, None), (2, 'p"q', "r,s", "t"), (3, None, None, None)]
+    (tmp_path / "d.csv").write_text("a||b\n1||2||3\n4||5\n")
+    assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / "d.csv"), delimiter="||", multi_line=False).orderBy("a").collect()] == [(1, 2, 3), (4, 5, None)]
+    (tmp_path / "none.csv").write_text("")
+    (tmp_path / "head.csv").write_text("a,b\n")
+    assert files.read_csv(spark, str(tmp_path / "none.csv")).columns == [] and files.read_csv(spark, str(tmp_path / "head.csv")).dtypes == [("a", "string"), ("b", "string")]
     (tmp_path / "b.tsv").write_text("1\t2.5\n3\t\n")
     plain = files.read_tsv(spark, str(tmp_path / "b.tsv"), has_header=False)
     assert plain.dtypes == [("col_1", "bigint"), ("col_2", "double")] and plain.count() == 2

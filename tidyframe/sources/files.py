@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F, types as T
 
 from ..dtypes import FALSE_TOKENS, NA_TOKENS, TRUE_TOKENS, label, name, physical
 
@@ -80,18 +80,19 @@ def _unrepeated(names: list[str]) -> list[str]:
     return out
 
 
-def _most_fields(spark: SparkSession, path: str, delimiter: str, encoding: str, multi_line: bool) -> int:
-    """Most fields of any record: delimiters left once quoted parts are taken out.
+def _most_fields(reader: DataFrameReader, path: str, delimiter: str, expected: int) -> int:
+    """Most fields of any record, at least ``expected``.
 
-    Quoted line ends need whole files at a time, as ``multiLine`` itself does.
+    The reader itself cuts the records and hands on the text of those with another number of
+    fields; in these, delimiters are counted once quoted fields are taken out.
     """
-    mark = delimiter if delimiter.isalnum() else "\\" + delimiter
-    if multi_line:
-        whole = spark.read.option("encoding", encoding).text(path, wholetext=True)
-        lines = whole.select(F.explode(F.split(F.regexp_replace("value", '"[^"]*"', ""), "\r\n|\r|\n")).alias("value"))
-    else:
-        lines = spark.read.option("encoding", encoding).text(path).select(F.regexp_replace("value", '"[^"]*"', "").alias("value"))
-    return lines.agg(F.max(F.length(F.regexp_replace("value", f"[^{mark}]", "")) + 1)).first()[0] or 1
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*[f"_c{i}" for i in range(expected)], "_odd")])
+    records = reader.option("columnNameOfCorruptRecord", "_odd").schema(schema).csv(path)
+    edge = "\\Q" + delimiter.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    bare = F.regexp_replace("_odd", f'(^|{edge})"[^"]*+(?:""[^"]*+)*+"', "$1")
+    fields = (F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit("")))) / len(delimiter) + 1
+    every = F.count(F.coalesce(*[F.col(f"_c{i}") for i in range(expected)]))  # a reader asked for fewer columns counts no fields
+    return max(expected, int(records.agg(F.max(fields), every).first()[0] or 0))
 
 
 def read_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8", has_header: bool = True, infer: bool = True, multi_line: bool = True, sample: int | None = SAMPLE_ROWS, width: int | None = None) -> DataFrame:
@@ -111,7 +112,7 @@ def read_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str
     if named:
         named[0] = named[0].lstrip("\ufeff")
     if width is None:
-        width = _most_fields(spark, path, delimiter, encoding, multi_line)
+        width = _most_fields(raw(header=False), path, delimiter, len(head)) if head else 0
     names = _unrepeated([*named, *[""] * max(0, width - len(named))])
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     df = raw(header=has_header, nullValue="").schema(schema).csv(path)
