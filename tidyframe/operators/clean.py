@@ -7,7 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..dtypes import FALSE_TOKENS, TRUE_TOKENS, kind_of, label, missing, name, present, py_literal, typed_literal
+from ..dtypes import FALSE_TOKENS, TRUE_TOKENS, kind_of, label, may_be_nan, missing, name, present, py_literal, typed_literal
 from ..functions import numeric, text
 from ..sources.files import parse_datetime
 from .ordering import fill_in_order
@@ -103,10 +103,10 @@ def drop_duplicates(df: DataFrame, columns: Sequence[str] = (), keep: str = "fir
     if keep == "none":
         kept = df.groupBy(*named).agg(F.any_value(row).alias("_r"), F.count("*").alias("_n")).filter("_n = 1")
     elif keep in ("first", "last"):
-        if order_by is None:
-            return df.dropDuplicates(list(columns) or None)
+        if order_by is None and not columns and not any(may_be_nan(f.dataType) for f in df.schema):
+            return df.dropDuplicates()
         pick = F.min_by if keep == "first" else F.max_by
-        kept = df.groupBy(*named).agg(pick(row, F.struct(missing(df, order_by), name(order_by))).alias("_r"))
+        kept = df.groupBy(*named).agg(F.any_value(row).alias("_r")) if order_by is None else df.groupBy(*named).agg(pick(row, F.struct(missing(df, order_by), name(order_by))).alias("_r"))
     else:
         raise ValueError(f"unknown keep {keep!r}")
     return kept.select("_r.*")
