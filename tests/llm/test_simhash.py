@@ -131,3 +131,33 @@ def test_similarity_against_jaccard(spark):
         groups[component[d]].add(d)
     assert all(len(g) == 1 or any(most[d] > 0.4 for d in g) for g in groups.values())
     assert all(most[d] > 0.3 for g in groups.values() if len(g) > 1 for d in g)
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("shingles,pairs", [(2_000_000, 4_000_000), (6_000, 3_000)])
+def test_links_are_those_of_jaccard(spark, monkeypatch, shingles, pairs):
+    """Pairs on both sides of 0.8, chains and a large group, against a brute-force version; large groups in tiles."""
+    monkeypatch.setattr(simhash, "SET_SHINGLES", shingles)
+    monkeypatch.setattr(simhash, "PAIR_SHINGLES", pairs)
+    r = np.random.default_rng(3)
+    texts = []
+    for i in range(40):
+        words = [f"{i}w{j}" for j in r.integers(0, 10**6, 204)]
+        texts.append(words)
+        changed = i % 10 + 1  # each breaks five shingles of 200 on both sides: Jaccard 0.95 to 0.60
+        texts.append([f"new{w}" if j % 20 == 10 and j < 20 * changed else w for j, w in enumerate(words)])
+    words = texts[0]
+    for i in range(150):
+        words = [f"step{i}" if j == i % 200 else w for j, w in enumerate(words)]
+        texts.append(words)
+    texts += [["same"] * 900 + ["one", "two", "three", "four", "five"], ["same"] * 900 + ["six", "seven", "eight", "nine", "ten"]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    sets = [set(simhash.shingle_hashes(" ".join(t), 5).tolist()) for t in texts]
+    want = brute_components(range(len(sets)), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
+    assert len(set(want.values())) == 40 + 24 + 2
+    assert {x.doc_id: x.component_id for x in simhash.near_duplicates(docs).collect()} == want
+    packed = [np.unique(simhash.shingle_hashes(" ".join(t), 5)).tobytes() for t in texts]
+    assert simhash.similar_sets(packed, 0.8).tolist() == [want[i] for i in range(len(sets))]

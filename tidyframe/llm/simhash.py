@@ -7,6 +7,9 @@ tables of sampled bits that a pair at the radius is met with probability ``recal
 fingerprints are stored as vertical bit planes; distances to 64 of them at once are counted by
 carry-save bitwise counters, and words whose lanes all exceed the radius are abandoned early.
 A bucket returns only a spanning forest of its links, never all pairs.
+
+Where a similarity is asked for, these components only hold the candidates: in each of them the
+texts' shingle sets are compared, and links are the pairs whose Jaccard similarity reaches it.
 """
 
 from __future__ import annotations
@@ -17,16 +20,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
-from .shared import checkpointed, slices
+from .shared import checkpointed, shared_folder, slices
 
 SEED = 42
 #: Fingerprints that a bucket should hold, and at which it is cut into tiles.
 BUCKET, TILE = 512, 8192
 #: Pairs of a query and a word of lanes compared at a time, and planes between two looks for words to abandon.
 PAIRS, PLANES = 16384, 15
+#: Shingles of the sets that a task compares with each other or with as many more, and of the pairs it compares at a time.
+SET_SHINGLES, PAIR_SHINGLES = 2_000_000, 4_000_000
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -58,7 +64,10 @@ def _widened(h: np.ndarray, words: int) -> np.ndarray:
 
 def fingerprint(text: str | None, k: int, words: int = 1) -> bytes:
     """8 * words bytes; a bit is 1 if it is set in over half the shingle hashes; no words: zero."""
-    h = shingle_hashes(text, k)
+    return _fingerprint(shingle_hashes(text, k), words)
+
+
+def _fingerprint(h: np.ndarray, words: int) -> bytes:
     counts = np.zeros(64 * words, np.int64)
     offsets = np.arange(8 * words) * 256
     for start in range(0, len(h), 1 << 16):
@@ -222,26 +231,161 @@ def links(fps: DataFrame, n: int, bits: int, radius: int, tile: int = TILE) -> D
     return tiles.groupBy("t", "k", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
+def _sets(docs: DataFrame, shingle_words: int, bits: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, fp, uid, s, n, shingles) for every row, from the shared folder.
+
+    shingles: the n distinct shingle hashes in order, 8 bytes each; s: their hash, which names the set;
+    uid: a number of the row's own.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid = TaskContext.get().partitionId() << 40
+        for b in slices(batches):
+            hashes = [shingle_hashes(t, shingle_words) for t in b.column(1).to_pylist()]
+            fp = [_fingerprint(h, bits // 64) for h in hashes]
+            sets = [np.unique(h).astype("<u8") for h in hashes]
+            packed = [h.tobytes() for h in sets]
+            s = np.array([xxhash.xxh64_intdigest(x) for x in packed], np.uint64).astype(np.int64)
+            n = pa.array([len(h) for h in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.binary()), pa.array(np.arange(uid, uid + b.num_rows)), pa.array(s), n, pa.array(packed, pa.binary())], ["doc_id", "fp", "uid", "s", "n", "shingles"])
+            uid += b.num_rows
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    path = shared_folder(docs.sparkSession, "shingles")
+    made = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp binary, uid bigint, s bigint, n bigint, shingles binary")
+    made.write.option("compression", "none").parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start, as many as its size."""
+    return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+
+
+class _Groups:
+    """Sets, of which each knows the least one it has been linked to."""
+
+    def __init__(self, values: np.ndarray, sizes: np.ndarray, similarity: float):
+        self.values, self.sizes, self.similarity = values, sizes, similarity
+        self.starts = np.cumsum(sizes) - sizes
+        self.labels = np.arange(len(sizes))
+
+    def _similar(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs' Jaccard similarity is high enough."""
+        left, right = (np.repeat(np.arange(len(x)), self.sizes[x]) << 32 | self.values[_ranges(self.starts[x], self.sizes[x])] for x in (a, b))
+        at = np.minimum(np.searchsorted(left, right), len(left) - 1)
+        shared = np.bincount(right[left[at] == right] >> 32, minlength=len(a))
+        return shared >= self.similarity * (self.sizes[a] + self.sizes[b] - shared) - 1e-9
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Compares those pairs that are not linked yet and could be by their sizes."""
+        few, many = np.minimum(self.sizes[a], self.sizes[b]), np.maximum(self.sizes[a], self.sizes[b])
+        fit = few >= self.similarity * many - 1e-9
+        pairs = np.unique(np.minimum(a, b)[fit] << 32 | np.maximum(a, b)[fit])
+        while len(pairs):
+            a, b = pairs >> 32, pairs & 0xFFFFFFFF
+            open_ = self.labels[a] != self.labels[b]
+            a, b = a[open_], b[open_]
+            if not len(a):
+                return
+            some = max(1, int(np.searchsorted(np.cumsum(self.sizes[a] + self.sizes[b]), PAIR_SHINGLES)))
+            near = self._similar(a[:some], b[:some])
+            for x, y in zip(a[:some][near].tolist(), b[:some][near].tolist()):
+                p, q = self.labels[x], self.labels[y]
+                if p != q:
+                    self.labels[self.labels == max(p, q)] = min(p, q)
+            pairs = (a << 32 | b)[some:]
+
+
+def similar_sets(packed: list[bytes], similarity: float) -> np.ndarray:
+    """Of distinct sets of hashes in order: each one's least linked set, directly or through others.
+
+    Two sets are linked if their Jaccard similarity is at least ``similarity``. Such sets share a hash
+    among the least of each (as many as may differ, and one), so only sets that do are compared.
+    """
+    sizes = np.array([len(x) // 8 for x in packed], np.int64)
+    values = np.unique(np.frombuffer(b"".join(packed), "<u8"), return_inverse=True)[1].astype(np.int64)
+    groups = _Groups(values, sizes, similarity)
+    least = np.where(sizes > 0, sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1, 0).clip(max=sizes)
+    owner = np.repeat(np.arange(len(sizes)), least)
+    value = values[_ranges(groups.starts, least)]
+    order = np.lexsort((owner, sizes[owner], value))
+    owner, value = owner[order], value[order]
+    # neighbours first, so that most of a large group is one before all of its pairs are looked at
+    beside = value[1:] == value[:-1]
+    groups.link(owner[:-1][beside], owner[1:][beside])
+    for run in np.split(owner, np.flatnonzero(~beside) + 1) if len(owner) else []:
+        if len(run) < 3:
+            continue
+        own = groups.labels[run]
+        for label in np.unique(own)[1:]:  # of two groups the pairs are those of the later with all others before it
+            ours, others = run[own == label], run[own < label]
+            step = max(1, 1_000_000 // len(others))
+            for at in range(0, len(ours), step):
+                part = ours[at : at + step]
+                groups.link(np.repeat(part, len(others)), np.tile(others, len(part)))
+    return groups.labels
+
+
+def _verified(rows: DataFrame, parts: DataFrame, fps: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between the named sets of ``rows`` that lie in one component of fingerprints.
+
+    Small components share a task; those of over SET_SHINGLES shingles are dealt in parts to tiles.
+    """
+    label = fps.select("fp", "node").join(parts, "node").select("fp", "label")
+    single = rows.groupBy("fp").agg(F.min("s").alias("s"), F.max("s").alias("other")).filter("s <> other").select("fp")  # equal fingerprints of other sets
+    label = label.unionByName(single.join(label, "fp", "left_anti").select("fp", F.xxhash64("fp").alias("label")))
+    chosen = rows.filter("n > 0").select("fp", "s", "uid", "n").join(label, "fp").groupBy("label", "s").agg(F.min(F.struct("uid", "n")).alias("u"))
+    chosen = checkpointed(chosen.select("label", "s", "u.uid", "u.n"))
+    total = chosen.agg(F.sum("n")).first()[0] or 0
+    bundles = max(1, -(-total // SET_SHINGLES))
+    size = chosen.groupBy("label").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).filter("sets > 1")
+    size = size.select("label", F.greatest(F.ceil(F.col("shingles") / SET_SHINGLES), F.ceil(F.col("sets") / TILE)).cast("int").alias("parts"))
+    tiles = (
+        chosen.join(size, "label")
+        .withColumn("g", F.when(F.col("parts") > 1, F.col("label")).otherwise(F.pmod(F.xxhash64("label"), F.lit(bundles))))
+        .withColumn("large", F.col("parts") > 1)
+        .withColumn("p", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int"))
+        .join(rows.select("uid", "shingles"), "uid")
+        .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("large", "g", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "s", "shingles")
+    )
+
+    def run(table: pa.Table) -> pa.Table:
+        s, first = np.unique(table.column("s").to_numpy(), return_index=True)
+        root = similar_sets(table.column("shingles").take(pa.array(first)).to_pylist(), similarity)
+        own = np.flatnonzero(root != np.arange(len(s)))
+        return pa.table({"a": s[own], "b": s[root[own]]})
+
+    return tiles.groupBy("large", "g", "i", "j").applyInArrow(run, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, bits: int = 384, radius: int | None = None, similarity: float = 0.8, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint hex, component_id) for every row of ``docs``.
 
-    Two rows are linked if their fingerprints differ in at most ``radius`` bits (by default the
-    share of bits that ``similarity`` leaves); component_id is the least id reachable over links.
-    Null and empty texts have fingerprint zero and are linked like any other. Repeated rows stay
-    repeated. Null ids never name a component unless all ids in it are null. An empty table
+    With a ``radius`` two rows are linked if their fingerprints differ in at most that many bits.
+    Without one, fingerprints that differ in at most the share of bits that ``similarity`` leaves
+    give the candidates, and two of these are linked if the Jaccard similarity of their sets of
+    shingles is at least ``similarity``. component_id is the least id reachable over links.
+    Null and empty texts have fingerprint zero and equal sets and are linked like any other. Repeated
+    rows stay repeated. Null ids never name a component unless all ids in it are null. An empty table
     gives no rows; further columns are left out.
     """
-    radius = int(round((1 - similarity) * bits, 9)) if radius is None else radius
-    rows = checkpointed(fingerprints(docs, shingle_words, bits, id_col, text_col))
+    verify = radius is None
+    radius = int(round((1 - similarity) * bits, 9)) if verify else radius
+    rows = _sets(docs, shingle_words, bits, id_col, text_col) if verify else checkpointed(fingerprints(docs, shingle_words, bits, id_col, text_col))
     node = F.conv(F.hex("fp"), 16, -10).cast("bigint") if bits == 64 else F.xxhash64("fp")
     fps = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", node))
     n = fps.count()
     parts = connected_components(links(fps, n, bits, radius, tile))
+    key = "fp"
+    if verify:
+        parts = connected_components(_verified(rows, parts, fps, similarity))
+        key, fps = "s", rows.groupBy("s").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("s"))
     named = fps.select("node", "least").join(parts, "node")
     least = named.groupBy("label").agg(F.min("least").alias("component"))
     component = checkpointed(named.join(least, "label").select("node", "component"))
-    known = fps.join(component, "node", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return rows.join(known, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    known = fps.join(component, "node", "left").select(key, F.coalesce("component", "least").alias("component_id"))
+    return rows.join(known, key).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
