@@ -223,6 +223,17 @@ def test_jsonl(spark, tmp_path):
         files.read_jsonl(spark, str(tmp_path / "bad.jsonl")).collect()
 
 
+def test_jsonl_types_hold_for_all_rows(spark, tmp_path):
+    """Keys with few values among the first rows, and one first seen after them, are typed by all their values."""
+    lines = ['{"a": 1, "x": "1"}', *['{"a": 1}'] * 2100, '{"a": 1, "x": "1.5", "late": 7}', '{"a": 1, "x": "2"}']
+    (tmp_path / "sparse.jsonl").write_text("\n".join(lines) + "\n")
+    df = files.read_jsonl(spark, str(tmp_path / "sparse.jsonl"))
+    assert df.dtypes == [("a", "bigint"), ("late", "bigint"), ("x", "double")]
+    assert sorted(r.x for r in df.filter("x is not null").collect()) == [1.0, 1.5, 2.0]
+    (tmp_path / "word.jsonl").write_text("\n".join([*lines, '{"x": "word"}']) + "\n")
+    assert sorted(r.x for r in files.read_jsonl(spark, str(tmp_path / "word.jsonl")).filter("x is not null").collect()) == ["1", "1.5", "2", "word"]
+
+
 def test_round_trip(spark, sf_dir, tmp_path):
     orders = files.read_parquet(spark, f"{sf_dir}/orders.parquet")
     files.write_csv(orders, str(tmp_path / "c"))

@@ -123,9 +123,10 @@ def read_tsv(spark: SparkSession, path: str, **options) -> DataFrame:
     return read_csv(spark, path, delimiter="\t", **options)
 
 
-def read_jsonl(spark: SparkSession, path: str, infer: bool = True, sample: int | None = SAMPLE_ROWS) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, infer: bool = True, sample: int | None = None) -> DataFrame:
     """JSON lines: the union of all keys as columns, in order of name.
 
+    Types are inferred from all rows, in one aggregate, or from the first ``sample`` if given.
     Blank lines are skipped; a line that is no object is the column ``value``; nested values are
     JSON text. Bad JSON is an error when the rows are read.
     """
