@@ -268,6 +268,7 @@ class _Groups:
         self.values, self.sizes, self.similarity = values, sizes, similarity
         self.starts = np.cumsum(sizes) - sizes
         self.labels = np.arange(len(sizes))
+        self.apart = np.zeros(0, np.int64)  # pairs that were compared and are not linked
 
     def _similar(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Which pairs' Jaccard similarity is high enough."""
@@ -277,23 +278,29 @@ class _Groups:
         return shared >= self.similarity * (self.sizes[a] + self.sizes[b] - shared) - 1e-9
 
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Compares those pairs that are not linked yet and could be by their sizes."""
-        few, many = np.minimum(self.sizes[a], self.sizes[b]), np.maximum(self.sizes[a], self.sizes[b])
-        fit = few >= self.similarity * many - 1e-9
-        pairs = np.unique(np.minimum(a, b)[fit] << 32 | np.maximum(a, b)[fit])
+        """Compares those pairs that are neither linked nor compared yet."""
+        pairs = np.setdiff1d(np.minimum(a, b) << 32 | np.maximum(a, b), self.apart)
         while len(pairs):
             a, b = pairs >> 32, pairs & 0xFFFFFFFF
-            open_ = self.labels[a] != self.labels[b]
-            a, b = a[open_], b[open_]
-            if not len(a):
+            pairs = pairs[self.labels[a] != self.labels[b]]
+            if not len(pairs):
                 return
+            a, b = pairs >> 32, pairs & 0xFFFFFFFF
             some = max(1, int(np.searchsorted(np.cumsum(self.sizes[a] + self.sizes[b]), PAIR_SHINGLES)))
             near = self._similar(a[:some], b[:some])
+            self.apart = np.union1d(self.apart, pairs[:some][~near])
+            up = self.labels.tolist()
             for x, y in zip(a[:some][near].tolist(), b[:some][near].tolist()):
-                p, q = self.labels[x], self.labels[y]
-                if p != q:
-                    self.labels[self.labels == max(p, q)] = min(p, q)
-            pairs = (a << 32 | b)[some:]
+                while up[x] != x:
+                    up[x] = x = up[up[x]]
+                while up[y] != y:
+                    up[y] = y = up[up[y]]
+                up[max(x, y)] = min(x, y)
+            labels = np.array(up)
+            while (labels[labels] != labels).any():
+                labels = labels[labels]
+            self.labels = labels
+            pairs = pairs[some:]
 
 
 def similar_sets(packed: list[bytes], similarity: float) -> np.ndarray:
@@ -310,19 +317,23 @@ def similar_sets(packed: list[bytes], similarity: float) -> np.ndarray:
     value = values[_ranges(groups.starts, least)]
     order = np.lexsort((owner, sizes[owner], value))
     owner, value = owner[order], value[order]
-    # neighbours first, so that most of a large group is one before all of its pairs are looked at
-    beside = value[1:] == value[:-1]
-    groups.link(owner[:-1][beside], owner[1:][beside])
-    for run in np.split(owner, np.flatnonzero(~beside) + 1) if len(owner) else []:
-        if len(run) < 3:
-            continue
-        own = groups.labels[run]
-        for label in np.unique(own)[1:]:  # of two groups the pairs are those of the later with all others before it
-            ours, others = run[own == label], run[own < label]
-            step = max(1, 1_000_000 // len(others))
-            for at in range(0, len(ours), step):
-                part = ours[at : at + step]
-                groups.link(np.repeat(part, len(others)), np.tile(others, len(part)))
+    # pairs of neighbours first, so that most of a large group is one before all its pairs are looked at
+    at, held = np.arange(len(owner)), []
+    for apart in range(1, len(owner)):
+        at = at[at < len(owner) - apart]
+        x, y = owner[at], owner[at + apart]
+        fit = (value[at] == value[at + apart]) & (sizes[x] >= similarity * sizes[y] - 1e-9)  # later ones are no smaller
+        at, x, y = at[fit], x[fit], y[fit]
+        if len(at):
+            open_ = groups.labels[x] != groups.labels[y]
+            held.append((x[open_], y[open_]))
+        if held and (apart == 1 or not len(at) or sum(len(x) for x, _ in held) > 500_000):
+            groups.link(*map(np.concatenate, zip(*held)))
+            held = []
+        if not len(at):
+            break
+    if held:
+        groups.link(*map(np.concatenate, zip(*held)))
     return groups.labels
 
 
@@ -337,7 +348,7 @@ def _verified(rows: DataFrame, parts: DataFrame, fps: DataFrame, similarity: flo
     chosen = rows.filter("n > 0").select("fp", "s", "uid", "n").join(label, "fp").groupBy("label", "s").agg(F.min(F.struct("uid", "n")).alias("u"))
     chosen = checkpointed(chosen.select("label", "s", "u.uid", "u.n"))
     total = chosen.agg(F.sum("n")).first()[0] or 0
-    bundles = max(1, -(-total // SET_SHINGLES))
+    bundles = max(1, -(-8 * total // SET_SHINGLES))
     size = chosen.groupBy("label").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).filter("sets > 1")
     size = size.select("label", F.greatest(F.ceil(F.col("shingles") / SET_SHINGLES), F.ceil(F.col("sets") / TILE)).cast("int").alias("parts"))
     tiles = (
