@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from collections.abc import Iterable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -21,6 +22,17 @@ def name(column: str) -> Column:
     return F.col(f"`{column.replace('`', '``')}`")
 
 
+def unused(columns: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names, each with underscores after it until no column has it, in whatever case."""
+    taken, out = {c.lower() for c in columns}, []
+    for w in wanted:
+        while w.lower() in taken:
+            w += "_"
+        taken.add(w.lower())
+        out.append(w)
+    return out
+
+
 def label(kind: T.DataType) -> str:
     """integer, float, string, boolean, datetime, or Spark's own name for other types."""
     if isinstance(kind, T.IntegralType):
@@ -99,7 +111,9 @@ def typed_literal(kind: T.DataType, value: Any) -> Column:
     """A literal of a column's kind; a value that isn't one raises ValueError."""
     what = label(kind)
     if what == "boolean":
-        return F.lit(value if isinstance(value, bool) else str(value) in ("true", "True", "1"))
+        if str(value) not in ("true", "True", "1", "false", "False", "0"):
+            raise ValueError(f"{value!r} is no boolean")
+        return F.lit(str(value) in ("true", "True", "1"))
     if what == "integer":
         return F.lit(int(str(value).strip()))
     if what == "float":

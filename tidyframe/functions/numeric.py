@@ -12,12 +12,18 @@ def round_half_even(c: Column, decimals: int = 0) -> Column:
     return F.rint(c * scale) / scale if decimals > 0 else F.rint(c / scale) * scale
 
 
+def _whole(c: Column, step: Column) -> Column:
+    """The step's result as a double; from 2**53 on doubles are whole numbers, or none at all, and stay."""
+    d = c.cast("double")
+    return F.when((F.abs(d) >= 2.0**53) | F.isnan(d), d).otherwise(step.cast("double"))
+
+
 def floor(c: Column) -> Column:
-    return F.floor(c).cast("double")
+    return _whole(c, F.floor(c))
 
 
 def ceiling(c: Column) -> Column:
-    return F.ceil(c).cast("double")
+    return _whole(c, F.ceil(c))
 
 
 def scaled(c: Column, low: Column, high: Column, to_low: float, to_high: float) -> Column:

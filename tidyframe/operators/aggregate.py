@@ -7,20 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..dtypes import missing, name, present
-from .quantile import group_quantiles
+from .quantile import group_quantiles, numbered
 
 
 def group_by_agg(df: DataFrame, keys: Sequence[str], column: str, how: str, approximate: bool = False) -> DataFrame:
     """One of sum, mean, median, count, min, max, std of a column, under its own name, by keys and in their order.
 
     Rows with a missing key are left out. Exact medians range-partition the groups' value counts, so
-    that a group may be of any size; ``approximate`` ones take one pass.
+    that a group may be of any size; ``approximate`` ones take one pass. Means and medians of datetimes
+    are datetimes, to the microsecond.
     """
     c = present(df, column)
+    as_number, back = numbered(df, column)
     made = {
         "sum": lambda: F.coalesce(F.sum(c), F.lit(0)),
-        "mean": lambda: F.avg(c),
-        "median": lambda: F.percentile_approx(c, 0.5, 10000),
+        "mean": lambda: back(F.avg(as_number)),
+        "median": lambda: back(F.percentile_approx(as_number, 0.5, 10000)),
         "count": lambda: F.count(c),
         "min": lambda: F.min(c),
         "max": lambda: F.max(c),
@@ -37,9 +39,10 @@ def group_by_agg(df: DataFrame, keys: Sequence[str], column: str, how: str, appr
 
 
 def _medians(rows: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
-    found = group_quantiles(rows, [name(k) for k in keys], present(rows, column), [0.5])
+    as_number, back = numbered(rows, column)
+    found = group_quantiles(rows, [name(k) for k in keys], as_number, [0.5])
     ks = [f"k{i}" for i in range(len(keys))]
-    return found.orderBy(*ks).select(*[F.col(n).alias(k) for n, k in zip(ks, keys)], F.get("q", F.lit(0)).alias(column))
+    return found.orderBy(*ks).select(*[F.col(n).alias(k) for n, k in zip(ks, keys)], back(F.get("q", F.lit(0))).alias(column))
 
 
 def count_distinct(df: DataFrame, column: str, approximate: bool = False) -> DataFrame:

@@ -7,11 +7,13 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..dtypes import FALSE_TOKENS, TRUE_TOKENS, kind_of, label, may_be_nan, missing, name, present, py_literal, typed_literal
+from ..dtypes import FALSE_TOKENS, TRUE_TOKENS, kind_of, label, may_be_nan, missing, name, present, py_literal, typed_literal, unused
 from ..functions import numeric, text
 from ..sources.files import parse_datetime
 from .ordering import fill_in_order
-from .quantile import group_quantiles, mode
+from .quantile import group_quantiles, mode, numbered
+
+MOST_PARTS = 1000
 
 
 def _known(df: DataFrame, columns: Sequence[str]) -> None:
@@ -123,16 +125,18 @@ def fill_missing(df: DataFrame, column: str, method: str = "value", value: Any =
         if order_by is None:
             raise ValueError("order_by is needed: Spark's rows have no order of their own")
         return fill_in_order(df, column, order_by, method == "bfill", partition_by)
+    (fill,) = unused(df.columns, "_fill")
+    as_number, back = numbered(df, column)
     if method == "median":
-        one = group_quantiles(df, [], c, [0.5]).agg(F.max(F.get("q", F.lit(0))).alias("_fill"))
+        one = group_quantiles(df, [], as_number, [0.5]).agg(back(F.max(F.get("q", F.lit(0)))).alias(fill))
     elif method == "mode":
-        one = mode(df, c).select(F.col("mode").alias("_fill"))
+        one = mode(df, c).select(F.col("mode").alias(fill))
     elif method == "mean":
-        one = df.agg(F.avg(c).alias("_fill"))
+        one = df.agg(back(F.avg(as_number)).alias(fill))
     else:
         raise ValueError(f"unknown method {method!r}")
     # ``one`` is a single row
-    return replaced(df.crossJoin(F.broadcast(one)), column, F.coalesce(c, F.col("_fill"))).select(*[name(x) for x in df.columns])
+    return replaced(df.crossJoin(F.broadcast(one)), column, F.coalesce(c, F.col(fill))).select(*[name(x) for x in df.columns])
 
 
 def find_replace(df: DataFrame, column: str, find: str, replacement: str, regex: bool = False) -> DataFrame:
@@ -161,18 +165,24 @@ def calc_text_length(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(f"{column}_length", text.text_length(name(column)))
 
 
-def split_text(df: DataFrame, column: str, delimiter: str, max_splits: int = -1, n_parts: int | None = None, regex: bool = False) -> DataFrame:
-    """Columns {column}_1 ... {column}_n beside the source; n: most parts in any row, unless given."""
+def split_text(df: DataFrame, column: str, delimiter: str, max_splits: int = -1, n_parts: int | None = None, regex: bool = False, most_parts: int = MOST_PARTS) -> DataFrame:
+    """Columns {column}_1 ... {column}_n beside the source; n: most parts in any row, unless given.
+
+    Raises where a row has more than ``most_parts``: a table of as many columns is of no use.
+    """
     parts = text.split_text(name(column).cast("string"), delimiter, max_splits, regex)
     n = n_parts or df.agg(F.max(F.size(parts))).first()[0] or 1
+    if n > most_parts:
+        raise ValueError(f"a row has {n} parts, more than {most_parts}: give max_splits, n_parts or a higher most_parts")
     return df.withColumns({f"{column}_{i + 1}": F.get(parts, F.lit(i)) for i in range(n)})
 
 
 def scale_min_max(df: DataFrame, column: str, low: float = 0.0, high: float = 1.0) -> DataFrame:
     c = present(df, column)
-    ends = df.agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"))  # a single row
+    lo, hi = unused(df.columns, "_lo", "_hi")
+    ends = df.agg(F.min(c).alias(lo), F.max(c).alias(hi))  # a single row
     wide = df.crossJoin(F.broadcast(ends))
-    return replaced(wide, column, numeric.scaled(c, F.col("_lo"), F.col("_hi"), low, high)).drop("_lo", "_hi")
+    return replaced(wide, column, numeric.scaled(c, F.col(lo), F.col(hi), low, high)).drop(lo, hi)
 
 
 def round_column(df: DataFrame, column: str, decimals: int = 0) -> DataFrame:

@@ -9,7 +9,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..dtypes import format_cell, kind_of, label, may_be_nan, missing, name, present, py_literal, typed_literal
+from ..dtypes import format_cell, kind_of, label, may_be_nan, missing, name, present, py_literal, typed_literal, unused
 
 COMPARE = ("eq", "ne", "gt", "gte", "lt", "lte")
 TEXT = ("contains", "starts_with", "ends_with", "regex")
@@ -57,10 +57,10 @@ def predicate(df: DataFrame, spec: FilterSpec) -> Column:
     return found & ~F.isnan(c) if may_be_nan(kind) else found
 
 
-def _counted(df: DataFrame, column: str, op: str) -> DataFrame:
+def _counted(df: DataFrame, column: str, op: str, into: str) -> DataFrame:
     """Values that occur more than once, or once, in a column; keys only are shuffled, partly counted first."""
-    counts = df.select(present(df, column).alias("_v")).groupBy("_v").agg(F.count("*").alias("_n"))
-    return counts.filter(F.col("_n") > 1 if op == "is_duplicated" else F.col("_n") == 1).select("_v")
+    counts = df.select(present(df, column).alias("v")).groupBy("v").agg(F.count("*").alias("n"))
+    return counts.filter(F.col("n") > 1 if op == "is_duplicated" else F.col("n") == 1).select(F.col("v").alias(into))
 
 
 def keep_repeats(df: DataFrame, column: str, op: str, counted_in: DataFrame | None = None, missing_repeat: bool = False) -> DataFrame:
@@ -68,10 +68,11 @@ def keep_repeats(df: DataFrame, column: str, op: str, counted_in: DataFrame | No
 
     Missing values never match unless ``missing_repeat``: then they are equal to each other.
     """
-    values = _counted(counted_in if counted_in is not None else df, column, op)
+    (v,) = unused(df.columns, "_v")
+    values = _counted(counted_in if counted_in is not None else df, column, op, v)
     if missing_repeat:
-        return df.join(values, present(df, column).eqNullSafe(F.col("_v")), "left_semi")
-    return df.join(values.filter("_v is not null"), present(df, column) == F.col("_v"), "left_semi")
+        return df.join(values, present(df, column).eqNullSafe(F.col(v)), "left_semi")
+    return df.join(values.filter(F.col(v).isNotNull()), present(df, column) == F.col(v), "left_semi")
 
 
 def apply_filters(df: DataFrame, specs: Sequence[FilterSpec]) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..dtypes import format_cell, name, present
+from ..dtypes import format_cell, kind_of, name, present, unused
 from ..session import checkpointed, shuffle_partitions
 from .filters import FilterSpec, apply_filters
 
@@ -54,18 +56,26 @@ def view_row_count(df: DataFrame, filters: Sequence[FilterSpec] = ()) -> DataFra
     return apply_filters(df, filters).agg(F.count("*").alias("rows")).crossJoin(F.broadcast(total))
 
 
+def _dealt(df: DataFrame, keys: Sequence[Column]) -> DataFrame:
+    """Rows in sorted range partitions by keys; rows of one key are dealt on by their hash and where they come from."""
+    hashed = [name(f.name) for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    tie, origin = unused(df.columns, "_tie", "_origin")
+    marked = df.withColumns({tie: F.xxhash64(*hashed) if hashed else F.lit(0), origin: F.spark_partition_id()})
+    order = [*keys, F.col(tie), F.col(origin)]
+    return marked.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order).drop(tie, origin)
+
+
 def row_position(df: DataFrame, order_by: Sequence[Key], into: str = "row_position") -> DataFrame:
     """Each row's position in order, from 0: range partitions, numbers within each, offsets from their counts."""
     _need(order_by)
-    keys = sort_columns(df, order_by)
-    dealt = df.repartitionByRange(shuffle_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
-    rows = checkpointed(dealt.withColumn("_m", F.monotonically_increasing_id()))
-    part, at = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    joined = rows.withColumn("_part", part).join(F.broadcast(offsets), "_part")
-    return joined.select(*[name(c) for c in df.columns], (at + F.col("_before")).alias(into))
+    m, p, n, before = unused(df.columns, "_m", "_part", "_n", "_before")
+    rows = checkpointed(_dealt(df, sort_columns(df, order_by)).withColumn(m, F.monotonically_increasing_id()))
+    part, at = F.shiftright(m, 33), F.col(m).bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(part.alias(p)).agg(F.count("*").alias(n))
+    earlier = Window.orderBy(p).rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    offsets = sizes.select(p, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
+    joined = rows.withColumn(p, part).join(F.broadcast(offsets), p)
+    return joined.select(*[name(c) for c in df.columns], (at + F.col(before)).alias(into))
 
 
 with_row_id = row_position
@@ -73,22 +83,25 @@ with_row_id = row_position
 
 def page_by_position(df: DataFrame, order_by: Sequence[Key], start: int, end: int) -> DataFrame:
     """Rows [start, end) however deep: no task gathers the rows before them."""
-    placed = row_position(df, order_by, "_at").filter(F.col("_at").between(start, end - 1))
-    return placed.orderBy("_at").drop("_at")
+    (at,) = unused(df.columns, "_at")
+    placed = row_position(df, order_by, at).filter(F.col(at).between(start, end - 1))
+    return placed.orderBy(at).drop(at)
 
 
 def search_values(df: DataFrame, column: str, query: str, order_by: Sequence[Key]) -> DataFrame:
     """Positions in order of rows whose cell's text holds the query, case folded."""
-    shown = df.select(*[name(k if isinstance(k, str) else k[0]) for k in order_by], F.lower(format_cell(df, column)).contains(query.lower()).alias("_hit"))
-    return row_position(shown, order_by).filter("_hit").select("row_position")
+    keys = list(dict.fromkeys(k if isinstance(k, str) else k[0] for k in order_by))
+    hit, at = unused(keys, "_hit", "row_position")
+    shown = df.select(*[name(k) for k in keys], F.lower(format_cell(df, column)).contains(query.lower()).alias(hit))
+    return row_position(shown, order_by, at).filter(hit).select(F.col(at).alias("row_position"))
 
 
 def fill_in_order(df: DataFrame, column: str, order_by: str, backward: bool = False, partition_by: Sequence[str] = ()) -> DataFrame:
     """Missing cells take the last present value before them (after them if backward) in order; rows without a key come last.
 
-    With ``partition_by`` a plain window. Without, the rows are range-partitioned by the order key,
-    filled within partitions, and what each partition hands on is carried over by a table
-    of one row for each partition.
+    With ``partition_by`` a plain window. Without, the rows are range-partitioned by the order key
+    once; each sorted partition is filled as its Arrow batches pass, with the last value held, and what
+    a partition hands on is carried over by a table of one row for each partition.
     """
     value, at = present(df, column), present(df, order_by)
     key = at.desc_nulls_first() if backward else at.asc_nulls_last()
@@ -96,11 +109,27 @@ def fill_in_order(df: DataFrame, column: str, order_by: str, backward: bool = Fa
         w = Window.partitionBy(*[name(c) for c in partition_by]).orderBy(key)
         filled = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
         return df.withColumn(column, filled).select(*[name(c) for c in df.columns])
-    dealt = df.withColumn("_v", value).repartitionByRange(shuffle_partitions(df.sparkSession), key)
-    rows = checkpointed(dealt.withColumn("_p", F.spark_partition_id()))
-    inner = Window.partitionBy("_p").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    edge = F.min_by if backward else F.max_by
-    tails = rows.groupBy("_p").agg(edge("_v", F.when(F.col("_v").isNotNull(), F.struct(at.isNull(), at))).alias("_tail"))
-    carry = tails.select("_p", F.last("_tail", ignorenulls=True).over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
-    filled = rows.withColumn("_v", F.last("_v", ignorenulls=True).over(inner)).join(F.broadcast(carry), "_p")
-    return filled.withColumn(column, F.coalesce("_v", "_carry")).select(*[name(c) for c in df.columns])
+    kind_of(df, column)
+    place = df.columns.index(column)
+    m, p, tail, carry = unused(df.columns, "_m", "_part", "_tail", "_carry")
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            c = b.column(place)
+            if b.num_rows and held is not None:
+                c = pa.concat_arrays([held, c])
+            last = np.maximum.accumulate(np.where(c.is_valid().to_numpy(zero_copy_only=False), np.arange(len(c)), -1))
+            c = c.take(pa.array(last, mask=last < 0))[len(c) - b.num_rows :]
+            if b.num_rows and c[-1].is_valid:
+                held = pa.array([c[-1].as_py()], c.type)  # a copy, so that the batch can go
+            yield b.set_column(place, b.schema.field(place), c)
+
+    present_only = df.select(*[value.alias(c) if c == column else name(c) for c in df.columns])
+    dealt = _dealt(present_only, [key]).mapInArrow(fill, present_only.schema)
+    rows = checkpointed(dealt.withColumn(m, F.monotonically_increasing_id())).withColumn(p, F.shiftright(m, 33))
+    tails = rows.groupBy(p).agg(F.max_by(name(column), F.col(m)).alias(tail))
+    earlier = Window.orderBy(p).rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    carried = tails.select(p, F.last(tail, ignorenulls=True).over(earlier).alias(carry))
+    joined = rows.join(F.broadcast(carried), p)
+    return joined.select(*[F.coalesce(name(c), F.col(carry)).alias(c) if c == column else name(c) for c in df.columns])

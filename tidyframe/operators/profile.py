@@ -177,8 +177,9 @@ def quick_insights(df: DataFrame) -> DataFrame:
     if shown_as_text:
         counts = value_counts(df, shown_as_text)
         found.append(counts.groupBy("column").agg(F.count("n").alias("distinct")))
-        w = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))  # Spark keeps the first ranks before the shuffle too
-        ranked = counts.withColumn("slot", F.row_number().over(w) - 1).filter(F.col("slot") < TOP_TEXT)
+        w = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
+        # a limit on the bare rank: Spark then keeps each task's first ranks alone before the shuffle
+        ranked = counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= TOP_TEXT).withColumn("slot", F.col("rank") - 1)
         most = F.when(F.col("column").isin(*_kinds(df, "boolean")), TOP_BOOLEAN).otherwise(TOP_TEXT)
         parts.append(ranked.filter(F.col("slot") < most).select("column", "slot", "value", *null(("lower", "double"), ("upper", "double")), "n"))
     if rest:

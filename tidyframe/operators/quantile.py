@@ -7,13 +7,22 @@ which the wanted ranks lie, and walk only the keys' rows in these.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..dtypes import kind_of, label, present
 from ..session import checkpointed, shuffle_partitions
 
 
+def numbered(df: DataFrame, column: str) -> tuple[Column, Callable[[Column], Column]]:
+    """A column's present values as numbers (datetimes: microseconds), and what makes an average of these a value again."""
+    c = present(df, column)
+    if label(kind_of(df, column)) != "datetime":
+        return c, lambda x: x
+    return F.unix_micros(c.cast("timestamp")), lambda x: F.timestamp_micros(x.cast("bigint"))
+
+
 def dealt_by_value(counts: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The counts in range partitions by keys and value, with the partition's number _p, in reliable storage."""
     return checkpointed(counts.repartitionByRange(shuffle_partitions(counts.sparkSession), *keys, *order).withColumn("_p", F.spark_partition_id()))

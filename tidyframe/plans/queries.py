@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..dtypes import nan_to_null, py_literal
 from ..operators import aggregate, by_example as examples, clean, diff, encode, filters, ordering, profile
 from ..operators.filters import FilterSpec
+from ..session import shared_folder as scratch
 from ..sources import files
 from . import recipe
 from .recipe import Step
@@ -37,14 +36,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidyframe-"))
-    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 def on(name: str, step: Callable[[DataFrame], DataFrame]):
     """A query that applies a step to a table."""
     return lambda spark, sf_dir: step(table(spark, sf_dir, name))
@@ -181,6 +172,8 @@ add("scale_min_max", on("lineitem", lambda df: clean.scale_min_max(df, "l_extend
 add("round", on("lineitem", lambda df: clean.round_column(df, "l_extendedprice").select("l_orderkey", "l_linenumber", "l_extendedprice")), "SELECT l_orderkey, l_linenumber, round_even(l_extendedprice, 0) AS l_extendedprice FROM lineitem")
 add("floor", on("lineitem", lambda df: clean.floor_column(df, "l_extendedprice").select("l_orderkey", "l_linenumber", "l_extendedprice")), "SELECT l_orderkey, l_linenumber, floor(l_extendedprice) AS l_extendedprice FROM lineitem")
 add("ceiling", on("lineitem", lambda df: clean.ceiling_column(df, "l_extendedprice").select("l_orderkey", "l_linenumber", "l_extendedprice")), "SELECT l_orderkey, l_linenumber, ceil(l_extendedprice) AS l_extendedprice FROM lineitem")
+for _name, _step in (("floor", clean.floor_column), ("ceiling", clean.ceiling_column)):
+    add(f"{_name}_large", on("lineitem", lambda df, f=_step: f(df.withColumn("l_extendedprice", F.col("l_extendedprice") * F.pow(F.lit(10.0), 4 * F.col("l_linenumber"))), "l_extendedprice").select("l_orderkey", "l_linenumber", "l_extendedprice")), f"SELECT l_orderkey, l_linenumber, {_name.replace('ceiling', 'ceil')}(l_extendedprice * pow(10.0, 4 * l_linenumber)) AS l_extendedprice FROM lineitem")
 add("one_hot_encode", on("orders", lambda df: encode.one_hot_encode(_gapped(df).select("o_orderkey", "o_orderpriority"), "o_orderpriority")), f"""SELECT o_orderkey, coalesce(o_orderpriority = '1-URGENT', false) AS "o_orderpriority_1-URGENT", coalesce(o_orderpriority = '2-HIGH', false) AS "o_orderpriority_2-HIGH", coalesce(o_orderpriority = '3-MEDIUM', false) AS "o_orderpriority_3-MEDIUM", coalesce(o_orderpriority = '4-NOT SPECIFIED', false) AS "o_orderpriority_4-NOT SPECIFIED" FROM {_GAPPED}""")
 add("multi_label_binarizer", on("lineitem", lambda df: encode.multi_label_binarizer(df.select("l_orderkey", "l_linenumber", F.concat_ws(",", "l_returnflag", "l_linestatus").alias("tags")), "tags")), """SELECT l_orderkey, l_linenumber, l_returnflag || ',' || l_linestatus AS tags, (l_returnflag = 'A')::INT AS "A", (l_linestatus = 'F')::INT AS "F", (l_returnflag = 'N')::INT AS "N", (l_linestatus = 'O')::INT AS "O", (l_returnflag = 'R')::INT AS "R" FROM lineitem""")
 add("by_example", on("customer", lambda df: examples.by_example(df, "c_name", "number", [("Customer#000000001", "00000001"), ("Customer#123456789", "23456789")]).select("c_custkey", "number")), "SELECT c_custkey, right(c_name, 8) AS number FROM customer")
@@ -193,6 +186,7 @@ for _how, _sql in (("sum", "round(sum(l_extendedprice), 2)"), ("mean", "round(av
     _digits = {"sum": 2, "mean": 4, "median": 4, "std": 4}.get(_how)
     _round = (lambda df, d=_digits: df.withColumn("l_extendedprice", F.round("l_extendedprice", d))) if _digits else (lambda df: df)
     add(f"group_by_agg_{_how}", on("lineitem", lambda df, h=_how, r=_round: r(aggregate.group_by_agg(df, ["l_returnflag", "l_linestatus"], "l_extendedprice", h))), f"SELECT l_returnflag, l_linestatus, {_sql} AS l_extendedprice FROM lineitem GROUP BY 1, 2")
+add("group_by_agg_median_datetime", on("orders", lambda df: aggregate.group_by_agg(df, ["o_orderstatus"], "o_orderdate", "median")), "SELECT o_orderstatus, make_timestamp(quantile_cont(epoch_us(o_orderdate), 0.5)::BIGINT) AS o_orderdate FROM orders GROUP BY 1")
 add("count_distinct", on("events", lambda df: aggregate.count_distinct(_holes(df), "value")), f"SELECT count(DISTINCT value) AS distinct_count FROM {_EVENTS}")
 
 # ---- profile

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, DataFrameReader, Row, SparkSession, functions as F, types as T
 
-from ..dtypes import FALSE_TOKENS, NA_TOKENS, TRUE_TOKENS, label, name, physical
+from ..dtypes import FALSE_TOKENS, NA_TOKENS, TRUE_TOKENS, label, name, physical, unused
 
-SAMPLE_ROWS = 2048
+#: Keys of JSON lines that may become columns.
+MOST_KEYS = 10_000
 _INT = r"^[+-]?\d{1,19}$"
 _FLOAT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 # The date forms that are recognised.
@@ -45,63 +46,91 @@ def cast_inferred(df: DataFrame, kinds: dict[str, str], tokens: bool = True) ->
     return df.select(*[(_parsed(clean(name(c)), kinds[c]) if c in kinds else name(c)).alias(c) for c in df.columns])
 
 
-def infer_kinds(df: DataFrame, sample: int | None = SAMPLE_ROWS) -> dict[str, str]:
+_ORDER = ("bigint", "double", "boolean", "timestamp")
+
+
+def _tests(columns: list[str]) -> list[Column]:
+    """Aggregates that tell which kinds all present values of each column are of."""
+    tests = [F.bool_and(null_tokens(name(c)).isNull() | _parsed(name(c), k).isNotNull()).alias(f"{i}_{k}") for i, c in enumerate(columns) for k in _ORDER]
+    return [*tests, *[F.count(null_tokens(name(c))).alias(f"{i}_n") for i, c in enumerate(columns)]]
+
+
+def _kinds(columns: list[str], found: Row) -> dict[str, str]:
+    return {c: next((k for k in _ORDER if found[f"{i}_n"] and found[f"{i}_{k}"]), "string") for i, c in enumerate(columns)}
+
+
+def infer_kinds(df: DataFrame, sample: int | None = None) -> dict[str, str]:
     """For each text column the first of bigint, double, boolean, timestamp that all its present values are; else string.
 
-    ``sample`` rows are looked at, or all of them in one aggregate if it is None.
+    All rows are looked at, in one aggregate, so that a cast by these kinds loses nothing. With
+    ``sample`` only that many, whichever Spark reads first: values that do not fit become missing.
     """
     columns = [f.name for f in df.schema if label(f.dataType) == "string"]
-    order = ("bigint", "double", "boolean", "timestamp")
-    rows = df.select(*[name(c) for c in columns])
-    rows = rows if sample is None else rows.limit(sample)
-    tests = [F.bool_and(null_tokens(name(c)).isNull() | _parsed(name(c), k).isNotNull()).alias(f"{i}_{k}") for i, c in enumerate(columns) for k in order]
-    some = [F.count(null_tokens(name(c))).alias(f"{i}_n") for i, c in enumerate(columns)]
     if not columns:
         return {}
-    found = rows.agg(*tests, *some).first()
-    return {c: next((k for k in order if found[f"{i}_n"] and found[f"{i}_{k}"]), "string") for i, c in enumerate(columns)}
+    rows = df.select(*[name(c) for c in columns])
+    rows = rows if sample is None else rows.limit(sample)
+    return _kinds(columns, rows.agg(*_tests(columns)).first())
 
 
-def infer_types(df: DataFrame, sample: int | None = SAMPLE_ROWS, tokens: bool = True) -> DataFrame:
+def infer_types(df: DataFrame, sample: int | None = None, tokens: bool = True) -> DataFrame:
     return cast_inferred(df, infer_kinds(df, sample), tokens)
 
 
 def _unrepeated(names: list[str]) -> list[str]:
-    """Repeats get _2, _3, ...; empty names are col_1, col_2, ... by position."""
+    """Repeats, in whatever case, get _2, _3, ...; empty names are col_1, col_2, ... by position."""
     seen, out = set(), []
     for i, n in enumerate(names):
         base = n or f"col_{i + 1}"
         new, k = base, 1
-        while new in seen:
+        while new.lower() in seen:
             k += 1
             new = f"{base}_{k}"
-        seen.add(new)
+        seen.add(new.lower())
         out.append(new)
     return out
 
 
-def _most_fields(reader: DataFrameReader, path: str, delimiter: str, expected: int) -> int:
-    """Most fields of any record, at least ``expected``.
+def _texts(columns: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(c, T.StringType()) for c in columns])
+
+
+def _looked_at(reader: DataFrameReader, path: str, delimiter: str, names: list[str], tests: bool) -> tuple[int, dict[str, str]]:
+    """Most fields of any record, at least as many as ``names``, and with ``tests`` the kinds of these, in one pass.
 
     The reader itself cuts the records and hands on the text of those with another number of
     fields; in these, delimiters are counted once quoted fields are taken out.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*[f"_c{i}" for i in range(expected)], "_odd")])
-    records = reader.option("columnNameOfCorruptRecord", "_odd").schema(schema).csv(path)
+    (odd,) = unused(names, "_odd")
+    records = reader.option("columnNameOfCorruptRecord", odd).schema(_texts([*names, odd])).csv(path)
     edge = "\\Q" + delimiter.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-    bare = F.regexp_replace("_odd", f'(^|{edge})"[^"]*+(?:""[^"]*+)*+"', "$1")
+    bare = F.regexp_replace(name(odd), f'(^|{edge})"[^"]*+(?:""[^"]*+)*+"', "$1")
     fields = (F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit("")))) / len(delimiter) + 1
-    every = F.count(F.coalesce(*[F.col(f"_c{i}") for i in range(expected)]))  # a reader asked for fewer columns counts no fields
-    return max(expected, int(records.agg(F.max(fields), every).first()[0] or 0))
+    every = F.count(F.coalesce(*[name(c) for c in names]))  # a reader asked for fewer columns counts no fields
+    found = records.agg(F.max(fields).alias("most"), every.alias("every"), *(_tests(names) if tests else [])).first()
+    return max(len(names), int(found["most"] or 0)), _kinds(names, found) if tests else {}
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8", has_header: bool = True, infer: bool = True, multi_line: bool = True, sample: int | None = SAMPLE_ROWS, width: int | None = None) -> DataFrame:
+def _has_line_ends_in_quotes(spark: SparkSession, path: str, encoding: str) -> bool:
+    """Whether some line holds an odd number of quotes; stops at the first. True for encodings whose quotes are no single byte."""
+    if not encoding.lower().replace("_", "-").startswith(("utf-8", "utf8", "us-ascii", "ascii", "iso-8859", "latin", "windows-125", "cp125")):
+        return True
+    lines = spark.read.text(path)
+    odd = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return bool(lines.filter(odd % 2 == 1).take(1))
+
+
+def read_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8", has_header: bool = True, infer: bool = True, multi_line: bool | None = None, sample: int | None = None, width: int | None = None) -> DataFrame:
     """Delimited text with quoted fields and ragged rows.
 
-    Short rows are filled with missing, surplus fields are columns col_{i+1}. ``multi_line`` allows
-    line ends in quotes but makes files unsplittable (one task a file); ``width``, if given, saves the
-    pass that finds the most fields in a row.
+    Short rows are filled with missing, surplus fields are columns col_{i+1}. Types come from all
+    rows, in the pass that finds the most fields of a row; ``sample`` limits how many are looked at
+    for types, ``width`` gives the fields. Files that have line ends in quotes are read by one task
+    each, others are split; one look at the lines tells which, unless ``multi_line`` does. Names that
+    differ in case only count as repeats.
     """
+    multi_line = _has_line_ends_in_quotes(spark, path, encoding) if multi_line is None else multi_line
+
     def raw(**more):
         reader = spark.read.option("sep", delimiter).option("encoding", encoding).option("quote", '"').option("escape", '"').option("multiLine", multi_line).option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("enforceSchema", True)
         return reader.options(**more)
@@ -111,24 +140,29 @@ def read_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str
     named = [str(v) if v is not None else "" for v in head] if head and has_header else []
     if named:
         named[0] = named[0].lstrip("\ufeff")
+    names, kinds = _unrepeated(named or [""] * len(head or ())), None
     if width is None:
-        width = _most_fields(raw(header=False), path, delimiter, len(head)) if head else 0
-    names = _unrepeated([*named, *[""] * max(0, width - len(named))])
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    df = raw(header=has_header, nullValue="").schema(schema).csv(path)
-    return infer_types(df, sample) if infer else df
+        width, kinds = _looked_at(raw(header=has_header, nullValue=""), path, delimiter, names, infer and sample is None) if names else (0, {})
+    every = _unrepeated([*named, *[""] * max(0, width - len(named))])
+    df = raw(header=has_header, nullValue="").schema(_texts(every)).csv(path)
+    if not infer:
+        return df
+    if not kinds:
+        return infer_types(df, sample)
+    return cast_inferred(df, kinds | (infer_kinds(df.select(*[name(c) for c in every[len(names) :]])) if len(every) > len(names) else {}))
 
 
 def read_tsv(spark: SparkSession, path: str, **options) -> DataFrame:
     return read_csv(spark, path, delimiter="\t", **options)
 
 
-def read_jsonl(spark: SparkSession, path: str, infer: bool = True, sample: int | None = None) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, infer: bool = True, sample: int | None = None, most_keys: int = MOST_KEYS) -> DataFrame:
     """JSON lines: the union of all keys as columns, in order of name.
 
     Types are inferred from all rows, in one aggregate, or from the first ``sample`` if given.
     Blank lines are skipped; a line that is no object is the column ``value``; nested values are
-    JSON text. Bad JSON is an error when the rows are read.
+    JSON text. Bad JSON is an error when the rows are read. Keys that differ in case only are
+    columns of their own, the later ones numbered; more than ``most_keys`` keys are refused.
     """
     lines = spark.read.text(path).filter(F.trim("value") != "")
     bad = F.raise_error(F.concat(F.lit("bad JSON: "), F.col("value")))
@@ -137,8 +171,10 @@ def read_jsonl(spark: SparkSession, path: str, infer: bool = True, sample: int |
     is_object = F.col("value").startswith("{")
     pairs = F.when(is_object, F.from_json("value", "map<string,string>")).otherwise(F.create_map(F.lit("value"), F.when(F.col("value").startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), F.col("value"), F.lit("}")), "$.v")).otherwise(F.col("value"))))
     mapped = checked.select(pairs.alias("m"))
-    keys = sorted(r[0] for r in mapped.select(F.explode(F.map_keys("m"))).distinct().collect())
-    rows = mapped.select(*[F.col("m").getItem(k).alias(k) for k in keys])
+    keys = sorted(r[0] for r in mapped.select(F.explode(F.map_keys("m"))).distinct().limit(most_keys + 1).collect())
+    if len(keys) > most_keys:
+        raise ValueError(f"more than {most_keys} keys: raise the limit, or keep the lines as text")
+    rows = mapped.select(*[F.col("m").getItem(k).alias(c) for k, c in zip(keys, _unrepeated(keys))])
     return infer_types(rows, sample, tokens=False) if infer else rows
 
 
