@@ -1,10 +1,12 @@
-"""LM scoring: exact columns against a brute-force version, the model against its base."""
+"""LM scoring: exact columns against a brute-force version; the sampler against enumeration and a sampler of single customers."""
 
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,62 +20,213 @@ def brute_words(text):
     return [w for w in folded.split(" ") if w] + [None]
 
 
-@pytest.fixture(scope="module", params=[(50_000, 4_000_000), (100, 5_000)])
-def scored(request, spark, sf_dir):
-    """The query, with all words frequent or blocks small and most words joined."""
-    before = lm.FREQUENT, lm.BLOCK_TOKENS
-    lm.FREQUENT, lm.BLOCK_TOKENS = request.param
-    yield {r.doc_id: r for r in queries.op9_lm_scoring(spark, sf_dir).collect()}
-    lm.FREQUENT, lm.BLOCK_TOKENS = before
-
-
-def test_query(scored, spark, sf_dir):
+@pytest.fixture(scope="module", params=[("sf0.01", 4_000_000), ("sf0.001", 5_000)])
+def scored(request, spark):
+    """The query, with blocks of a partition's documents, and with many small blocks."""
+    before, (sf, lm.BLOCK_TOKENS) = lm.BLOCK_TOKENS, request.param
+    sf_dir = f"/root/testdata/{sf}"
+    yield sf_dir, {r.doc_id: r for r in queries.op9_lm_scoring(spark, sf_dir).collect()}
+    lm.BLOCK_TOKENS = before
+
+
+def kneser_ney(docs, held):
+    """Perplexity of an interpolated word-bigram model with one discount a level."""
+    pairs = Counter(p for d, t in docs.items() if d not in held for p in pairwise(["<s>", *brute_words(t)]))
+    total, kinds, into = Counter(), Counter(), Counter()
+    for (a, b), n in pairs.items():
+        total[a] += n
+        kinds[a] += 1
+        into[b] += 1
+    of = lambda c: (lambda n: n[1] / (n[1] + 2 * n[2]))(Counter(c.values()))
+    d, d0, every, v = of(pairs), of(into), sum(into.values()), len(into)
+    score = n = 0
+    for i in held:
+        for a, b in pairwise(["<s>", *brute_words(docs[i])]):
+            low = (max(into[b] - d0, 0) + d0 * v / (v + 1)) / every
+            score += math.log10((max(pairs[a, b] - d, 0) + d * kinds[a] * low) / total[a] if total[a] else low)
+            n += 1
+    return 10 ** (-score / n)
+
+
+def test_query(scored, spark):
+    sf_dir, got = scored
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     held = {d for d in docs if zlib.crc32(str(d).encode()) % 7 == 2}
     counts = Counter(w for d, t in docs.items() if d not in held for w in brute_words(t))
     n, v = sum(counts.values()), len(counts)
-    assert scored.keys() == docs.keys()
+    assert got.keys() == docs.keys()
     for d, text in docs.items():
-        r, words = scored[d], brute_words(text)
+        r, words = got[d], brute_words(text)
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (d in held, len(words), sum(counts[w] > 0 for w in words), n)
         assert math.isclose(r.base_score, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words), rel_tol=1e-9)
         assert r.score <= 0
-    assert sum(scored[d].score for d in held) > sum(scored[d].base_score for d in held)
-    assert sum(scored[d].score for d in docs) > sum(scored[d].base_score for d in docs)
-
-
-def test_both_paths_agree(spark, sf_dir, monkeypatch):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
-    table, model = lm.train(docs)
-    one = {r.doc_id: r for r in lm.score(docs, table, model).collect()}
-    monkeypatch.setattr(lm, "FREQUENT", 1)
-    monkeypatch.setattr(lm, "BLOCK_DOCS", 7)
-    two = {r.doc_id: r for r in lm.score(docs, table, model).collect()}
-    assert one.keys() == two.keys()
-    for d in one:
-        assert math.isclose(one[d].score, two[d].score, rel_tol=1e-9) and one[d].n_known == two[d].n_known
-
-
-def test_probabilities_sum_to_one(spark):
-    docs = spark.createDataFrame([(i, "a b c a b d e a a " * 9) for i in range(5)] + [(9, "x y z")], "doc_id bigint, text string")
-    table, model = lm.train(docs)
-    rows = table.toArrow()
-    dishes, row = lm._unpacked(rows.column("dishes"), lm._DISH)
-    words = lm._Words(model, rows.column("h").to_numpy(), rows.column("n").to_numpy(), dishes, row)
-    for ctx in range(256):
-        p = words.probability(np.arange(-1, rows.num_rows), np.full(rows.num_rows + 1, ctx))
-        assert math.isclose(p.sum(), 1, abs_tol=1e-9) and (p > 0).all()
-
-
-def test_seating_follows_the_restaurant():
-    """Mean numbers of tables equal those of one-by-one seating."""
+    perplexity = 10 ** (-sum(got[d].score for d in held) / sum(got[d].n_tokens for d in held))
+    assert perplexity <= kneser_ney(docs, held)
+    twice = Counter(t for d, t in docs.items() if d not in held)
+    known = lambda n: np.median([got[d].perplexity for d, t in docs.items() if d not in held and twice[t] == n and len(t or "") > 200])
+    assert known(2) < 0.5 * known(1)
+
+
+def local(texts, sweeps, seed=0):
+    """The jobs without Spark on texts to learn from: the model, its block and what the block knows."""
+    block = lm._Gathered()
+    for i, t in enumerate(texts):
+        block.add(i, t, True)
+    rows = [block.row(seed)]
+
+    def grouped(rows, by, run):
+        groups = defaultdict(list)
+        for r in rows:
+            groups[r[by]].append(r)
+        return [tuple(r.values()) for g in groups.values() for r in run(pa.Table.from_batches([lm._batch(g)])).to_pylist()]
+
+    each = lambda rows, run: [x for r in rows for x in run(dict(zip(lm._NAMES, r)))]
+    of = lambda rows, *kinds: [r for r in rows if r[0] in kinds]
+    counted = grouped(each(rows, lm._sent_words(3)), 2, lm._counted_words)
+    known = of(counted, lm._WORDS)
+    met = grouped(each(rows, lm._sent_pairs(2)), 2, lm._counted_pairs)
+    owned = grouped([*rows, *known, *met], 1, lm._owned)
+    state = grouped(of(owned, lm._SUMS), 2, lm._seated_words(None, -1))
+    sums = lambda rows, n: [sum(r[8][i] for r in rows) for i in range(n)]
+    model = lm.Model(*map(int, reversed(sums(of(counted, lm._STATE), 2))), 0.5, 0.5)
+    model.sums[-1] = tuple(sums(of(state, lm._STATE), 2))
+    for s in range(sweeps):
+        sent = grouped([*of(owned, lm._DISHES), *known, *of(state, lm._BACK)], 1, lm._seated_dishes(model, s))
+        after = grouped([*sent, *[r for r in of(state, lm._STATE) if r[3] in (-1, s - 1)]], 2, lm._seated_words(model, s))
+        model.sums[s] = tuple(sums(of(after, lm._STATE), 2))
+        state += after
+    block = lm.Block(dict(zip(lm._NAMES, rows[0])))
+    back = [dict(zip(lm._NAMES, r)) for r in [*known, *met, *of(state, lm._BACK)]]
+    return model, block, lm._Known(back, len(block.words), model), back
+
+
+TINY = ["a b a b c", "a b b", "c a b", "", "b a c a b", "a a"]
+
+
+def customers_sampler(texts, sweeps, d=0.5, d0=0.5):
+    """Every customer is taken out of a restaurant with tables and seated again; mean tables of contexts and probabilities."""
+    r = np.random.default_rng(1)
+    pairs = [p for t in texts for p in pairwise(["<s>", *brute_words(t)])]
+    words = sorted({b for _, b in pairs}, key=str)
+    v = len(words)
+    tables, root, at = defaultdict(list), defaultdict(list), []
+
+    def p0(w):
+        n, s = sum(map(sum, root.values())), sum(map(len, root.values()))
+        return (sum(root[w]) - d0 * len(root[w]) + (lm.ROOT_CONCENTRATION + d0 * s) / (v + 1)) / (lm.ROOT_CONCENTRATION + n)
+
+    def join(list_, weight, discount):
+        w = np.array([n - discount for n in list_] + [weight])
+        i = r.choice(len(w), p=w / w.sum())
+        if i == len(list_):
+            list_.append(0)
+        list_[i] += 1
+        return i, list_[i] == 1
+
+    def leave(list_, i=None):
+        i = r.choice(len(list_), p=np.array(list_) / sum(list_)) if i is None else i
+        list_[i] -= 1
+        if not list_[i]:
+            list_.pop(i)
+            return True
+        return False
+
+    def seat(u, w):
+        context = sum(len(t) for (a, _), t in tables.items() if a == u)
+        if join(tables[u, w], (lm.CONCENTRATION + d * context) * p0(w), d)[1]:
+            join(root[w], (lm.ROOT_CONCENTRATION + d0 * sum(map(len, root.values()))) / (v + 1), d0)
+
+    for u, w in pairs:
+        seat(u, w)
+    for s in range(sweeps):
+        for u, w in pairs:
+            if leave(tables[u, w]):
+                leave(root[w])
+            seat(u, w)
+        if s >= sweeps // 5:
+            contexts = sorted({a for a, _ in pairs})
+            mean = {u: sum(len(t) for (a, _), t in tables.items() if a == u) for u in contexts}
+            p = {(u, w): (sum(tables[u, w]) - d * len(tables[u, w]) + (lm.CONCENTRATION + d * mean[u]) * p0(w)) / (lm.CONCENTRATION + sum(a == u for a, _ in pairs)) for u in contexts for w in words}
+            at.append((mean, p))
+    return {u: np.mean([m[u] for m, _ in at]) for u in at[0][0]}, {k: np.mean([p[k] for _, p in at]) for k in at[0][1]}
+
+
+def test_sampler_agrees_with_single_customers(monkeypatch):
+    monkeypatch.setattr(lm, "CONCENTRATION", 1.0)
+    want_tables, want = customers_sampler(TINY, 1500)
+    monkeypatch.setattr(lm, "SWEEPS", 400)
+    model, block, known, back = local(TINY, 400)
+    named = {"<s>": lm.START, None: lm.END}
+    number = {w: i for i, w in enumerate(block.words)}
+    place = lambda x: number[named.get(x, str(x).encode())]
+    for u, mean in want_tables.items():
+        assert abs(np.mean([known.tables[s][place(u)] for s in range(1, 400)]) - mean) < 0.12 * mean + 0.1, u
+    pu, pw = (np.array([place(k[i]) for k in want]) for i in (0, 1))
+    us, ws, _ = block.pairs()
+    c = dict(zip(zip(us.tolist(), ws.tolist()), (lm._pair_values(back, lm._pair_hashes(block.hashes(), us, ws)) >> 1).tolist()))
+    got = model.probability(known, pu, pw, np.array([c.get(k, 0) for k in zip(pu.tolist(), pw.tolist())]))
+    assert np.abs(got - np.array(list(want.values()))).max() < 0.02
+
+
+def test_probabilities_sum_to_one():
+    """Over all words and the unknown one, after every context."""
+    model, block, known, back = local(["a b c a b d e a a " * 40] * 5 + ["x y z"], lm.SWEEPS)
+    us, ws, _ = block.pairs()
+    c = dict(zip(zip(us.tolist(), ws.tolist()), (lm._pair_values(back, lm._pair_hashes(block.hashes(), us, ws)) >> 1).tolist()))
+    assert max(c.values()) > 200
+    words = np.arange(1, len(block.words))
+    unknown = np.mean([model.parent(s, np.zeros(1), np.zeros(1))[0] for s in range(1, lm.SWEEPS)])
+    for u in range(len(block.words)):
+        if block.words[u] == lm.END:
+            continue
+        p = model.probability(known, np.full(len(words), u), words, np.array([c.get((u, w), 0) for w in words]))
+        share = np.mean([(lm.CONCENTRATION + model.discount * known.tables[s][u]) / (lm.CONCENTRATION + known.n[u]) for s in range(1, lm.SWEEPS)])
+        assert (p > 0).all() and abs(p.sum() + unknown * share - 1) < 1e-3
+
+
+def partitions(n):
+    """Sizes of the blocks of every way to part n things."""
+    if n == 0:
+        yield []
+        return
+    for p in partitions(n - 1):
+        for i in range(len(p)):
+            yield [*p[:i], p[i] + 1, *p[i + 1 :]]
+        yield [*p, 1]
+
+
+@pytest.mark.parametrize("a,b,d", [(0.3, 0.02, 0.6), (4.0, 0.5, 0.3), (0.05, 0.05, 0.9)])
+def test_seating_against_all_partitions(a, b, d):
+    """Numbers of tables have their conditional distribution; large dishes have its mean and spread, nearly."""
+    n = 40_000
+    seed = np.random.default_rng(2).integers(0, 2**63, n).astype(np.uint64)
+    for c in (2, 3, 6):
+        weight = np.zeros(c + 1)
+        for sizes in partitions(c):
+            weight[len(sizes)] += math.prod(a + b * k for k in range(len(sizes))) * math.prod(j - d for s in sizes for j in range(1, s))
+        got = np.bincount(lm.Seating(d).draw(np.full(n, c), np.full(n, a), np.full(n, b), seed), minlength=c + 1) / n
+        assert np.abs(got - weight / weight.sum()).max() < 0.01
+    assert lm.Seating(d).draw(np.array([0, 1]), np.ones(2), np.ones(2), seed[:2]).tolist() == [0, 1]
+
+
+def test_seating_of_large_dishes(monkeypatch):
+    a, d, seed = 2.0, 0.5, np.random.default_rng(3).integers(0, 2**63, 3000).astype(np.uint64)
+    draw = lambda c: lm.Seating(d).draw(np.full(3000, c), np.full(3000, a), np.full(3000, d), seed)
+    exact = draw(250)
+    monkeypatch.setattr(lm, "EXACT", 2)
+    grouped = draw(250)
+    assert abs(grouped.mean() - exact.mean()) < 0.06 * exact.mean() and abs(grouped.std() - exact.std()) < 0.15 * exact.std()
+    # tables grow as customers ** discount
+    big = lm.Seating(d)._one_by_one(10**9, a, d, np.random.default_rng(4))
+    assert 10**4 < big < 10**6
+
+
+def test_packed_arrays():
     r = np.random.default_rng(0)
-    n, c, a, d = 4000, 200, 3.0, 0.5
-    got = lm.seat(np.full(n, c), np.full(n, a), d, r.integers(0, 2**63, n).astype(np.uint64))
-    t = np.ones(n)
-    for m in range(1, c):
-        t += r.random(n) < a / (a + m - d * t)
-    assert abs(got.mean() - t.mean()) < 0.15 and got.min() >= 1 and lm.seat(np.array([0, 1]), np.ones(2), 0.5, np.ones(2, np.uint64)).tolist() == [0, 1]
+    for kind in ("<u4", "<i8", "<u8"):
+        for n in (0, 1, 1000):
+            x = np.sort(r.integers(0, 2**31, n)).astype(kind)
+            assert lm.unpack(lm.pack(x), kind).tolist() == x.tolist() == lm.unpack_sorted(lm.pack_sorted(x), kind).tolist()
 
 
 def test_odd_rows(spark):
@@ -81,6 +234,6 @@ def test_odd_rows(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, score string")
     got = sorted(((r.doc_id or 0, r.n_tokens, r.n_known) for r in lm.score_texts(df, F.lit(True)).collect()))
     assert got == [(0, 3, 3), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 90_001, 90_001)]
-    none = lm.score_texts(df, F.lit(False)).collect()
+    none = lm.score_texts(df, F.lit(None).cast("boolean")).collect()
     assert len(none) == 5 and all(r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 for r in none)
     assert lm.score_texts(df.limit(0), F.lit(True)).count() == 0

@@ -1,22 +1,29 @@
-"""LM scoring by a hierarchical Pitman-Yor model.
-
-Each token is seated in the restaurant of its context; all contexts share one parent, whose base is
-uniform over the vocabulary and one unknown word. A context is the start of a text or a class of
-the word before: its last three bytes (so short words are themselves), hashed to CONTEXTS classes.
-Gibbs sweeps draw, for each dish of each restaurant, the number of tables its customers sit at
-(Chinese-restaurant seating, given the parent's predictive probability and the restaurant's tables
-in the sweep before); every table sends a customer to the parent. Predictive probabilities are
-averaged over the sweeps after the first.
-
-All customers of a word lie in one row of a table made from the whole corpus, so a sweep is one pass
-over that table; only totals for each restaurant leave it. Scoring sends the words that hold at
-least 1/FREQUENT of all tokens to the executors (at most FREQUENT words by that bound, each with
-at most CONTEXTS + 1 dishes) and joins the others by the word.
+"""LM scoring by a hierarchical Pitman-Yor model over whole-word contexts.
+
+Each token is seated in the restaurant of the word before it, or of the start of a text; all these
+restaurants share one parent, whose base is uniform over the vocabulary and one unknown word. A
+Gibbs step takes all customers of a dish (context, word) out of its restaurant and seats them
+again given everybody else's tables: the number of their tables is drawn from its conditional
+distribution (Chinese restaurants by generalised Stirling numbers; dishes of over EXACT customers
+are seated one after another in growing groups, each with a binomial draw). Every table sends a
+customer to the parent, which is seated likewise. Tables start at one a dish; the first sweep is
+left out, and predictive probabilities are averaged over the others. Discounts come from the
+numbers of dishes seen once and twice.
+
+How it runs. Documents are gathered into blocks of about BLOCK_TOKENS tokens. A block sends its
+distinct words to partitions by word and its distinct pairs to partitions by pair, as packed
+arrays, and gets back what the whole corpus knows of them: counts, and which block of several
+owns a pair. In each sweep a block seats the dishes it owns and sends its tables' sums by word; the
+word partitions add them up, seat the parent and send back each block's own words. Draws depend
+on the dish and the sweep alone, so that any block can repeat them. Nothing but a few sums goes
+through the driver, and no task holds more than a block or a partition of words or pairs, whose
+number follows the corpus.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,404 +32,507 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import shared_folder, slices
-
-CONTEXTS = 255
-START = CONTEXTS
-FREQUENT = 50_000
-SWEEPS = 3
-CONCENTRATION = 1.0
-#: Customers of a dish seated one by one; the others follow in groups of an eighth of those seated, for
-#: each of which the probability of a new table is held and the number of new tables rounded at random.
-ONE_BY_ONE = 32
-#: Tokens and documents that a task gathers before it hands rows on.
-BLOCK_TOKENS, BLOCK_DOCS = 3_000_000, 60_000
-#: Tokens whose probabilities are computed at a time.
-SCORED_TOKENS = 500_000
-_DISH = np.dtype([("ctx", "u1"), ("n", "<u4")])
-_SEEN = np.dtype([("ctx", "u1"), ("doc", "<u2")])
-_END = b""
+from .shared import shared_folder, shuffle_partitions, slices
+
+#: Pseudo-word that is the context of a text's first token, and the token that ends a text.
+START, END = b" ", b""
+#: Gibbs sweeps, of which the first is left out; strength of the restaurants and of their parent.
+SWEEPS = 4
+CONCENTRATION, ROOT_CONCENTRATION = 0.1, 1.0
+#: Customers of a dish up to which the number of its tables is drawn at once.
+EXACT = 256
+#: Tokens of a block; words and pairs that blocks send to a partition, about.
+BLOCK_TOKENS, PARTITION_WORDS, PARTITION_PAIRS = 4_000_000, 1_000_000, 2_000_000
+#: Elements of a matrix of weights.
+WEIGHTS = 2_000_000
+_ODD = 0x9E3779B97F4A7C15
+
+#: Rows of every table and exchange here; a to d hold packed arrays that each kind explains.
+ROW = "kind int, block bigint, p int, sweep int, a binary, b binary, c binary, d binary, x array<double>"
+_BLOCK, _WORDS, _PAIRS, _DISHES, _SUMS, _STATE, _BACK = range(7)
+_TYPES = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()))
+_NAMES = [c.split(" ")[0] for c in ROW.split(", ")]
 
 
 def tokens(text: str | None) -> list[bytes]:
     """A-Z lower-cased words between ASCII white space, then the end."""
-    return [*(text or "").encode().lower().split(), _END]
+    return [*(text or "").encode().lower().split(), END]
 
 
-class _Block:
-    """Tokens of some documents as numbers of their distinct words and of contexts."""
+# ---- packed arrays
 
-    def __init__(self):
-        self.words: dict[bytes, int] = {}
-        self.of_word: list[int] = []  # the context that a word makes for the next one
-        self.ids: list[np.ndarray] = []
-        self.ctx: list[np.ndarray] = []
-        self.size = 0
 
-    def add(self, text: str | None) -> None:
-        split = tokens(text)
-        words, of_word = self.words, self.of_word
-        for w in set(split).difference(words):
-            words[w] = len(words)
-            of_word.append(xxhash.xxh32_intdigest(w[-3:]) % CONTEXTS)
-        ids = np.fromiter(map(words.__getitem__, split), np.int32, len(split))
-        ctx = np.empty(len(ids), np.uint8)
-        ctx[0] = START
-        ctx[1:] = np.fromiter(map(of_word.__getitem__, ids[:-1].tolist()), np.uint8, len(ids) - 1)
-        self.ids.append(ids)
-        self.ctx.append(ctx)
-        self.size += len(ids)
+def _row(kind: int, block: int = -1, p: int = -1, sweep: int = -1, a: bytes | None = None, b: bytes | None = None, c: bytes | None = None, d: bytes | None = None, x: list | None = None) -> tuple:
+    return kind, block, p, sweep, a, b, c, d, x
 
-    def full(self) -> bool:
-        return self.size >= BLOCK_TOKENS or len(self.ids) >= BLOCK_DOCS
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(_NAMES), _TYPES)], _NAMES)
 
-def _ragged(values: np.ndarray, starts: np.ndarray) -> pa.Array:
-    """A binary array of the parts of a packed array that begin at starts."""
-    offsets = (np.append(starts, len(values)) * values.dtype.itemsize).astype(np.int32)
-    return pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
+def squeeze(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + (pa.compress(data, codec="zstd", asbytes=True) if data else b"")
 
-def _unpacked(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    """The packed values of a binary array, and the row that each belongs to."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False) // kind.itemsize
-    return np.frombuffer(b"".join(x or b"" for x in column.to_pylist()), kind), np.repeat(np.arange(len(column)), sizes)
 
+def swell(data: bytes) -> bytes:
+    n = int.from_bytes(data[:8], "little")
+    return pa.decompress(data[8:], n, codec="zstd", asbytes=True) if n else b""
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, dishes) of the texts of a partition."""
 
-    def flush(block: _Block) -> pa.RecordBatch:
-        key, n = np.unique(np.concatenate(block.ids).astype(np.int64) << 8 | np.concatenate(block.ctx), return_counts=True)
-        dishes = np.empty(len(key), _DISH)
-        dishes["ctx"], dishes["n"] = key & 255, n
-        starts = np.flatnonzero(np.concatenate(([True], np.diff(key >> 8) > 0)))
-        return pa.RecordBatch.from_arrays([pa.array(list(block.words), pa.binary()), _ragged(dishes, starts)], ["word", "dishes"])
+def pack(values: np.ndarray) -> bytes:
+    """A number array in few bytes: byte planes, compressed."""
+    v = np.ascontiguousarray(values)
+    return squeeze(v.view(np.uint8).reshape(len(v), v.dtype.itemsize).T.tobytes())
 
-    block = _Block()
-    for b in slices(batches):
-        for t in b.column(0).to_pylist():
-            block.add(t)
-            if block.full():
-                yield flush(block)
-                block = _Block()
-    if block.size:
-        yield flush(block)
-
-
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row (word, h, n, dishes) for each word of a partition that is sorted by word."""
-    held: pa.RecordBatch | None = None
-
-    def merge(t: pa.RecordBatch) -> pa.RecordBatch:
-        fresh = np.concatenate(([True], pc.not_equal(t.column(0)[1:], t.column(0)[:-1]).to_numpy(zero_copy_only=False)))
-        dishes, row = _unpacked(t.column(1), _DISH)
-        key, at = np.unique((np.cumsum(fresh) - 1)[row].astype(np.int64) << 8 | dishes["ctx"], return_inverse=True)
-        out = np.empty(len(key), _DISH)
-        out["ctx"], out["n"] = key & 255, np.bincount(at, dishes["n"])
-        words = t.column(0).filter(pa.array(fresh))
-        starts = np.flatnonzero(np.concatenate(([True], np.diff(key >> 8) > 0)))
-        h = np.array([xxhash.xxh64_intdigest(w) for w in words.to_pylist()], np.uint64).astype(np.int64)
-        return pa.RecordBatch.from_arrays([words, pa.array(h), pa.array(np.add.reduceat(out["n"].astype(np.int64), starts)), _ragged(out, starts)], ["word", "h", "n", "dishes"])
-
-    for b in batches:
-        if held is not None:
-            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
-        if not b.num_rows:
-            continue
-        last = int(pc.sum(pc.equal(b.column(0), b.column(0)[-1])).as_py())  # rows of the last word wait for more of it
-        ready, held = b.slice(0, b.num_rows - last), b.slice(b.num_rows - last)
-        if ready.num_rows:
-            yield merge(ready)
-        if held.num_rows > 1:  # however many rows a word has, one is held
-            one = merge(held)
-            held = pa.RecordBatch.from_arrays([one.column(0), one.column(3)], ["word", "dishes"])
-    if held is not None:
-        yield merge(held)
-
-
-def _uniform(seed: np.ndarray, turn: int) -> np.ndarray:
-    """Numbers in [0, 1) that depend on the seeds and the turn alone."""
-    x = seed + np.uint64(turn * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+
+def unpack(data: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(swell(data), np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    """For an ascending array of unsigned numbers: its steps are packed."""
+    return pack(np.diff(values, prepend=values.dtype.type(0)))
+
+
+def unpack_sorted(data: bytes, kind: str) -> np.ndarray:
+    return np.cumsum(unpack(data, kind), dtype=kind)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (x >> np.uint64(11)).astype(np.float64) / 9007199254740992.0
-
-
-def seat(customers: np.ndarray, weight: np.ndarray, discount: float, seed: np.ndarray) -> np.ndarray:
-    """Tables that each dish's customers take, new ones having this weight against the seated."""
-    order = np.argsort(-customers, kind="stable")
-    c, a, s = customers[order], weight[order], seed[order]
-    t = np.minimum(c, 1).astype(np.float64)
-    m, turn = 1, 1
-    while True:
-        n = int(np.searchsorted(-c, -m, side="left"))  # of these dishes more than m customers are to be seated
-        if not n:
-            break
-        group = 1 if m < ONE_BY_ONE else m // 8
-        take = np.minimum(group, c[:n] - m)
-        p = a[:n] / (a[:n] + m + (take - 1) / 2 - discount * t[:n])
-        t[:n] += np.floor(take * p + _uniform(s[:n], turn))
-        m, turn = m + group, turn + 1
-    out = np.empty(len(c))
-    out[order] = t
-    return out
+    return x ^ (x >> np.uint64(31))
+
+
+# ---- seating
+
+
+class Seating:
+    """Draws of the number of tables that a dish's customers take, at one discount."""
+
+    def __init__(self, discount: float):
+        self.discount = discount
+        log = np.full((EXACT + 1, EXACT + 2), -np.inf)  # generalised Stirling numbers by customers and tables
+        log[1, 1] = 0.0
+        for c in range(1, EXACT):
+            t = np.arange(1, c + 1)
+            log[c + 1, 1 : c + 1] = log[c, 1 : c + 1] + np.log(c - discount * t)
+            log[c + 1, 1 : c + 2] = np.logaddexp(log[c + 1, 1 : c + 2], log[c, : c + 1])
+        self.log = log
+
+    def draw(self, customers: np.ndarray, first: np.ndarray, more: np.ndarray, seed: np.ndarray) -> np.ndarray:
+        """Tables of each dish; a new one weighs ``first``, and ``more`` with each that the dish has by then."""
+        tables = np.minimum(customers, 1)
+        several = np.flatnonzero(customers > 1)
+        order = several[np.argsort(customers[several], kind="stable")]
+        small = order[: np.searchsorted(customers[order], EXACT, side="right")]
+        sizes, starts = np.unique(customers[small], return_index=True)
+        for c, s, e in zip(sizes.tolist(), starts.tolist(), [*starts[1:].tolist(), len(small)]):
+            step = max(1, WEIGHTS // c)
+            for i in range(s, e, step):
+                own = small[i : min(e, i + step)]
+                weight = np.cumsum(np.log(first[own, None] + more[own, None] * np.arange(c)), axis=1) + self.log[c, 1 : c + 1]
+                weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+                at = (_mixed(seed[own]) >> np.uint64(11)).astype(np.float64) / 9007199254740992.0
+                tables[own] = 1 + (weight[:, :-1] < at[:, None] * weight[:, -1:]).sum(axis=1)
+        for i in order[len(small) :].tolist():
+            tables[i] = self._one_by_one(int(customers[i]), float(first[i]), float(more[i]), np.random.default_rng(int(seed[i])))
+        return tables
+
+    def _one_by_one(self, customers: int, first: float, more: float, random: np.random.Generator) -> int:
+        tables, seated = 1, 1
+        while seated < customers:
+            group = min(max(1, seated // 16), customers - seated)
+            weight = first + more * tables
+            tables += int(random.binomial(group, min(1.0, weight / (weight + seated - self.discount * tables))))
+            seated += group
+        return min(tables, customers)
 
 
 class Model:
-    """What all tasks need: sizes, discounts and the totals of the sweeps so far."""
+    """What all tasks need: sizes, discounts, and of each sweep (the start is -1) the parent's customers and tables."""
 
-    def __init__(self, total: int, vocabulary: int, discount: float, root_discount: float, customers: np.ndarray, dishes: np.ndarray):
+    def __init__(self, total: int, vocabulary: int, discount: float, root_discount: float):
         self.total, self.vocabulary = total, vocabulary
         self.discount, self.root_discount = discount, root_discount
-        self.customers, self.first_tables = customers, np.maximum(dishes, 1.0)
-        self.tables: list[np.ndarray] = []  # of each sweep: tables by context, then the parent's tables
-
-    def parent(self, sweep: int, c: np.ndarray, t: np.ndarray) -> np.ndarray:
-        """The parent's probability of words with c customers at t tables in it."""
-        tables, own = self.tables[sweep][:-1].sum(), self.tables[sweep][-1]
-        return (c - self.root_discount * t + (CONCENTRATION + self.root_discount * own) / (self.vocabulary + 1)) / (CONCENTRATION + tables)
-
-    def new_share(self, sweep: int) -> np.ndarray:
-        """By context, the share of its probability that goes through the parent."""
-        return (CONCENTRATION + self.discount * self.tables[sweep][:-1]) / (CONCENTRATION + self.customers)
-
-    def sweep(self, h: np.ndarray, n: np.ndarray, dishes: np.ndarray, row: np.ndarray, upto: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Sweeps 0..upto of some words: tables of each dish; customers and tables in the parent."""
-        ctx, c, out = dishes["ctx"], dishes["n"].astype(np.int64), []
-        p = (n + 1) / (self.total + self.vocabulary + 1)
-        for k in range(upto + 1):
-            own = self.tables[k - 1][:-1] if k else self.first_tables
-            seed = h.astype(np.uint64)[row] + (ctx.astype(np.uint64) + np.uint64(1 + 1000 * k)) * np.uint64(0xC2B2AE3D27D4EB4F)
-            t = seat(c, (CONCENTRATION + self.discount * own[ctx]) * p[row], self.discount, seed)
-            sent = np.bincount(row, t, len(h))
-            root = self.tables[k - 1][-1] if k else float(self.vocabulary)
-            base = np.full(len(h), (CONCENTRATION + self.root_discount * root) / (self.vocabulary + 1))
-            above = seat(sent.astype(np.int64), base, self.root_discount, h.astype(np.uint64) + np.uint64(777 + k))
-            out.append((t, sent, above))
-            if k < len(self.tables):
-                p = self.parent(k, sent, above)
-        return out
-
-    def words(self, h: np.ndarray, n: np.ndarray, dishes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(extra of each dish, parent's probability by kept sweep and word): what a score is made of."""
-        swept = self.sweep(h, n, dishes, row, len(self.tables) - 1)[1:]
-        extra = np.mean([dishes["n"] - self.discount * t for t, _, _ in swept], axis=0) / (CONCENTRATION + self.customers[dishes["ctx"]])
-        return extra, np.array([self.parent(k + 1, c, t) for k, (_, c, t) in enumerate(swept)])
-
-    def unknown(self) -> np.ndarray:
-        return np.array([self.parent(k, np.zeros(1), np.zeros(1))[0] for k in range(1, len(self.tables))])
-
-    def backed_off(self, ctx: np.ndarray, parents: np.ndarray) -> np.ndarray:
-        """Mean probability through the parent; parents: by kept sweep and token."""
-        return np.mean([self.new_share(k + 1)[ctx] * parents[k] for k in range(len(parents))], axis=0)
-
-
-class _Words:
-    """Rows of the word table with what is needed to score their tokens."""
-
-    def __init__(self, model: Model, h: np.ndarray, n: np.ndarray, dishes: np.ndarray, row: np.ndarray):
-        self.model, self.n = model, n
-        self.extra, self.parents = model.words(h, n, dishes, row)
-        self.keys = row.astype(np.int64) << 8 | dishes["ctx"]
-
-    def probability(self, word: np.ndarray, ctx: np.ndarray) -> np.ndarray:
-        """Of tokens of word rows in contexts; row -1 is the unknown word."""
-        if not len(word):
-            return np.zeros(0)
-        known = word >= 0
-        parents = np.where(known, self.parents[:, word] if len(self.n) else 0.0, self.model.unknown()[:, None])
-        p = self.model.backed_off(ctx, parents)
-        if len(self.keys):
-            key = word.astype(np.int64) << 8 | ctx
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            p += np.where(known & (self.keys[at] == key), self.extra[at], 0.0)
-        return p
-
-
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Model]:
-    """The word table (word, h, n, dishes), written to the shared folder, and the model of its sweeps."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_counted, "word binary, dishes binary")
-    merged = counted.repartition(n, "word").sortWithinPartitions("word").mapInArrow(_merged, "word binary, h bigint, n bigint, dishes binary")
-    path = shared_folder(spark, "words")
-    merged.write.option("compression", "zstd").parquet(path)
-    table = spark.read.parquet(path)
-
-    def totals(run) -> dict[int, float]:
-        """Sums by key over the table: at most some hundred numbers reach the driver."""
-        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros(3 * (CONTEXTS + 1) + 8)
-            for b in batches:
-                dishes, row = _unpacked(b.column(2), _DISH)
-                run(sums, b.column(0).to_numpy(), b.column(1).to_numpy(), dishes, row)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums), dtype=np.int32)), pa.array(sums)], ["k", "v"])
-
-        rows = table.select("h", "n", "dishes").mapInArrow(go, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-        return {r.k: r.v for r in rows}
-
-    size = CONTEXTS + 1
-
-    def sizes(sums, h, n, dishes, row):
-        sums[:size] += np.bincount(dishes["ctx"], dishes["n"], size)
-        sums[size : 2 * size] += np.bincount(dishes["ctx"], minlength=size)
-        at = 2 * size
-        sums[at : at + 6] += [len(h), n.sum(), (n == 1).sum(), (n == 2).sum(), (dishes["n"] == 1).sum(), (dishes["n"] == 2).sum()]
-
-    s = totals(sizes)
-    get = lambda a, b: np.array([s.get(k, 0.0) for k in range(a, b)])
-    words, total, once, twice, dish1, dish2 = get(2 * size, 2 * size + 6)
-    discount = lambda a, b: float(np.clip(a / (a + 2 * b) if a else 0.5, 0.1, 0.95))
-    model = Model(int(total), int(words), discount(dish1, dish2), discount(once, twice), get(0, size), get(size, 2 * size))
-    for k in range(SWEEPS):
-
-        def seats(sums, h, n, dishes, row, k=k):
-            t, _, above = model.sweep(h, n, dishes, row, k)[k]
-            sums[:size] += np.bincount(dishes["ctx"], t, size)
-            sums[size] += above.sum()
-
-        s = totals(seats)
-        model.tables.append(get(0, size + 1))
-    return table, model
-
-
-def _frequent(table: DataFrame, model: Model) -> tuple[dict[bytes, int], tuple]:
-    """Words of at least 1/FREQUENT of all tokens: at most FREQUENT, so they may go to the driver."""
-    rows = table.filter(F.col("n") * FREQUENT >= model.total).select("word", "h", "n", "dishes").toArrow()
-    dishes, row = _unpacked(rows.column("dishes"), _DISH)
-    words = {w: i for i, w in enumerate(rows.column("word").to_pylist())}
-    return words, (rows.column("h").to_numpy(), rows.column("n").to_numpy(), dishes, row)
-
-
-_STAGE_A = "key binary, kind int, h bigint, n bigint, packed binary, block bigint, doc int, doc_id {}, n_tokens bigint, known bigint, base double, score double"
-_MODEL, _TAIL, _DOC = 0, 1, 2
-
-
-def score(docs: DataFrame, table: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score) for every row of ``docs``."""
-    spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    sent = spark.sparkContext.broadcast((model, *_frequent(table, model)))
-    denominator = model.total + model.vocabulary + 1
-    names = [c.split(" ")[0] for c in _STAGE_A.split(", ")]
-    doc_type = pa.int64()
-
-    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, hot, rows = sent.value
-        found = _Words(m, *rows)
-        part, number = TaskContext.get().partitionId(), 0
-
-        def flush(block: _Block, docs: list[pa.Array]) -> Iterator[pa.RecordBatch]:
-            name = part << 32 | number
-            ids, ctx = np.concatenate(block.ids), np.concatenate(block.ctx)
-            sizes = np.array([len(x) for x in block.ids])
-            doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-            at = np.fromiter((hot.get(w, -1) for w in block.words), np.int32, len(block.words))[ids]
-            on = at >= 0
-            n_docs = len(sizes)
-            known = np.bincount(doc[on], minlength=n_docs)
-            base, total = np.zeros(n_docs), np.zeros(n_docs)
-            for some in np.array_split(np.flatnonzero(on), 1 + on.sum() // SCORED_TOKENS):
-                base += np.bincount(doc[some], np.log10((found.n[at[some]] + 1) / denominator), n_docs)
-                total += np.bincount(doc[some], np.log10(found.probability(at[some], ctx[some])), n_docs)
-            null = lambda n, t: pa.nulls(n, t)
-            same = lambda v, n, t: pa.array(np.full(n, v), t)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([b"%d:%d" % (name, i) for i in range(n_docs)], pa.binary()), same(_DOC, n_docs, pa.int32()), null(n_docs, pa.int64()), null(n_docs, pa.int64()), null(n_docs, pa.binary()), same(name, n_docs, pa.int64()), pa.array(np.arange(n_docs), pa.int32()), pa.concat_arrays(docs), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(total)],
-                names,
-            )
-            tail = np.flatnonzero(~on)
-            if not len(tail):
-                return
-            tail = tail[np.argsort(ids[tail], kind="stable")]
-            seen = np.empty(len(tail), _SEEN)
-            seen["ctx"], seen["doc"] = ctx[tail], doc[tail]
-            starts = np.flatnonzero(np.concatenate(([True], np.diff(ids[tail]) > 0)))
-            every = pa.array(list(block.words), pa.binary())
-            n = len(starts)
-            yield pa.RecordBatch.from_arrays(
-                [every.take(pa.array(ids[tail][starts])), same(_TAIL, n, pa.int32()), null(n, pa.int64()), null(n, pa.int64()), _ragged(seen, starts), same(name, n, pa.int64()), null(n, pa.int32()), null(n, doc_type), null(n, pa.int64()), null(n, pa.int64()), null(n, pa.float64()), null(n, pa.float64())],
-                names,
-            )
-
-        block, own = _Block(), []
-        for b in slices(batches):
-            taken = 0
-            for i, t in enumerate(b.column(1).to_pylist()):
-                block.add(t)
-                if block.full():
-                    yield from flush(block, [*own, b.column(0).slice(taken, i + 1 - taken)])
-                    number += 1
-                    block, own, taken = _Block(), [], i + 1
-            if taken < b.num_rows:
-                own.append(b.column(0).slice(taken))
-        if block.size:
-            yield from flush(block, own)
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Tail tokens meet their word's row, which comes first; by block: (doc, word's count, log10 probability)."""
-        m = sent.value[0]
-        held: pa.RecordBatch | None = None  # the last word's row
+        self.base = 1.0 / (vocabulary + 1)
+        self.sums: dict[int, tuple[float, float]] = {}
+
+    def parent(self, sweep: int, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """The parent's probability of words with these customers and tables in it; unknown ones have none."""
+        every, own = self.sums[sweep]
+        return (customers - self.root_discount * tables + (ROOT_CONCENTRATION + self.root_discount * own) * self.base) / (ROOT_CONCENTRATION + every)
+
+    def seat_root(self, seating: Seating, sweep: int, ids: np.ndarray, customers: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """The parent's tables of words: each one's customers are seated again beside the others' tables before."""
+        first = (ROOT_CONCENTRATION + self.root_discount * np.maximum(self.sums[sweep - 1][1] - before, 0.0)) * self.base
+        return seating.draw(customers, first, np.full(len(ids), self.root_discount * self.base), _mixed(ids * np.uint64(_ODD) + np.uint64(sweep + 2)))
+
+    def seat(self, seating: Seating, upto: int, u: np.ndarray, w: np.ndarray, c: np.ndarray, ids: np.ndarray, tables: dict[int, np.ndarray], parents: dict[int, np.ndarray]) -> Iterator[np.ndarray]:
+        """Tables of dishes (u, w) with c customers after sweeps 0 to ``upto``; tables and parents: by sweep and word."""
+        t = np.minimum(c, 1)
+        name = _mixed(ids[u] * np.uint64(_ODD) + ids[w])
+        for sweep in range(upto + 1):
+            p = parents[sweep - 1][w]
+            first = (CONCENTRATION + self.discount * np.maximum(tables[sweep - 1][u] - t, 0)) * p
+            t = seating.draw(c, first, self.discount * p, _mixed(name + np.uint64(sweep + 1)))
+            yield t
+
+    def probability(self, known: _Known, u: np.ndarray, w: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Of words w after u that follow it c times: the mean over the kept sweeps."""
+        several, tables = np.flatnonzero(c > 1), np.minimum(c, 1)
+        kept, p = SWEEPS - 1, np.zeros(len(u))
+        seated = self.seat(Seating(self.discount), kept, u[several], w[several], c[several], known.ids, known.tables, known.parents)
+        for sweep, t in enumerate(seated):
+            if sweep:
+                tables[several] = t
+                p += c - self.discount * tables + (CONCENTRATION + self.discount * known.tables[sweep][u]) * known.parents[sweep][w]
+        return p / kept / (CONCENTRATION + known.n[u])
+
+
+# ---- blocks
+
+
+class _Gathered:
+    """Tokens of some documents as numbers of their distinct words."""
+
+    def __init__(self):
+        self.words: dict[bytes, int] = {START: 0}
+        self.ids: list[np.ndarray] = []
+        self.docs: list[int | None] = []
+        self.learn: list[bool] = []
+        self.size = 0
+
+    def add(self, doc: int | None, text: str | None, learn: bool) -> None:
+        split, words = tokens(text), self.words
+        for w in set(split).difference(words):
+            words[w] = len(words)
+        self.ids.append(np.fromiter(map(words.__getitem__, split), np.int32, len(split)))
+        self.docs.append(doc)
+        self.learn.append(learn)
+        self.size += len(split)
+
+    def row(self, name: int) -> tuple:
+        """a: words; b: tokens; c: (id, whether it has one, tokens, whether it is learned from) of each document."""
+        docs = np.array([(d or 0, d is not None, len(i), x) for d, i, x in zip(self.docs, self.ids, self.learn)], np.int64).reshape(-1, 4)
+        return _row(_BLOCK, name, a=squeeze(b"\n".join(self.words)), b=pack(np.concatenate(self.ids)), c=pack(docs.ravel()), x=[float(self.size), float(len(self.words))])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part, number, block = TaskContext.get().partitionId(), 0, _Gathered()
+    for b in slices(batches):
+        for doc, text, learn in zip(*(b.column(i).to_pylist() for i in range(3))):
+            block.add(doc, text, learn)
+            if block.size >= BLOCK_TOKENS:
+                yield _batch([block.row(part << 32 | number)])
+                number, block = number + 1, _Gathered()
+    if block.docs:
+        yield _batch([block.row(part << 32 | number)])
+
+
+class Block:
+    """A block's documents, and its distinct pairs of (context, word) in order of their numbers."""
+
+    def __init__(self, row: dict):
+        self.words = swell(row["a"]).split(b"\n")
+        self.ids = unpack(row["b"], "<i4").astype(np.int64)
+        self.docs = unpack(row["c"], "<i8").reshape(-1, 4)
+        self.doc = np.repeat(np.arange(len(self.docs)), self.docs[:, 2])
+        self.learned = self.docs[self.doc, 3]
+        before = np.concatenate(([0], self.ids[:-1]))
+        before[np.cumsum(self.docs[:, 2]) - self.docs[:, 2]] = 0  # the start's number
+        self.keys = before << 32 | self.ids
+
+    def counts(self) -> np.ndarray:
+        """How often each word is learned from; of the start: documents that are."""
+        n = np.bincount(self.ids, self.learned, len(self.words)).astype(np.int64)
+        n[0] = self.docs[:, 3].sum()
+        return n
+
+    def hashes(self) -> np.ndarray:
+        digest = xxhash.xxh64_intdigest
+        return np.fromiter(map(digest, self.words), np.uint64, len(self.words))
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Contexts and words of the distinct pairs, and their keys in order."""
+        key = np.sort(self.keys)
+        key = key[np.concatenate(([True], key[1:] != key[:-1]))]
+        return key >> 32, key & 0xFFFFFFFF, key
+
+    def pair_counts(self) -> np.ndarray:
+        key = np.sort(self.keys << 1 | self.learned)  # learned ones come last in a pair
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] >> 1 != key[:-1] >> 1)))
+        return np.add.reduceat(key & 1, starts)
+
+
+def _pair_hashes(h: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return _mixed(h[u] * np.uint64(_ODD) + h[w])
+
+
+def _parts(h: np.ndarray, parts: int) -> np.ndarray:
+    """The partition of each hash: equal ranges."""
+    return (h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+
+
+def _cut(p: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(part, start, end) of the runs of a sorted array."""
+    starts = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1]))) if len(p) else np.zeros(0, int)
+    yield from zip(p[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(p)])
+
+
+def _each(run: Callable[[dict], list[tuple]]) -> Callable:
+    """A function of Arrow batches from one of rows."""
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kinds = b.column("kind").to_numpy()
-            docs = b.filter(pa.array(kinds == _DOC))
-            if docs.num_rows:
-                one = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(docs.num_rows + 1, dtype=np.int32)), x)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([*(docs.column(c) for c in ("block", "doc_id", "n_tokens", "known", "base")), one(docs.column("doc")), one(docs.column("known")), one(docs.column("score"))], out_names)
-            b = b.filter(pa.array(kinds != _DOC)).select(["key", "kind", "h", "n", "packed", "block"])
-            if held is not None:
-                b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
-            if not b.num_rows:
-                continue
-            kinds = b.column("kind").to_numpy()
-            model_rows = np.flatnonzero(kinds == _MODEL)
-            held = b.slice(int(model_rows[-1]), 1) if len(model_rows) else None
-            tail_rows = np.flatnonzero(kinds == _TAIL)
-            if not len(tail_rows):
-                continue
-            # the word's row that stands last before a row, if it has the same word
-            before = np.maximum.accumulate(np.where(kinds == _MODEL, np.arange(len(kinds)), -1))[tail_rows]
-            tail = b.take(pa.array(tail_rows))
-            same = pc.equal(b.column("key").take(pa.array(np.maximum(before, 0))), tail.column("key")).to_numpy(zero_copy_only=False) & (before >= 0)
-            used, place = np.unique(before[same], return_inverse=True)
-            own = b.take(pa.array(used))
-            dishes, row = _unpacked(own.column("packed"), _DISH)
-            found = _Words(m, own.column("h").to_numpy(zero_copy_only=False).astype(np.int64), own.column("n").to_numpy(zero_copy_only=False).astype(np.int64), dishes, row)
-            word = np.full(len(tail_rows), -1)
-            word[same] = place
-            seen, at = _unpacked(tail.column("packed"), _SEEN)
-            word = word[at]
-            p = np.log10(found.probability(word, seen["ctx"]))
-            count = np.where(word >= 0, found.n[word] if len(found.n) else 0, 0)
-            block = tail.column("block").to_numpy()[at]
-            order = np.argsort(block, kind="stable")
-            block = block[order]
-            starts = np.flatnonzero(np.concatenate(([True], np.diff(block) > 0)))
-            offsets = pa.array(np.append(starts, len(block)), pa.int32())
-            listed = lambda x: pa.ListArray.from_arrays(offsets, pa.array(x[order]))
-            n = len(starts)
-            null = (pa.nulls(n, t) for t in (doc_type, pa.int64(), pa.int64(), pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array(block[starts]), *null, listed(seen["doc"].astype(np.int32)), listed(count.astype(np.int64)), listed(p)], out_names)
-
-    out_schema = f"block bigint, doc_id {kind}, n_tokens bigint, known bigint, base double, docs array<int>, counts array<bigint>, scores array<double>"
-    out_names = [c.split(" ")[0] for c in out_schema.split(", ")]
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    of_docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(parsed, _STAGE_A.format(kind))
-    of_words = table.filter(F.col("n") * FREQUENT < model.total).select(
-        F.col("word").alias("key"), F.lit(_MODEL).alias("kind"), "h", "n", F.col("dishes").alias("packed"), *[F.lit(None).cast(t).alias(c) for c, t in (("block", "bigint"), ("doc", "int"), ("doc_id", kind), ("n_tokens", "bigint"), ("known", "bigint"), ("base", "double"), ("score", "double"))]
-    )
-    met = of_docs.unionByName(of_words).repartition(n, "key").sortWithinPartitions("key", "kind").mapInArrow(joined, out_schema)
-    # back to the documents: a block's rows meet in one partition, and a block is bounded
-    every = met.repartition(n, "block").select("block", "doc_id", "n_tokens", "known", "base", F.inline(F.arrays_zip("docs", "counts", "scores")))
-    return every.groupBy("block", "docs").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.coalesce("known", (F.col("counts") > 0).cast("bigint"))).alias("n_known"),
-        F.sum(F.coalesce("base", F.log10((F.col("counts") + 1) / denominator))).alias("base_score"),
-        F.sum("scores").alias("score"),
-    ).drop("block", "docs")
+            for i in range(b.num_rows):
+                yield _batch(run(b.slice(i, 1).to_pylist()[0]))
+
+    return go
+
+
+def _sent_words(parts: int) -> Callable[[dict], list[tuple]]:
+    """a: words; b: their numbers in the block; c: their counts."""
+    def run(row: dict) -> list[tuple]:
+        block = Block(row)
+        p, n = _parts(block.hashes(), parts), block.counts()
+        order = np.argsort(p, kind="stable")
+        return [_row(_WORDS, row["block"], q, a=squeeze(b"\n".join([block.words[i] for i in order[s:e].tolist()])), b=pack(order[s:e].astype("<u4")), c=pack(n[order[s:e]])) for q, s, e in _cut(p[order])]
+
+    return run
+
+
+def _sent_pairs(parts: int) -> Callable[[dict], list[tuple]]:
+    """a: hashes in order; b: counts."""
+    def run(row: dict) -> list[tuple]:
+        block = Block(row)
+        u, w, _ = block.pairs()
+        h = _pair_hashes(block.hashes(), u, w)
+        order = np.argsort(h, kind="stable")
+        h, n = h[order], block.pair_counts()[order]
+        return [_row(_PAIRS, row["block"], q, a=pack_sorted(h[s:e]), b=pack(n[s:e])) for q, s, e in _cut(_parts(h, parts))]
+
+    return run
+
+
+def _joined_rows(rows: list[dict], column: str, kind: str, unpacked: Callable = unpack) -> tuple[np.ndarray, np.ndarray]:
+    """A packed column's values of all rows one after another, and where each row's end."""
+    found = [unpacked(r[column], kind) for r in rows]
+    return (np.concatenate(found) if found else np.zeros(0, kind)), np.cumsum([len(f) for f in found])
+
+
+def _by_block(table: pa.Table) -> list[dict]:
+    return sorted(table.to_pylist(), key=lambda r: (r["block"], r["p"], r["sweep"]))
+
+
+def _counted_words(table: pa.Table) -> pa.Table:
+    """For each block its words that are learned from: a: numbers in the block; b: places in the partition, in order; c: counts.
+
+    One more row: x: words and tokens of the partition.
+    """
+    rows = _by_block(table)
+    every = pa.chunked_array([pa.array(swell(r["a"]).split(b"\n"), pa.binary()) for r in rows]).combine_chunks()
+    local, ends = _joined_rows(rows, "b", "<u4")
+    counts, _ = _joined_rows(rows, "c", "<i8")
+    codes = every.dictionary_encode()
+    n = np.bincount(codes.indices.to_numpy(), counts, len(codes.dictionary)).astype(np.int64)
+    order = pc.array_sort_indices(codes.dictionary).to_numpy()
+    place = np.full(len(order), -1)
+    place[order[n[order] > 0]] = np.arange((n > 0).sum())  # learned ones are numbered in order of their bytes
+    out, at = [], codes.indices.to_numpy()
+    for r, s, e in zip(rows, [0, *ends[:-1].tolist()], ends.tolist()):
+        own = np.argsort(place[at[s:e]], kind="stable") + s
+        own = own[place[at[own]] >= 0]
+        out.append(_row(_WORDS, r["block"], r["p"], a=pack(local[own]), b=pack_sorted(place[at[own]].astype("<u4")), c=pack(n[at[own]])))
+    real = pc.not_equal(codes.dictionary, pa.scalar(START, pa.binary())).to_numpy(zero_copy_only=False)
+    return pa.Table.from_batches([_batch([*out, _row(_STATE, p=rows[0]["p"], x=[float(((n > 0) & real).sum()), float(n[real].sum())])])])
+
+
+def _counted_pairs(table: pa.Table) -> pa.Table:
+    """For each block its pairs' counts in the whole corpus, doubled, and one more where the block owns the pair."""
+    rows = _by_block(table)
+    h, ends = _joined_rows(rows, "a", "<u8", unpack_sorted)
+    n, _ = _joined_rows(rows, "b", "<i8")
+    order = np.argsort(h, kind="stable")
+    fresh = np.concatenate(([True], h[order][1:] != h[order][:-1]))
+    starts, pair = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+    total = np.add.reduceat(n[order], starts)[pair]
+    some = np.flatnonzero(n[order] > 0)
+    owner = some[np.concatenate(([True], pair[some][1:] != pair[some][:-1]))] if len(some) else some
+    v = np.empty(len(h), np.int64)
+    v[order] = total << 1
+    v[order[owner]] += 1
+    return pa.Table.from_batches([_batch([_row(_PAIRS, r["block"], r["p"], a=pack(v[s:e])) for r, s, e in zip(rows, [0, *ends[:-1].tolist()], ends.tolist())])])
+
+
+class _Known:
+    """What a block has been sent back: of its words the count, id, and by sweep tables, parent's customers and tables."""
+
+    def __init__(self, rows: list[dict], words: int, model: Model | None = None):
+        self.parts = [r for r in rows if r["kind"] == _WORDS]
+        self.at = {r["p"]: unpack(r["a"], "<u4").astype(np.int64) for r in self.parts}
+        self.n, self.ids = np.zeros(words, np.int64), np.zeros(words, np.uint64)
+        self.tables: dict[int, np.ndarray] = {}
+        self.parents: dict[int, np.ndarray] = {}
+        for r in self.parts:
+            at = self.at[r["p"]]
+            self.n[at] = unpack(r["c"], "<i8")
+            self.ids[at] = np.uint64(r["p"]) << np.uint64(32) | unpack_sorted(r["b"], "<u4").astype(np.uint64)
+        root: dict[int, np.ndarray] = {}
+        for r in rows:
+            if r["kind"] == _BACK:
+                at, sweep = self.at[r["p"]], r["sweep"]
+                self.tables.setdefault(sweep, np.zeros(words, np.int64))[at] = unpack(r["a"], "<i8")
+                both = root.setdefault(sweep, np.zeros((2, words), np.int64))
+                both[0, at], both[1, at] = unpack(r["b"], "<i8"), unpack(r["c"], "<i8")
+        for sweep in range(-1, max(root, default=-1) + 1) if model else ():
+            zero = np.zeros((2, words), np.int64)
+            self.tables.setdefault(sweep, zero[0])
+            self.parents[sweep] = model.parent(sweep, *root.get(sweep, zero))
+
+    def sums(self, block: int, sweep: int, of_context: np.ndarray, of_word: np.ndarray) -> list[tuple]:
+        """a: places in the partition; b, c: sums of its words as contexts and as words."""
+        return [_row(_SUMS, block, r["p"], sweep, a=r["b"], b=pack(of_context[self.at[r["p"]]]), c=pack(of_word[self.at[r["p"]]])) for r in self.parts]
+
+
+def _pair_values(rows: list[dict], h: np.ndarray) -> np.ndarray:
+    """The values sent back for pairs, in the order of their numbers."""
+    v, _ = _joined_rows(sorted((r for r in rows if r["kind"] == _PAIRS), key=lambda r: r["p"]), "a", "<i8")
+    out = np.empty(len(h), np.int64)
+    out[np.argsort(h, kind="stable")] = v
+    return out
+
+
+def _owned(table: pa.Table) -> pa.Table:
+    """Of a block: its dishes of several customers (a: contexts; b: words; c: customers; x: those of one and of two), and sums of dishes."""
+    rows = table.to_pylist()
+    row = next(r for r in rows if r["kind"] == _BLOCK)
+    block = Block(row)
+    known = _Known(rows, len(block.words))
+    u, w, _ = block.pairs()
+    v = _pair_values(rows, _pair_hashes(block.hashes(), u, w))
+    own = np.flatnonzero((v & 1) > 0)
+    u, w, c = u[own], w[own], v[own] >> 1
+    several = c > 1
+    dishes = _row(_DISHES, row["block"], a=pack(u[several].astype("<u4")), b=pack(w[several].astype("<u4")), c=pack(c[several]), x=[float((c == 1).sum()), float((c == 2).sum()), float(len(block.words))])
+    of = lambda x: np.bincount(x, minlength=len(block.words)).astype(np.int64)
+    return pa.Table.from_batches([_batch([dishes, *known.sums(row["block"], -1, of(u), of(w))])])
+
+
+def _seated_dishes(model: Model, sweep: int) -> Callable[[pa.Table], pa.Table]:
+    """Of a block: by word the tables beyond one of each dish it owns, after the sweep."""
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        row = next(r for r in rows if r["kind"] == _DISHES)
+        words = int(row["x"][2])
+        known = _Known(rows, words, model)
+        u, w, c = unpack(row["a"], "<u4").astype(np.int64), unpack(row["b"], "<u4").astype(np.int64), unpack(row["c"], "<i8")
+        for t in model.seat(Seating(model.discount), sweep, u, w, c, known.ids, known.tables, known.parents):
+            pass
+        of = lambda x: np.bincount(x, t - 1, words).astype(np.int64)
+        return pa.Table.from_batches([_batch(known.sums(row["block"], sweep, of(u), of(w)))])
+
+    return run
+
+
+def _seated_words(model: Model | None, sweep: int) -> Callable[[pa.Table], pa.Table]:
+    """Of a word partition: its state (a: tables as context, b: customers and c: tables in the parent; of the start beside them
+    d: dishes as context and as word), x: the parent's customers, tables, words of one and of two customers; and each block's words of it."""
+    def run(table: pa.Table) -> pa.Table:
+        rows = _by_block(table)
+        sent, states = [r for r in rows if r["kind"] == _SUMS], {r["sweep"]: r for r in rows if r["kind"] == _STATE}
+        places = [unpack_sorted(r["a"], "<u4").astype(np.int64) for r in sent]
+        size = len(unpack(states[-1]["a"], "<i8")) if states else 1 + max((int(x[-1]) for x in places if len(x)), default=-1)
+        context, customers = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for r, at in zip(sent, places):
+            context[at] += unpack(r["b"], "<i8")
+            customers[at] += unpack(r["c"], "<i8")
+        if sweep < 0:
+            tables = np.minimum(customers, 1)
+        else:
+            context += unpack(states[-1]["a"], "<i8")
+            customers += unpack(states[-1]["b"], "<i8")
+            ids = np.uint64(rows[0]["p"]) << np.uint64(32) | np.arange(size, dtype=np.uint64)
+            tables = model.seat_root(Seating(model.root_discount), sweep, ids, customers, unpack(states[sweep - 1]["c"], "<i8"))
+        sums = [float(x) for x in (customers.sum(), tables.sum(), (customers == 1).sum(), (customers == 2).sum())]
+        state = _row(_STATE, p=rows[0]["p"], sweep=sweep, a=pack(context), b=pack(customers), c=pack(tables), x=sums)
+        back = [_row(_BACK, r["block"], r["p"], sweep, a=pack(context[at]), b=pack(customers[at]), c=pack(tables[at])) for r, at in zip(sent, places)]
+        return pa.Table.from_batches([_batch([state, *back])])
+
+    return run
+
+
+def _scored(model: Model) -> tuple[Callable[[pa.Table], pa.Table], str]:
+    """Of a block: a row for each document."""
+    schema = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        block = Block(next(r for r in rows if r["kind"] == _BLOCK))
+        known = _Known(rows, len(block.words), model)
+        u, w, key = block.pairs()
+        c = _pair_values(rows, _pair_hashes(block.hashes(), u, w)) >> 1
+        p = np.log10(model.probability(known, u, w, c))[np.searchsorted(key, block.keys)]
+        n = known.n[block.ids]
+        of_doc = lambda x: np.bincount(block.doc, x, len(block.docs))
+        ids = pa.array(block.docs[:, 0], mask=block.docs[:, 1] == 0)
+        return pa.table([ids, pa.array(block.docs[:, 2]), pa.array(of_doc(n > 0).astype(np.int64)), pa.array(of_doc(np.log10((n + 1) / (model.total + model.vocabulary + 1)))), pa.array(of_doc(p))], [x.split(" ")[0] for x in schema.split(", ")])
+
+    return run, schema
+
+
+# ---- the jobs
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = shared_folder(df.sparkSession, name)
+    df.write.option("compression", "none").parquet(path)  # what it holds is compressed
+    return df.sparkSession.read.parquet(path)
+
+
+def _together(*tables: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _sums(rows: DataFrame, n: int) -> list[float]:
+    """The first n numbers of x, added up."""
+    found = rows.agg(*[F.sum(F.get("x", F.lit(i))) for i in range(n)]).first()
+    return [v or 0.0 for v in found]
+
+
+def _discount(once: float, twice: float) -> float:
+    return float(np.clip(once / (once + 2 * twice) if once else 0.5, 0.1, 0.95))
+
+
+def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
+    """The model, and the tables of blocks with all that was sent back to them, in the shared folder.
+
+    The model learns from the rows where ``learn`` is true. Null texts count as empty; an empty
+    table, or none to learn from, gives a model that knows no word.
+    """
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    n = 2 * shuffle_partitions(docs.sparkSession)
+    blocks = _written(rows.mapInArrow(_gathered, ROW), "blocks")
+    size, words = _sums(blocks, 2)
+    words, pairs = max(n, int(words // PARTITION_WORDS)), max(n, int(size // PARTITION_PAIRS))
+    counted = _written(blocks.mapInArrow(_each(_sent_words(words)), ROW).groupBy("p").applyInArrow(_counted_words, ROW), "words")
+    vocabulary, total = _sums(counted.filter(F.col("kind") == _STATE), 2)
+    known = counted.filter(F.col("kind") == _WORDS)
+    met = _written(blocks.mapInArrow(_each(_sent_pairs(pairs)), ROW).groupBy("p").applyInArrow(_counted_pairs, ROW), "pairs")
+    owned = _written(_together(blocks, known, met).groupBy("block").applyInArrow(_owned, ROW), "dishes")
+    dishes = owned.filter(F.col("kind") == _DISHES)
+    state = _written(owned.filter(F.col("kind") == _SUMS).groupBy("p").applyInArrow(_seated_words(None, -1), ROW), "start")
+    own = _sums(state.filter(F.col("kind") == _STATE), 4)
+    model = Model(int(total), int(vocabulary), _discount(*_sums(dishes, 2)), _discount(own[2], own[3]))
+    model.sums[-1] = own[0], own[1]
+    for sweep in range(SWEEPS):
+        of_blocks = _together(dishes, known, state.filter(F.col("kind") == _BACK)).groupBy("block").applyInArrow(_seated_dishes(model, sweep), ROW)
+        held = state.filter((F.col("kind") == _STATE) & F.col("sweep").isin(-1, sweep - 1))
+        after = _written(_together(of_blocks, held).groupBy("p").applyInArrow(_seated_words(model, sweep), ROW), f"sweep{sweep}")
+        own = _sums(after.filter(F.col("kind") == _STATE), 2)
+        model.sums[sweep] = own[0], own[1]
+        state = _together(state, after)
+    return model, _together(blocks, known, met, state.filter(F.col("kind") == _BACK))
 
 
 def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -430,9 +540,10 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
 
     The model learns from the rows where ``learn`` is true. Null counts as empty: one token, the end.
     Without any row to learn from all words are unknown. Repeated rows stay repeated; an empty
-    table gives no rows; further columns are left out. Ids are integers.
+    table gives no rows; further columns are left out. Ids are integers, or null. A very long text is
+    one block of its own: it must fit in a task's memory.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), learn.alias("_learn"))
-    table, model = train(rows.filter("_learn").select("doc_id", "text"))
-    scored = score(rows.select("doc_id", "text"), table, model)
+    model, rows = train(docs, learn, id_col, text_col)
+    run, schema = _scored(model)
+    scored = rows.groupBy("block").applyInArrow(run, schema)
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(model.total).cast("bigint").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

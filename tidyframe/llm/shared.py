@@ -2,33 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from ..dtypes import name, unused
+from ..session import checkpointed, remove_folder, shared_folder, shuffle_partitions
+
+__all__ = ["checkpointed", "name", "remove_folder", "shared_folder", "shuffle_partitions", "slices", "unused"]
 
 #: Rows that become Python objects at a time; bounds a worker's memory when texts are long.
 SLICE_ROWS = 256
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where that setting is absent, as in tests on one machine, a temporary folder is set once.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidyframe-"))
-    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows from reliable storage in the shared folder, with the lineage cut."""
-    shared_folder(df.sparkSession, "probe")
-    return df.checkpoint(eager=True)
-
-
 def slices(batches: Iterator) -> Iterator:
     """Arrow record batches of at most SLICE_ROWS rows."""
     for batch in batches:
