@@ -4,8 +4,8 @@ Each token is seated in the restaurant of the word before it, or of the start of
 restaurants share one parent, whose base is uniform over the vocabulary and one unknown word. A
 Gibbs step takes all customers of a dish (context, word) out of its restaurant and seats them
 again given everybody else's tables: the number of their tables is drawn from its conditional
-distribution (Chinese restaurants by generalised Stirling numbers; dishes of over EXACT customers
-are seated one after another in growing groups, each with a binomial draw). Every table sends a
+distribution (Chinese restaurants by generalised Stirling numbers); those of over EXACT customers
+are seated one after another, in groups of a sixteenth of the seated, each a binomial draw. Every table sends a
 customer to the parent, which is seated likewise. Tables start at one a dish; the first sweep is
 left out, and predictive probabilities are averaged over the others. Discounts come from the
 numbers of dishes seen once and twice.
@@ -40,9 +40,9 @@ START, END = b" ", b""
 SWEEPS = 4
 CONCENTRATION, ROOT_CONCENTRATION = 0.1, 1.0
 #: Customers of a dish up to which the number of its tables is drawn at once.
-EXACT = 256
+EXACT = 32
 #: Tokens of a block; words and pairs that blocks send to a partition, about.
-BLOCK_TOKENS, PARTITION_WORDS, PARTITION_PAIRS = 4_000_000, 1_000_000, 2_000_000
+BLOCK_TOKENS, PARTITION_WORDS, PARTITION_PAIRS = 2_000_000, 1_000_000, 2_000_000
 #: Elements of a matrix of weights.
 WEIGHTS = 2_000_000
 _ODD = 0x9E3779B97F4A7C15
@@ -121,9 +121,12 @@ class Seating:
             log[c + 1, 1 : c + 2] = np.logaddexp(log[c + 1, 1 : c + 2], log[c, : c + 1])
         self.log = log
 
-    def draw(self, customers: np.ndarray, first: np.ndarray, more: np.ndarray, seed: np.ndarray) -> np.ndarray:
-        """Tables of each dish; a new one weighs ``first``, and ``more`` with each that the dish has by then."""
-        tables = np.minimum(customers, 1)
+    def draw(self, customers: np.ndarray, first: np.ndarray, more: np.ndarray, seed: np.ndarray, random: np.random.Generator | None) -> np.ndarray:
+        """Tables of each dish; a new one weighs ``first``, and ``more`` with each that the dish has by then.
+
+        Dishes of over EXACT customers draw from ``random``; without it they have the expected number.
+        """
+        tables = np.minimum(customers, 1).astype(np.float64)
         several = np.flatnonzero(customers > 1)
         order = several[np.argsort(customers[several], kind="stable")]
         small = order[: np.searchsorted(customers[order], EXACT, side="right")]
@@ -136,18 +139,20 @@ class Seating:
                 weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
                 at = (_mixed(seed[own]) >> np.uint64(11)).astype(np.float64) / 9007199254740992.0
                 tables[own] = 1 + (weight[:, :-1] < at[:, None] * weight[:, -1:]).sum(axis=1)
-        for i in order[len(small) :].tolist():
-            tables[i] = self._one_by_one(int(customers[i]), float(first[i]), float(more[i]), np.random.default_rng(int(seed[i])))
+        large = order[len(small) :][::-1]
+        tables[large] = self._in_groups(customers[large], first[large], more[large], random)
         return tables
 
-    def _one_by_one(self, customers: int, first: float, more: float, random: np.random.Generator) -> int:
-        tables, seated = 1, 1
-        while seated < customers:
-            group = min(max(1, seated // 16), customers - seated)
-            weight = first + more * tables
-            tables += int(random.binomial(group, min(1.0, weight / (weight + seated - self.discount * tables))))
-            seated += group
-        return min(tables, customers)
+    def _in_groups(self, customers: np.ndarray, first: np.ndarray, more: np.ndarray, random: np.random.Generator | None) -> np.ndarray:
+        """Tables of dishes, the largest first, whose customers come in groups of a sixteenth of those seated."""
+        tables, seated = np.ones(len(customers)), 1
+        while n := int(np.searchsorted(-customers, -seated)):
+            group = np.minimum(max(1, seated // 16), customers[:n] - seated)
+            weight = first[:n] + more[:n] * tables[:n]
+            p = np.minimum(1.0, weight / (weight + seated - self.discount * tables[:n]))
+            tables[:n] += random.binomial(group, p) if random else group * p
+            seated += max(1, seated // 16)
+        return tables
 
 
 class Model:
@@ -167,24 +172,30 @@ class Model:
     def seat_root(self, seating: Seating, sweep: int, ids: np.ndarray, customers: np.ndarray, before: np.ndarray) -> np.ndarray:
         """The parent's tables of words: each one's customers are seated again beside the others' tables before."""
         first = (ROOT_CONCENTRATION + self.root_discount * np.maximum(self.sums[sweep - 1][1] - before, 0.0)) * self.base
-        return seating.draw(customers, first, np.full(len(ids), self.root_discount * self.base), _mixed(ids * np.uint64(_ODD) + np.uint64(sweep + 2)))
+        random = np.random.default_rng([sweep, *ids[:1].tolist()])
+        return seating.draw(customers, first, np.full(len(ids), self.root_discount * self.base), _mixed(ids * np.uint64(_ODD) + np.uint64(sweep + 2)), random)
 
-    def seat(self, seating: Seating, upto: int, u: np.ndarray, w: np.ndarray, c: np.ndarray, ids: np.ndarray, tables: dict[int, np.ndarray], parents: dict[int, np.ndarray]) -> Iterator[np.ndarray]:
-        """Tables of dishes (u, w) with c customers after sweeps 0 to ``upto``; tables and parents: by sweep and word."""
+    def seat(self, upto: int, u: np.ndarray, w: np.ndarray, c: np.ndarray, known: _Known, owner: int | None = None) -> Iterator[np.ndarray]:
+        """Tables of dishes (u, w) with c customers after sweeps 0 to ``upto``.
+
+        The block that owns the dishes draws all of them; others repeat its draws of dishes of up to
+        EXACT customers and take the expected tables of larger ones, by which their probability hardly changes.
+        """
+        ids, tables, parents, seating = known.ids, known.tables, known.parents, Seating(self.discount)
         t = np.minimum(c, 1)
         name = _mixed(ids[u] * np.uint64(_ODD) + ids[w])
         for sweep in range(upto + 1):
             p = parents[sweep - 1][w]
             first = (CONCENTRATION + self.discount * np.maximum(tables[sweep - 1][u] - t, 0)) * p
-            t = seating.draw(c, first, self.discount * p, _mixed(name + np.uint64(sweep + 1)))
+            random = None if owner is None else np.random.default_rng([sweep, owner])
+            t = seating.draw(c, first, self.discount * p, _mixed(name + np.uint64(sweep + 1)), random)
             yield t
 
     def probability(self, known: _Known, u: np.ndarray, w: np.ndarray, c: np.ndarray) -> np.ndarray:
         """Of words w after u that follow it c times: the mean over the kept sweeps."""
-        several, tables = np.flatnonzero(c > 1), np.minimum(c, 1)
+        several, tables = np.flatnonzero(c > 1), np.minimum(c, 1).astype(np.float64)
         kept, p = SWEEPS - 1, np.zeros(len(u))
-        seated = self.seat(Seating(self.discount), kept, u[several], w[several], c[several], known.ids, known.tables, known.parents)
-        for sweep, t in enumerate(seated):
+        for sweep, t in enumerate(self.seat(kept, u[several], w[several], c[several], known)):
             if sweep:
                 tables[several] = t
                 p += c - self.discount * tables + (CONCENTRATION + self.discount * known.tables[sweep][u]) * known.parents[sweep][w]
@@ -236,20 +247,24 @@ class Block:
 
     def __init__(self, row: dict):
         self.words = swell(row["a"]).split(b"\n")
-        self.ids = unpack(row["b"], "<i4").astype(np.int64)
+        self.ids = unpack(row["b"], "<i4")
         self.docs = unpack(row["c"], "<i8").reshape(-1, 4)
-        self.doc = np.repeat(np.arange(len(self.docs)), self.docs[:, 2])
-        self.learned = self.docs[self.doc, 3]
-        before = np.concatenate(([0], self.ids[:-1]))
-        before[np.cumsum(self.docs[:, 2]) - self.docs[:, 2]] = 0  # the start's number
-        self.keys = before << 32 | self.ids
+        self.keys = np.zeros(len(self.ids), np.int64)
+        self.keys[1:] = self.ids[:-1]
+        self.keys[np.cumsum(self.docs[:, 2]) - self.docs[:, 2]] = 0  # the start's number
+        self.keys <<= 32
+        self.keys |= self.ids
 
     def counts(self) -> np.ndarray:
         """How often each word is learned from; of the start: documents that are."""
-        n = np.bincount(self.ids, self.learned, len(self.words)).astype(np.int64)
+        n = np.bincount(self.ids[self.learned()], minlength=len(self.words)).astype(np.int64)
         n[0] = self.docs[:, 3].sum()
         return n
 
+    def learned(self) -> np.ndarray:
+        """Whether each token is learned from."""
+        return np.repeat(self.docs[:, 3] > 0, self.docs[:, 2])
+
     def hashes(self) -> np.ndarray:
         digest = xxhash.xxh64_intdigest
         return np.fromiter(map(digest, self.words), np.uint64, len(self.words))
@@ -261,7 +276,9 @@ class Block:
         return key >> 32, key & 0xFFFFFFFF, key
 
     def pair_counts(self) -> np.ndarray:
-        key = np.sort(self.keys << 1 | self.learned)  # learned ones come last in a pair
+        key = self.keys << 1
+        key |= self.learned()  # learned ones come last in a pair
+        key.sort()
         starts = np.flatnonzero(np.concatenate(([True], key[1:] >> 1 != key[:-1] >> 1)))
         return np.add.reduceat(key & 1, starts)
 
@@ -427,8 +444,7 @@ def _seated_dishes(model: Model, sweep: int) -> Callable[[pa.Table], pa.Table]:
         words = int(row["x"][2])
         known = _Known(rows, words, model)
         u, w, c = unpack(row["a"], "<u4").astype(np.int64), unpack(row["b"], "<u4").astype(np.int64), unpack(row["c"], "<i8")
-        for t in model.seat(Seating(model.discount), sweep, u, w, c, known.ids, known.tables, known.parents):
-            pass
+        *_, t = model.seat(sweep, u, w, c, known, row["block"])
         of = lambda x: np.bincount(x, t - 1, words).astype(np.int64)
         return pa.Table.from_batches([_batch(known.sums(row["block"], sweep, of(u), of(w)))])
 
@@ -436,8 +452,7 @@ def _seated_dishes(model: Model, sweep: int) -> Callable[[pa.Table], pa.Table]:
 
 
 def _seated_words(model: Model | None, sweep: int) -> Callable[[pa.Table], pa.Table]:
-    """Of a word partition: its state (a: tables as context, b: customers and c: tables in the parent; of the start beside them
-    d: dishes as context and as word), x: the parent's customers, tables, words of one and of two customers; and each block's words of it."""
+    """Of a word partition: its state (a: tables as context, b: customers and c: tables in the parent), x: the parent's customers, tables, words of one and of two customers; and each block's words of it."""
     def run(table: pa.Table) -> pa.Table:
         rows = _by_block(table)
         sent, states = [r for r in rows if r["kind"] == _SUMS], {r["sweep"]: r for r in rows if r["kind"] == _STATE}
@@ -453,7 +468,7 @@ def _seated_words(model: Model | None, sweep: int) -> Callable[[pa.Table], pa.Ta
             context += unpack(states[-1]["a"], "<i8")
             customers += unpack(states[-1]["b"], "<i8")
             ids = np.uint64(rows[0]["p"]) << np.uint64(32) | np.arange(size, dtype=np.uint64)
-            tables = model.seat_root(Seating(model.root_discount), sweep, ids, customers, unpack(states[sweep - 1]["c"], "<i8"))
+            tables = model.seat_root(Seating(model.root_discount), sweep, ids, customers, unpack(states[sweep - 1]["c"], "<i8")).astype(np.int64)
         sums = [float(x) for x in (customers.sum(), tables.sum(), (customers == 1).sum(), (customers == 2).sum())]
         state = _row(_STATE, p=rows[0]["p"], sweep=sweep, a=pack(context), b=pack(customers), c=pack(tables), x=sums)
         back = [_row(_BACK, r["block"], r["p"], sweep, a=pack(context[at]), b=pack(customers[at]), c=pack(tables[at])) for r, at in zip(sent, places)]
@@ -473,10 +488,11 @@ def _scored(model: Model) -> tuple[Callable[[pa.Table], pa.Table], str]:
         u, w, key = block.pairs()
         c = _pair_values(rows, _pair_hashes(block.hashes(), u, w)) >> 1
         p = np.log10(model.probability(known, u, w, c))[np.searchsorted(key, block.keys)]
-        n = known.n[block.ids]
-        of_doc = lambda x: np.bincount(block.doc, x, len(block.docs))
+        base = np.log10((known.n + 1) / (model.total + model.vocabulary + 1))
+        starts = np.cumsum(block.docs[:, 2]) - block.docs[:, 2]
+        of_doc = lambda x: pa.array(np.add.reduceat(x, starts))  # noqa: E731  each document has a token, its end
         ids = pa.array(block.docs[:, 0], mask=block.docs[:, 1] == 0)
-        return pa.table([ids, pa.array(block.docs[:, 2]), pa.array(of_doc(n > 0).astype(np.int64)), pa.array(of_doc(np.log10((n + 1) / (model.total + model.vocabulary + 1)))), pa.array(of_doc(p))], [x.split(" ")[0] for x in schema.split(", ")])
+        return pa.table([ids, pa.array(block.docs[:, 2]), of_doc((known.n > 0).astype(np.int64)[block.ids]), of_doc(base[block.ids]), of_doc(p)], [x.split(" ")[0] for x in schema.split(", ")])
 
     return run, schema
 
