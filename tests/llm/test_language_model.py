@@ -213,10 +213,10 @@ def test_seating_of_large_dishes(monkeypatch):
     a, d, seed = 2.0, 0.5, np.random.default_rng(3).integers(0, 2**63, 3000).astype(np.uint64)
     draw = lambda c, random: lm.Seating(d).draw(np.full(3000, c), np.full(3000, a), np.full(3000, d), seed, random)
     random = np.random.default_rng(4)
-    monkeypatch.setattr(lm, "EXACT", 250)
-    exact = draw(250, None)
+    monkeypatch.setattr(lm, "EXACT", 100)
+    exact = draw(100, None)
     monkeypatch.setattr(lm, "EXACT", 32)
-    grouped, expected = draw(250, random), draw(250, None)
+    grouped, expected = draw(100, random), draw(100, None)
     assert abs(grouped.mean() - exact.mean()) < 0.06 * exact.mean() and abs(grouped.std() - exact.std()) < 0.15 * exact.std()
     assert abs(expected.mean() - grouped.mean()) < 0.06 * exact.mean()
     # tables grow as customers ** discount; mean and spread go on together

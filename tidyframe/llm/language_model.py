@@ -113,13 +113,10 @@ class Seating:
 
     def __init__(self, discount: float):
         self.discount = discount
-        log = np.full((EXACT + 1, EXACT + 2), -np.inf)  # generalised Stirling numbers by customers and tables
-        log[1, 1] = 0.0
+        self.ways = np.zeros((EXACT + 1, EXACT + 2))  # generalised Stirling numbers by customers and tables
+        self.ways[1, 1] = 1.0
         for c in range(1, EXACT):
-            t = np.arange(1, c + 1)
-            log[c + 1, 1 : c + 1] = log[c, 1 : c + 1] + np.log(c - discount * t)
-            log[c + 1, 1 : c + 2] = np.logaddexp(log[c + 1, 1 : c + 2], log[c, : c + 1])
-        self.log = log
+            self.ways[c + 1, 1:] = self.ways[c, 1:] * np.maximum(c - discount * np.arange(1, EXACT + 2), 0.0) + self.ways[c, :-1]
 
     def draw(self, customers: np.ndarray, first: np.ndarray, more: np.ndarray, seed: np.ndarray, random: np.random.Generator | None) -> np.ndarray:
         """Tables of each dish; a new one weighs ``first``, and ``more`` with each that the dish has by then.
@@ -135,8 +132,9 @@ class Seating:
             step = max(1, WEIGHTS // c)
             for i in range(s, e, step):
                 own = small[i : min(e, i + step)]
-                weight = np.cumsum(np.log(first[own, None] + more[own, None] * np.arange(c)), axis=1) + self.log[c, 1 : c + 1]
-                weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+                weight = np.cumprod(first[own, None] + more[own, None] * np.arange(c), axis=1)
+                weight *= self.ways[c, 1 : c + 1]
+                weight = np.cumsum(weight, axis=1)
                 at = (_mixed(seed[own]) >> np.uint64(11)).astype(np.float64) / 9007199254740992.0
                 tables[own] = 1 + (weight[:, :-1] < at[:, None] * weight[:, -1:]).sum(axis=1)
         large = order[len(small) :][::-1]
