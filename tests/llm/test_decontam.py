@@ -7,19 +7,24 @@ import pytest
 from tidyframe.llm import decontam
 
 
-def grams(text, k=5):
-    w = [x for x in re.split(r"[^\w]+|_+", (text or "").lower()) if x]
-    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+def words(text):
+    return [x for x in re.split(r"[^\w]+|_+", (text or "").lower()) if x]
+
+
+def grams(text, k):
+    w = words(text)
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
 
 
 def brute(docs, items, share=0.8):
-    sets = {i: grams(t) for i, t in items if grams(t)}
+    """Items of fewer than five words are one shingle of as many words as they have."""
+    sets = {i: (min(5, len(words(t))), grams(t, min(5, len(words(t))))) for i, t in items if words(t)}
     out = {}
     for d, t in docs:
-        own = grams(t)
-        for i, s in sets.items():
-            if len(own & s) >= share * len(s) - 1e-9:
-                out[d, i] = (len(own & s), len(s))
+        own = {k: grams(t, k) for k in {k for k, _ in sets.values()}}
+        for i, (k, s) in sets.items():
+            if len(own[k] & s) >= share * len(s) - 1e-9:
+                out[d, i] = (len(own[k] & s), len(s))
     return out
 
 
@@ -36,7 +41,7 @@ def test_whole_tables(spark, sf_dir, monkeypatch, rows):
 def test_partial_containment(spark):
     """Every share around the threshold, in items of every size class."""
     items, docs = [], []
-    for n in (1, 3, 5, 6, 9, 12, 20, 33, 64, 100):
+    for n in (1, 2, 3, 4, 5, 6, 9, 12, 20, 33, 64, 100):
         words = [f"i{n}x{j}" for j in range(n)]
         items.append((n, " ".join(words)))
         for cut in range(0, n + 1, max(1, n // 12)):
@@ -46,6 +51,25 @@ def test_partial_containment(spark):
     assert got == brute(docs, items)
 
 
+def test_short_items_inside_long_texts(spark):
+    docs = spark.createDataFrame([(1, "Some " * 500 + "Alpha, beta gamma delta; and more"), (2, "alpha beta"), (3, "gamma"), (4, "beta alpha")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha beta"), (3, "Gamma!")], "item_id bigint, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()) == [(1, 1), (1, 2), (1, 3), (2, 2), (3, 3)]
+
+
+def test_clashing_names(spark):
+    own = ("_found", "words", "w0", "h", "item_id", "width")
+    docs = spark.createDataFrame([(1, "one two three four five six", *own), (2, "clean", *own)], "doc_id bigint, text string, " + ", ".join(f"{c} string" for c in own))
+    items = docs.select("doc_id", "text", "_found", "words").filter("doc_id = 1").withColumn("item_id", docs["doc_id"])
+    assert [tuple(r) for r in decontam.drop_contaminated(docs, items).collect()] == [(2, "clean", *own)]
+
+
+def test_ids_in_several_rows_count_as_one(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(a, a + 8))) for a in range(0, 13, 3)], "doc_id bigint, text string")
+    assert decontam.contaminated(docs, spark.createDataFrame([(7, item)], "item_id bigint, text string")).count() == 1
+
+
 def test_odd_rows(spark):
     long = "filler " * 120_000 + "one two three four five six seven eight " + "more " * 1000
     rows = [(1, None, "a"), (2, "", "b"), (3, "one two three four five six seven eight", "c"), (3, "one two three four five six seven eight", "c"), (None, "one two three four five six seven eight", "d"), (5, long, "e"), (6, "clean text of many other words here", None)]

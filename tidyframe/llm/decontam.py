@@ -1,21 +1,24 @@
 """Benchmark decontamination: short test items are searched inside long documents.
 
 Size-partitioned MinHash containment search. Items are put into classes by their number of
-distinct shingles. The sketch of an item is its least m shingle hashes, where m is set by the
-class: the most shingles that an item of the class may miss, plus one. An item contained to
-the wanted share therefore meets a document in at least one sketch hash, so the search loses
-nothing. Documents too short for a class are not searched for it. Candidates are then verified
-by exact containment of the shingles themselves. Only DataFrame functions are used.
+distinct shingles; items of fewer words than a shingle are one shingle of as many words as they
+have. The sketch of an item is its least m shingle hashes, where m is set by the class: the most
+shingles that an item of the class may miss, plus one. An item contained to the wanted share
+therefore meets a document in at least one sketch hash, so the search loses nothing. Candidates
+are then verified by exact containment of the shingles themselves. Only DataFrame functions are
+used.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import checkpointed
+from .shared import checkpointed, unused
 
-#: Most rows of an item or candidate table that are broadcast; above, the joins shuffle.
-BROADCAST_ROWS = 200_000
+#: Most rows, and bytes of words, of an item or candidate table that are broadcast; above, the joins shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def normal_words(text: Column) -> Column:
@@ -24,52 +27,56 @@ def normal_words(text: Column) -> Column:
     return F.when(F.size(words) == 1, F.array_remove(words, "")).otherwise(words)
 
 
-def shingled(rows: DataFrame, words: Column, k: int) -> DataFrame:
-    """``rows`` with a column w0..w(k-1) of words for each shingle; fewer than k words: one shingle, filled up with ''."""
-    shifted = [F.slice(words, i + 1, F.greatest(F.size(words) - k + 1, F.lit(1))) for i in range(k)]
+def shingled(rows: DataFrame, words: Column, width: int) -> DataFrame:
+    """``rows`` with a column w0..w(width-1) of words for each shingle of ``width`` words; texts of fewer words have none."""
+    shifted = [F.slice(words, i + 1, F.greatest(F.size(words) - width + 1, F.lit(0))) for i in range(width)]
     return rows.select("*", F.inline(F.arrays_zip(*[s.alias(f"w{i}") for i, s in enumerate(shifted)])))
 
 
-def _with_words(rows: DataFrame, text_col: str) -> DataFrame:
-    return rows.withColumn("words", normal_words(F.col(text_col))).filter(F.size("words") > 0).drop(text_col)
+def _grams(rows: DataFrame, key: str, k: int, width: int) -> DataFrame:
+    """(key, w0..w(k-1)): shingles of ``width`` words, filled up with null."""
+    return shingled(rows, F.col("words"), width).select(key, *[F.col(f"w{i}") if i < width else F.lit(None).cast("string").alias(f"w{i}") for i in range(k)])
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _small(df: DataFrame, rows: int, size: int = 0) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def contaminated(docs: DataFrame, items: DataFrame, shingle_words: int = 5, containment: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, matched, item_shingles, containment): documents that hold at least that share of an item's distinct shingles.
 
     Null and empty texts and items hold nothing and match nothing. Items of fewer words than a
-    shingle match only texts with the same words. Repeated ids count together, as one document
-    or item. Empty tables give no rows; further columns are left out.
+    shingle match wherever their words follow each other. Repeated ids count together, as one
+    document or item. Empty tables give no rows; further columns are left out. Very long texts
+    are searched whole.
     """
     k = shingle_words
     ws = [f"w{i}" for i in range(k)]
-    own = _with_words(items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).filter("item_id is not null"), "text")
-    shingles = shingled(own, F.col("words"), k).select("item_id", *[F.coalesce(w, F.lit("")).alias(w) for w in ws]).distinct()
+    own = items.select(F.col(item_col).alias("item_id"), normal_words(F.col(item_text_col)).alias("words")).filter((F.size("words") > 0) & F.col("item_id").isNotNull())
+    own = checkpointed(own.withColumn("width", F.least(F.size("words"), F.lit(k))))
+    widths = sorted(r[0] for r in own.select("width").distinct().collect())  # k at most
+    together = lambda parts: reduce(DataFrame.unionByName, parts)
+    shingles = together([_grams(own.filter(F.col("width") == w), "item_id", k, w) for w in widths or [k]]).distinct()
     sizes = shingles.groupBy("item_id").agg(F.count("*").alias("item_shingles"))
     # classes by powers of two; an item may miss this many shingles at most, in any item of its class
     classed = sizes.withColumn("class", F.floor(F.log2("item_shingles")).cast("int"))
     sketched = classed.withColumn("m", F.floor((F.pow(F.lit(2.0), F.col("class") + 1) - 1) * (1 - containment) + 1e-9).cast("int") + 1)
     hashed = shingles.join(sketched, "item_id").withColumn("h", F.xxhash64(*ws))
-    items_table = checkpointed(hashed.groupBy("item_id", "class", "m", "item_shingles").agg(F.array_sort(F.collect_set("h")).alias("hs")).select("item_id", "item_shingles", "class", F.explode(F.slice("hs", 1, F.col("m"))).alias("h")))
+    sketches = checkpointed(hashed.groupBy("item_id", "m").agg(F.array_sort(F.collect_set("h")).alias("hs")).select("item_id", F.explode(F.slice("hs", 1, F.col("m"))).alias("h")))
     full = checkpointed(shingles.join(sizes, "item_id"))
-    n_sketch, n_full = items_table.count(), full.count()
-    # the least document that can hold the wanted share of the least item of a class
-    need = F.ceil(F.pow(F.lit(2.0), F.col("class")) * containment - 1e-9)
+    n_full, bytes_full = full.agg(F.count("*"), F.sum(F.octet_length(F.concat_ws("", *ws)))).first()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
-    words = _with_words(texts, "text")
-    grams = shingled(words.select("doc_id", "words", F.greatest(F.size("words") - k + 1, F.lit(1)).alias("n")), F.col("words"), k)
-    probe = grams.select("doc_id", "n", F.xxhash64(*[F.coalesce(w, F.lit("")) for w in ws]).alias("h"))
-    hits = probe.join(_small(items_table, n_sketch), "h").filter(F.col("n") >= need)
+    words = texts.select("doc_id", normal_words(F.col("text")).alias("words"))
+    probe = together([_grams(words, "doc_id", k, w).select("doc_id", F.xxhash64(*ws).alias("h")) for w in widths or [k]])
+    hits = probe.join(_small(sketches, sketches.count()), "h")
     candidates = checkpointed(hits.select("doc_id", "item_id").distinct())
     n_candidates = candidates.count()
-    # verification: all distinct shingles of the candidates, compared as words
-    chosen = words.join(_small(candidates.select("doc_id").distinct(), n_candidates), "doc_id", "left_semi")
-    every = shingled(chosen, F.col("words"), k).select("doc_id", *[F.coalesce(w, F.lit("")).alias(w) for w in ws])
-    met = every.join(_small(full, n_full), ws).select("doc_id", "item_id", "item_shingles", *ws)
+    # verification: all distinct shingles of the candidates' texts, which are put aside lest all texts be split again
+    chosen = checkpointed(texts.join(_small(candidates.select("doc_id").distinct(), n_candidates), "doc_id", "left_semi"))
+    split = chosen.select("doc_id", normal_words(F.col("text")).alias("words"))
+    every = together([_grams(split, "doc_id", k, w) for w in widths or [k]])
+    equal = reduce(lambda a, b: a & b, [every[w].eqNullSafe(full[w]) for w in ws])
+    met = every.join(_small(full, n_full, bytes_full or 0), equal).select("doc_id", "item_id", "item_shingles", *[every[w] for w in ws])
     met = met.join(_small(candidates, n_candidates), ["doc_id", "item_id"], "left_semi").distinct()
     counted = met.groupBy("doc_id", "item_id", "item_shingles").agg(F.count("*").alias("matched"))
     share = F.col("matched") / F.col("item_shingles")
@@ -77,6 +84,10 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle_words: int = 5, cont
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the rows that hold an item; all columns stay, rows without an id too."""
-    found = contaminated(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs[id_col] == F.col("_found"), "left_anti")
+    """``docs`` without the rows that hold an item; all columns stay, rows without an id too.
+
+    Null and empty texts stay; an empty table gives no rows; no column's name can clash.
+    """
+    (own,) = unused(docs.columns, "_found")
+    found = contaminated(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(found, docs[id_col] == F.col(own), "left_anti")

@@ -92,13 +92,15 @@ QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_token_c
 
 
 
-def _grams(key: str, table: str) -> str:
-    """SQL for the distinct five-word shingles (id, g) of a table's texts."""
+def _words(key: str, table: str) -> str:
+    """SQL for the words (id, w) of a table's texts."""
     words = r"trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'))"
-    return f"""
-  SELECT DISTINCT id, list_slice(w, i, i + 4) AS g
-  FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i
-        FROM (SELECT {key} AS id, string_split({words}, ' ') AS w FROM {table} WHERE {words} <> ''))"""
+    return f"SELECT {key} AS id, string_split({words}, ' ') AS w FROM {table} WHERE {words} <> ''"
+
+
+def _grams(words: str) -> str:
+    """SQL for the distinct shingles (id, g) of k words from rows (id, w, k)."""
+    return f"SELECT DISTINCT id, list_slice(w, i, i + k - 1) AS g FROM (SELECT id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM {words})"
 
 
 _TERM = "regexp_matches(u, '(^|[^a-z0-9]){}($|[^a-z0-9])')"
@@ -114,7 +116,9 @@ def _escaped(column: str) -> str:
 
 ORACLE_SQL = {
     "op1_decontamination": f"""
-WITH d AS ({_grams("doc_id", "documents")}), b AS ({_grams("item_id", "benchmark")}),
+WITH bw AS (SELECT *, least(len(w), 5) AS k FROM ({_words("item_id", "benchmark")})),
+     dw AS (SELECT * FROM ({_words("doc_id", "documents")}), (SELECT DISTINCT k FROM bw)),
+     d AS ({_grams("dw")}), b AS ({_grams("bw")}),
      n AS (SELECT id, count(*) AS item_shingles FROM b GROUP BY id)
 SELECT d.id AS doc_id, b.id AS item_id, count(*) AS matched, any_value(item_shingles) AS item_shingles, count(*) / any_value(item_shingles)::DOUBLE AS containment
 FROM d JOIN b ON d.g = b.g JOIN n ON n.id = b.id
