@@ -1,7 +1,12 @@
 """Toxicity on held-out rows, and the pipeline's stages."""
 
+import math
+import re
+from collections import defaultdict
+
 import public_tokenizers
 import sentencepiece
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -23,12 +28,56 @@ def test_odd_rows(spark):
     got = {(r.doc_id, i): r for i, r in enumerate(toxicity.judge(df, labels).collect())}
     score = {d: r.score for (d, _), r in got.items()}
     assert len(got) == 206 and score[1] == score[2] == score[5] and score[4] > 0.9 > score[None] and score[101] > score[100]
+    named = toxicity.drop_toxic(df.withColumn("_score", F.col("score")), labels)
+    assert named.columns[-1] == "_score" and all(r._score == r.score for r in named.collect())
     kept = toxicity.drop_toxic(df, labels)
     assert kept.columns == df.columns and kept.filter("doc_id = 4").count() == 0
     none = toxicity.judge(df, labels.limit(0)).collect()
     assert {r.score for r in none} == {0.5} and toxicity.judge(df.limit(0), labels).count() == 0
 
 
+def brute_fit(rows):
+    """FTRL-proximal by its formulas, a coordinate at a time, in dictionaries; rows: (text, label)."""
+    def places(text):
+        plain = [re.sub(r"[\W_]+", "", w.lower()) for w in text.split()]
+        h = [xxhash.xxh64_intdigest(w) for w in plain if w]
+        single = [*h, *[xxhash.xxh64_intdigest(f"{w[:n]}~") for w in plain for n in (4, 5, 6) if len(w) > n]]
+        pair = lambda a, b, odd: (a * odd + b) * 0x9E3779B97F4A7C15 % 2**64
+        every = single + [pair(a, b, 0xC2B2AE3D27D4EB4F) for a, b in zip(h, h[1:])] + [pair(a, b, 0x165667B19E3779F9) for a, b in zip(h, h[2:])]
+        return sorted({x >> 44 for x in every} | {1 << 20})
+
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= 12.0:
+            return 0.0
+        return -(z[i] - math.copysign(12.0, z[i])) / ((1.0 + math.sqrt(n[i])) / 3.0 + 0.03)
+
+    score = lambda text: 1 / (1 + math.exp(-sum(map(weight, places(text)))))
+    for _ in range(4):
+        for text, label in rows:
+            at = places(text)
+            w = {i: weight(i) for i in at}
+            g = (1 / (1 + math.exp(-sum(w.values()))) - label) * (5.0 if label else 1.0)
+            for i in at:
+                step = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 3.0
+                z[i] += g - step * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in list(z) if weight(i)}, score
+
+
+def test_against_brute_force(spark, sf_dir):
+    """All labelled rows of a small table: weights and scores."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    known = docs.join(labels.select("doc_id", "toxic"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "toxic").collect()
+    want, score = brute_fit([(r.text or "", r.toxic) for r in known])
+    at, w = toxicity.train(docs, labels)
+    assert len(want) > 20 and set(at.tolist()) == set(want) and all(math.isclose(want[i], x, rel_tol=1e-6) for i, x in zip(at.tolist(), w.tolist()))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.judge(docs, labels).collect():
+        assert math.isclose(r.score, score(texts[r.doc_id] or ""), rel_tol=1e-6, abs_tol=1e-9) and r.predicted == (r.score >= 0.7)
+
+
 def test_stages(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]

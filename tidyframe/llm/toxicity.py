@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from .shared import slices
+from .shared import slices, unused
 
 BITS = 20
 #: Labelled rows that the model is fitted on, at most: those with the least hashed ids.
@@ -117,7 +117,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sampl
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str = "text") -> DataFrame:
-    """``docs`` with a column _score of whole texts; null and empty ones have the intercept's."""
+    """``docs`` with a last column of the scores of whole texts, by an unused name; null and empty ones have the intercept's."""
+    (into,) = unused(docs.columns, "_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,9 +127,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str =
         dense[at] = w
         for b in slices(batches):
             found = [probability(dense, t, words) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
-            yield b.append_column("_score", pa.array(found, pa.float64()))
+            yield b.append_column(into, pa.array(found, pa.float64()))
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("_score", DoubleType()))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(into, DoubleType()))
 
 
 def judge(docs: DataFrame, labels: DataFrame, learn: Column | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -143,6 +144,11 @@ def judge(docs: DataFrame, labels: DataFrame, learn: Column | None = None, thres
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, learn: Column | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows scored at ``threshold`` or above; all columns stay."""
+    """``docs`` without the rows scored at ``threshold`` or above; all columns stay.
+
+    Null and empty texts have the intercept's score; repeated rows share their fate; an empty table
+    gives no rows; no column's name can clash.
+    """
     model = train(docs, labels, learn, id_col=id_col, text_col=text_col, **options)
-    return score(docs, model, text_col=text_col).filter(F.col("_score") < threshold).drop("_score")
+    scored = score(docs, model, text_col=text_col)
+    return scored.filter(F.col(scored.columns[-1]) < threshold).drop(scored.columns[-1])
