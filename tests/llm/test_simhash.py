@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidyframe.llm import simhash
+from tidyframe.llm import components, simhash
 from tidyframe.llm.components import connected_components
 
 
@@ -81,6 +81,23 @@ def test_odd_rows(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_clashing_names(spark):
+    own = ("_kept", "node", "fp", "label", "s", "least")
+    df = spark.createDataFrame([(i, ("same words here " * 9) if i < 3 else f"text {i}", *own) for i in range(5)], "doc_id bigint, text string, " + ", ".join(f"{c} string" for c in own))
+    kept = simhash.keep_one(df).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 3, 4] and all(tuple(r)[2:] == own for r in kept)
+
+
+def test_hot_nodes(spark, monkeypatch):
+    """With few and with all nodes met by broadcast: a hub, a chain and pairs."""
+    pairs = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(20)] + [(5000 + 2 * i, 5001 + 2 * i) for i in range(50)]
+    met = {*pairs, *[(b, a) for a, b in pairs]}
+    want = brute_components({n for p in pairs for n in p}, lambda a, b: (a, b) in met)
+    for hot in (2, 20_000):
+        monkeypatch.setattr(components, "HOT", hot)
+        assert {x.node: x.label for x in connected_components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()} == want
+
+
 def test_components(spark):
     r = np.random.default_rng(1)
     pairs = [(int(a), int(b)) for a, b in r.integers(-40, 160, (150, 2))] + [(1000 + i, 1001 + i) for i in range(30)]

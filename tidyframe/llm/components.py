@@ -2,27 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .shared import checkpointed
 
+#: Keys that may hold over 1/HOT of all rows: fewer than this many, so they may be broadcast.
+HOT = 20_000
+
 
 def _towards_least(edges: DataFrame) -> DataFrame:
     """Each edge as (a, b) with a > b, once."""
     return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def with_least(rows: DataFrame, key: str, least: Column, into: str, total: int) -> tuple[DataFrame, DataFrame]:
+    """``rows``, of which there are ``total``, with the least value of their key; and that value by key.
+
+    Minima are combined before the shuffle. Keys that hold over 1/HOT of the rows, of which there are
+    fewer than HOT, meet their rows by broadcast and so burden no task; the others are joined.
+    """
+    found = rows.groupBy(key).agg(F.min(least).alias(into), F.count("*").alias("key_rows"))
+    hot = F.col("key_rows") * HOT > total
+    many, few = (found.filter(f).drop("key_rows") for f in (hot, ~hot))
+    joined = rows.join(F.broadcast(many), key).unionByName(rows.join(F.broadcast(many.select(key)), key, "left_anti").join(few, key))
+    return joined, found.drop("key_rows")
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Every larger neighbour of a node is tied to the node's least neighbour (or itself)."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return _towards_least(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+    joined, _ = with_least(both, "a", F.least("a", "b"), "m", 2 * n)
+    return _towards_least(joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are tied to the least of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    joined, least = with_least(edges, "a", F.col("b"), "m", n)
+    moved = joined.select(F.col("b").alias("a"), F.col("m").alias("b"))
     return _towards_least(moved.unionByName(least.select("a", F.col("m").alias("b"))))
 
 
@@ -39,6 +55,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if tuple(mark) == seen or mark[0] == 0:
             break
         seen = tuple(mark)
-        edges = checkpointed(_small_star(_large_star(edges)))
+        starred = checkpointed(_large_star(edges, mark[0]))
+        edges = checkpointed(_small_star(starred, starred.count()))
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)

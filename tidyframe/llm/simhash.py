@@ -2,7 +2,7 @@
 
 Fingerprints are made from hashed word shingles. Candidate buckets come from equal bits: for a
 small radius the bits are cut into more blocks than the radius, so that two fingerprints within
-it agree on at least one block (exact); for a large radius on long fingerprints, from enough
+it agree on one block or more (exact; the more fingerprints, the more blocks make a key); for a large radius on long fingerprints, from enough
 tables of sampled bits that a pair at the radius is met with probability ``recall``. In a bucket
 fingerprints are stored as vertical bit planes; distances to 64 of them at once are counted by
 carry-save bitwise counters, and words whose lanes all exceed the radius are abandoned early.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .components import connected_components
-from .shared import checkpointed, shared_folder, slices
+from .components import connected_components, with_least
+from .shared import checkpointed, shared_folder, slices, unused
 
 SEED = 42
 #: Fingerprints that a bucket should hold, and at which it is cut into tiles.
@@ -178,9 +179,12 @@ def bit_tables(n: int, bits: int, radius: int, recall: float = 0.99) -> list[lis
     """Which bits form the bucket key of each table, for n distinct fingerprints."""
     wanted = max(1, math.ceil(math.log2(max(2, n) / BUCKET)))
     if radius < 8:
-        blocks = radius + 1  # of these, two fingerprints within the radius agree on one
+        # of radius + same blocks, two fingerprints within the radius agree on this many
+        same = next((m for m in range(1, 5) if m * (bits // (radius + m)) >= wanted), 4)
+        blocks = radius + same
         cut = [bits * i // blocks for i in range(blocks + 1)]
-        return [list(range(a, min(b, a + wanted))) for a, b in zip(cut, cut[1:])]
+        own = [list(range(a, b)) for a, b in zip(cut, cut[1:])]
+        return [sum(chosen, [])[:wanted] for chosen in combinations(own, same)]
     k = min(wanted, 14)
     tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - radius / bits) ** k))
     draw = np.random.default_rng(SEED)
@@ -392,9 +396,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, bits: int = 384, ra
     if verify:
         parts = connected_components(_verified(rows, parts, fps, similarity))
         key, fps = "s", rows.groupBy("s").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("s"))
-    named = fps.select("node", "least").join(parts, "node")
-    least = named.groupBy("label").agg(F.min("least").alias("component"))
-    component = checkpointed(named.join(least, "label").select("node", "component"))
+    named = checkpointed(fps.select("node", "least").join(parts, "node"))
+    component = checkpointed(with_least(named, "label", F.col("least"), "component", named.count())[0].select("node", "component"))
     known = fps.join(component, "node", "left").select(key, F.coalesce("component", "least").alias("component_id"))
     return rows.join(known, key).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
@@ -402,7 +405,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, bits: int = 384, ra
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the least of its near-duplicate group; all columns stay.
 
-    Rows that repeat the kept id all stay, as do rows without an id, which no group can name.
+    Rows that repeat the kept id all stay, as do rows without an id, which no group can name. Null
+    and empty texts are one group. An empty table gives no rows; no column's name can clash.
     """
-    kept = near_duplicates(docs, **options).filter("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    (own,) = unused(docs.columns, "_kept")
+    kept = near_duplicates(docs, **options).filter("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col(own)), "left_semi")
