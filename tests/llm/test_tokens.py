@@ -42,6 +42,11 @@ def test_pieces_equal_library(texts):
         assert decoded == library.decode(want), t
 
 
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError):
+        token_count.Ranks(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def test_tables_do_not_change_results(texts, monkeypatch):
     monkeypatch.setattr(token_count, "CHUNKS", 3)
     monkeypatch.setattr(pieces, "CHUNKS", 3)

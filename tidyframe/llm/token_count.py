@@ -32,6 +32,10 @@ class Ranks:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        before = spec.get("pre_tokenizer") or {}
+        plain = not spec.get("normalizer") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        if not plain or any(t.get(k) for t in spec.get("added_tokens", ()) for k in ("lstrip", "rstrip", "single_word")):
+            raise ValueError(f"{path} is no plain byte-level vocabulary: its texts would be cut in another way")
         vocab = spec["model"]["vocab"]
         self.size = max(vocab.values()) + 1
         self.special = sorted((t["content"] for t in spec.get("added_tokens", ())), key=len, reverse=True)
@@ -138,7 +142,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
 
     ``tokenizer_path`` must exist on the executors, as installed vocabularies do. Null counts as
     empty: no bytes, no tokens. Repeated rows stay repeated; an empty table gives no rows;
-    further columns are left out.
+    further columns are left out. Very long texts are counted whole. Files with a normaliser, other
+    pre-tokenisation or added tokens that take in what stands beside them are refused.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
