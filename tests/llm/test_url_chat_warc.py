@@ -26,6 +26,29 @@ def test_rules(spark):
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
+def test_odd_urls(spark):
+    """Repeated rows, a very long URL, terms beyond the rules, and rules that settle what holds terms."""
+    rows = [(1, "http://payday-loans.org/"), (1, "http://payday-loans.org/"), (2, "http://a.org/" + "x/" * 500_000 + "casino/slots"), (3, "http://casino-porn.com/"), (4, "http://gambling.org/free"), (5, "http://library.org/free")]
+    got = [(r.page_id, r.verdict) for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id bigint, url string")).collect()]
+    assert sorted(got) == [(1, "block"), (1, "block"), (2, "block"), (3, "allow"), (4, "block"), (5, "allow")]
+
+
+def test_odd_chats(spark):
+    """An empty table, repeated and tied rows, a very long text and further columns."""
+    rows = [(1, 0, "user", "b", "x"), (1, 0, "user", "a", "x"), (1, 0, "user", "a", "x"), (2, 0, "assistant", "long </turn> " * 100_000, "y")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string, formatted string").withColumn("content", chat.text_part(F.col("text")))
+    got = {r.conv_id: r for r in chat.read_chats(chat.format_chats(df)).collect()}
+    assert [t.text for t in got[1].read_turns] == ["a", "a", "b"] and got[1].loss_text == ""
+    assert got[2].loss_text == "long </turn> " * 100_000 == got[2].read_turns[0].text
+    assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_clashing_columns_in_archives(spark, tmp_path):
+    df = spark.createDataFrame([(1, "u", "h", "d", "s"), (2, "u", "h", "d", "s")], "page_id bigint, url string, html string, digest string, _refers string")
+    warc.write_warc(df, path := str(tmp_path / "w"))
+    assert sorted(r.record_type for r in warc.read_warc(spark, path).collect()) == ["response", "revisit"]
+
+
 TEXT = st.lists(st.sampled_from([*"#</turn>\\ :|image\n", "### ", "</turn>", "<|image|>", "é", "### ", "\\"]), max_size=12).map("".join)
 
 

@@ -14,8 +14,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 # The terms that reject at once, and those of which several do.
-STRICT = ("porn", "xxx", "adult-x", "free-bets", "escort", "warez", "hardcore", "malware")
-SOFT = ("adult", "bet", "bets", "casino", "free", "poker", "sex", "cams", "dating", "pills", "loan", "cheap", "jackpot", "click", "win", "spam", "farm", "ads", "track")
+STRICT = (
+    "porn", "porno", "pornography", "xxx", "hentai", "milf", "blowjob", "hardcore", "camgirl", "camgirls", "escort", "escorts", "nsfw", "xvideos", "upskirt", "creampie",
+    "adult-x", "free-bets", "sportsbook", "viagra", "cialis", "levitra", "xanax", "tramadol", "payday-loan", "payday-loans",
+    "warez", "keygen", "malware", "phishing", "ransomware", "botnet", "spyware",
+)
+SOFT = (
+    "adult", "adults", "sex", "sexy", "nude", "nudes", "erotic", "fetish", "amateur", "cam", "cams", "webcam", "dating", "hookup", "singles", "hot", "girls",
+    "bet", "bets", "betting", "casino", "casinos", "poker", "slots", "roulette", "blackjack", "bingo", "lottery", "gambling", "jackpot", "wager", "odds", "win", "winner", "prize", "bonus",
+    "pills", "pharmacy", "pharma", "drugs", "meds", "diet", "weight-loss", "loan", "loans", "payday", "credit", "debt", "cash", "money", "earn", "rich", "crypto", "forex",
+    "free", "cheap", "discount", "replica", "deal", "deals", "promo", "offer", "offers", "click", "spam", "farm", "ads", "track", "popup", "traffic", "backlinks", "torrent", "torrents", "crack", "cracked", "serial", "download",
+)
 SOFT_LIMIT = 2
 #: (verdict, host and path prefix)
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -75,18 +84,20 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, stric
 
     Null and malformed URLs have an empty host and path and no rule; null ones are allowed, as
     they hold no term. Repeated rows stay repeated; an empty table gives no rows; further
-    columns are left out. A term given as strict and soft counts as strict.
+    columns are left out. A term given as strict and soft counts as strict. Very long URLs are
+    searched whole.
     """
     strict, soft = tuple(strict), tuple(soft)
 
     @F.pandas_udf("boolean")
     def reject(urls: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for u in urls:
-            yield u.map(lambda x: rejected(x, strict, soft, soft_limit))
+            yield u.map(lambda x: x is not None and rejected(x, strict, soft, soft_limit))
 
     verdicts = {rule: verdict for verdict, rule in rules}
     parts = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    ruled = parts.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("rejected", reject("url"))
+    ruled = parts.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    ruled = ruled.withColumn("rejected", reject(F.when(F.col("rule").isNull(), F.col("url"))))  # what a rule settles is not searched
     own = F.when(F.col("rejected"), "block").otherwise("allow")
     by_rule = F.when(F.col("rule").isin(*[r for r, v in verdicts.items() if v == "block"]), "block").otherwise("allow")
     return ruled.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNull(), own).otherwise(by_rule).alias("verdict"))
