@@ -1,10 +1,10 @@
 """SimHash near-duplicates with a bit-sliced search.
 
 Fingerprints are made from hashed word shingles. Candidate buckets come from equal bits: for a
-small radius the bits are cut into more blocks than the radius, so that two fingerprints within
-it agree on one block or more (exact; the more fingerprints, the more blocks make a key); for a large radius on long fingerprints, from enough
-tables of sampled bits that a pair at the radius is met with probability ``recall``. In a bucket
-fingerprints are stored as vertical bit planes; distances to 64 of them at once are counted by
+given radius the bits are cut into more blocks than the radius, so that two fingerprints within
+it agree on one block or more (exact; the more fingerprints, the more blocks make a key); for a
+similarity on long fingerprints, from so many tables of sampled bits that of the pairs just at it
+all but MISSED are met. In a bucket fingerprints are stored as vertical bit planes; distances to 64 of them at once are counted by
 carry-save bitwise counters, and words whose lanes all exceed the radius are abandoned early.
 A bucket returns only a spanning forest of its links, never all pairs.
 
@@ -28,8 +28,10 @@ from .components import connected_components, with_least
 from .shared import checkpointed, shared_folder, slices, unused
 
 SEED = 42
-#: Fingerprints that a bucket should hold, and at which it is cut into tiles.
-BUCKET, TILE = 512, 8192
+#: Fingerprints that a bucket should hold, and at which it is cut into tiles; tables of equal blocks at most, unless the radius asks for more.
+BUCKET, TILE, TABLES = 512, 8192, 100
+#: Share of the pairs just at the similarity that the search for candidates may miss.
+MISSED = 1e-3
 #: Pairs of a query and a word of lanes compared at a time, and planes between two looks for words to abandon.
 PAIRS, PLANES = 16384, 15
 #: Shingles of the sets that a task compares with each other or with as many more, and of the pairs it compares at a time.
@@ -175,18 +177,47 @@ def linked(fps: np.ndarray, radius: int) -> np.ndarray:
     return labels
 
 
-def bit_tables(n: int, bits: int, radius: int, recall: float = 0.99) -> list[list[int]]:
-    """Which bits form the bucket key of each table, for n distinct fingerprints."""
+def bit_tables(n: int, bits: int, radius: int) -> list[list[int]]:
+    """Which bits form the bucket key of each table, for n distinct fingerprints: two within ``radius`` always share a bucket.
+
+    Of radius + m blocks such two agree on m or more; m is as large as buckets of BUCKET ask for, up to TABLES tables.
+    """
     wanted = max(1, math.ceil(math.log2(max(2, n) / BUCKET)))
-    if radius < 8:
-        # of radius + same blocks, two fingerprints within the radius agree on this many
-        same = next((m for m in range(1, 5) if m * (bits // (radius + m)) >= wanted), 4)
-        blocks = radius + same
-        cut = [bits * i // blocks for i in range(blocks + 1)]
-        own = [list(range(a, b)) for a, b in zip(cut, cut[1:])]
-        return [sum(chosen, [])[:wanted] for chosen in combinations(own, same)]
-    k = min(wanted, 14)
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - radius / bits) ** k))
+    usable = [m for m in range(1, 5) if m == 1 or math.comb(radius + m, m) <= TABLES]
+    same = next((m for m in usable if m * (bits // (radius + m)) >= wanted), usable[-1])
+    blocks = radius + same
+    cut = [bits * i // blocks for i in range(blocks + 1)]
+    own = [list(range(a, b)) for a, b in zip(cut, cut[1:])]
+    return [sum(chosen, [])[:wanted] for chosen in combinations(own, same)]
+
+
+def share_of_bits(similarity: float) -> float:
+    """The share of bits in which fingerprints of two sets of that Jaccard similarity differ on average, at most.
+
+    A bit is the sign of a random sum over the set, so that it differs with the angle between the sets over pi;
+    the cosine is least for sets of one size.
+    """
+    return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+
+
+def candidate_radius(bits: int, similarity: float) -> int:
+    """A distance that sets of that similarity keep within, up to four standard deviations."""
+    p = share_of_bits(similarity)
+    return min(bits, math.ceil(bits * p + 4 * math.sqrt(bits * p * (1 - p))))
+
+
+def sampled_tables(n: int, bits: int, similarity: float, missed: float = MISSED) -> list[list[int]]:
+    """Tables of sampled bits, so many that two sets of that similarity share no bucket with probability ``missed`` at most.
+
+    That is the mean over the distances (binomial) that such sets have; more similar ones are missed less.
+    """
+    k = min(max(1, math.ceil(math.log2(max(2, n) / BUCKET))), 14)
+    p = max(share_of_bits(similarity), 1e-9)
+    logs = [math.lgamma(bits + 1) - math.lgamma(i + 1) - math.lgamma(bits - i + 1) + i * math.log(p) + (bits - i) * math.log1p(-p) for i in range(bits + 1)]
+    chance = np.exp(logs)
+    apart, tables = 1 - (1 - np.arange(bits + 1) / bits) ** k, 1
+    while (chance * apart**tables).sum() > missed:
+        tables += 1
     draw = np.random.default_rng(SEED)
     return [sorted(draw.choice(bits, k, replace=False).tolist()) for _ in range(tables)]
 
@@ -210,12 +241,12 @@ def _keyed(fps: DataFrame, tables: list[list[int]]) -> DataFrame:
     return fps.select("node", "fp").mapInArrow(run, "t int, k bigint, node bigint, fp binary")
 
 
-def links(fps: DataFrame, n: int, bits: int, radius: int, tile: int = TILE) -> DataFrame:
-    """(a, b): a spanning forest of the links in each bucket of the (node, fp) table of n rows.
+def links(fps: DataFrame, tables: list[list[int]], radius: int, tile: int = TILE) -> DataFrame:
+    """(a, b): a spanning forest of the links in each bucket of the (node, fp) table.
 
     Buckets of over ``tile`` fingerprints are dealt in parts to tiles, one for each two parts.
     """
-    keyed = _keyed(fps, bit_tables(n, bits, radius))
+    keyed = _keyed(fps, tables)
     large = keyed.groupBy("t", "k").count().filter(F.col("count") > tile).withColumn("parts", F.ceil(F.col("count") / tile).cast("int")).drop("count")
     tiles = (
         keyed.join(large, ["t", "k"], "left")
@@ -239,14 +270,14 @@ def _sets(docs: DataFrame, shingle_words: int, bits: int, id_col: str, text_col:
     """(doc_id, fp, uid, s, n, shingles) for every row, from the shared folder.
 
     shingles: the n distinct shingle hashes in order, 8 bytes each; s: their hash, which names the set;
-    uid: a number of the row's own.
+    fp: the fingerprint of the distinct shingles; uid: a number of the row's own.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 40
         for b in slices(batches):
             hashes = [shingle_hashes(t, shingle_words) for t in b.column(1).to_pylist()]
-            fp = [_fingerprint(h, bits // 64) for h in hashes]
             sets = [np.unique(h).astype("<u8") for h in hashes]
+            fp = [_fingerprint(h, bits // 64) for h in sets]
             packed = [h.tobytes() for h in sets]
             s = np.array([xxhash.xxh64_intdigest(x) for x in packed], np.uint64).astype(np.int64)
             n = pa.array([len(h) for h in sets], pa.int64())
@@ -378,20 +409,21 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, bits: int = 384, ra
     """(doc_id, fingerprint hex, component_id) for every row of ``docs``.
 
     With a ``radius`` two rows are linked if their fingerprints differ in at most that many bits.
-    Without one, fingerprints that differ in at most the share of bits that ``similarity`` leaves
-    give the candidates, and two of these are linked if the Jaccard similarity of their sets of
-    shingles is at least ``similarity``. component_id is the least id reachable over links.
+    Without one, fingerprints within ``candidate_radius`` give the candidates (those of distinct
+    shingles), and two of these are linked if the Jaccard similarity of their sets of shingles is
+    at least ``similarity``. component_id is the least id reachable over links.
     Null and empty texts have fingerprint zero and equal sets and are linked like any other. Repeated
     rows stay repeated. Null ids never name a component unless all ids in it are null. An empty table
     gives no rows; further columns are left out.
     """
     verify = radius is None
-    radius = int(round((1 - similarity) * bits, 9)) if verify else radius
+    radius = candidate_radius(bits, similarity) if verify else radius
     rows = _sets(docs, shingle_words, bits, id_col, text_col) if verify else checkpointed(fingerprints(docs, shingle_words, bits, id_col, text_col))
     node = F.conv(F.hex("fp"), 16, -10).cast("bigint") if bits == 64 else F.xxhash64("fp")
     fps = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", node))
     n = fps.count()
-    parts = connected_components(links(fps, n, bits, radius, tile))
+    tables = sampled_tables(n, bits, similarity) if verify else bit_tables(n, bits, radius)
+    parts = connected_components(links(fps, tables, radius, tile))
     key = "fp"
     if verify:
         parts = connected_components(_verified(rows, parts, fps, similarity))
