@@ -1,12 +1,17 @@
 """URL filters, chat formatting and WARC archives."""
 
 import base64
+import gzip
 import hashlib
+import io
+import zlib
 
+import numpy as np
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from tidyframe.llm import chat, url_filter, warc
+from tidyframe.llm import chat, components, url_filter, warc
 
 
 def test_vocabulary_boundaries():
@@ -101,7 +106,7 @@ def test_warc_round_trip(spark, tmp_path):
 
 def test_warc_predicates(spark, tmp_path):
     rows, df = pages(spark)
-    warc.write_warc(df, path := str(tmp_path / "w"), compression="none", records_per_file=100)
+    warc.write_warc(df, path := str(tmp_path / "w"), compression="none", archive_bytes=10_000)
     got = warc.read_warc(spark, path)
     assert got.filter("record_type = 'revisit'").count() == 300
     assert got.filter("record_id in ('<urn:page:402>', '<urn:page:7>') and target_uri is not null").count() == 2
@@ -120,3 +125,47 @@ def test_warc_limits(spark, tmp_path):
     assert got.filter("record_id in ('<urn:page:400>', '<urn:page:401>', '<urn:page:404>') and record_type = 'response'").count() == 4
     warc.write_warc(df.limit(0), empty := str(tmp_path / "e"))
     assert warc.read_warc(spark, empty).count() == 0
+
+
+def test_warc_members(spark, tmp_path):
+    """A member for each record, archives bounded by bytes, payloads that are not asked for neither read nor inflated."""
+    rows, df = pages(spark)
+    warc.write_warc(df, path := str(tmp_path / "w"), archive_bytes=2_000)
+    files = sorted(tmp_path.glob("w/*.warc.gz"))
+    assert len(files) > 4 and not list(tmp_path.glob("w/_temporary*/*"))
+    whole = [gzip.decompress(f.read_bytes()) for f in files]  # other readers open them as ordinary gzip
+    assert sum(w.count(b"WARC-Record-ID: ") for w in whole) == len(rows)
+    assert sorted(r.record_id for r in warc.read_warc(spark, path).collect()) == sorted(f"<urn:page:{r[0]}>" for r in rows)
+    size = 3_000_000
+    noise = np.random.default_rng(0).bytes(size)
+    member = lambda n, block: warc._member(f"WARC/1.1\r\nWARC-Type: {n}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n")
+    plain = gzip.compress(b"WARC/1.1\r\nWARC-Type: last\r\nContent-Length: 3\r\n\r\nend\r\n\r\n")
+    data = member("a", noise) + member("b", b"x" * size) + member("c", b"short") + plain
+
+    class Counted(io.BytesIO):
+        read_bytes = 0
+
+        def readinto(self, b):
+            n = super().readinto(b)
+            Counted.read_bytes += n
+            return n
+
+    assert [h["warc-type"] for h, _ in warc._records(io.BufferedReader(Counted(data), warc.READ_BYTES))] == ["a", "b", "c", "last"]
+    assert Counted.read_bytes < size / 5
+    blocks = [take() for _, take in warc._records(io.BufferedReader(io.BytesIO(data)))]
+    assert blocks == [noise, b"x" * size, b"short", b"end"]
+    with pytest.raises(EOFError):
+        [take() for _, take in warc._records(io.BufferedReader(io.BytesIO(data[: size // 2])))]
+    with pytest.raises(zlib.error):
+        bad = bytearray(member("a", b"short"))
+        bad[-6] ^= 1
+        [take() for _, take in warc._records(io.BufferedReader(io.BytesIO(bytes(bad))))]
+
+
+def test_warc_hot_payload(spark, tmp_path, monkeypatch):
+    """Payloads met by join and by broadcast."""
+    for hot in (1, 20_000):
+        monkeypatch.setattr(components, "HOT", hot)
+        rows = spark.createDataFrame([(i, "d" if i % 3 else f"d{i}", 9) for i in range(30)] + [(None, "d", 9), (40, "s", 2), (41, "s", 2)], "id bigint, digest string, size bigint")
+        got = {(r.id, r.digest): r.refers_to for r in warc.revisits(rows, 5).collect()}
+        assert len(got) == 33 and all(v == (29 if d == "d" and i != 29 else None) for (i, d), v in got.items())

@@ -15,13 +15,13 @@ def _towards_least(edges: DataFrame) -> DataFrame:
     return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
 
 
-def with_least(rows: DataFrame, key: str, least: Column, into: str, total: int) -> tuple[DataFrame, DataFrame]:
-    """``rows``, of which there are ``total``, with the least value of their key; and that value by key.
+def with_least(rows: DataFrame, key: str, least: Column, into: str, total: int, pick=F.min) -> tuple[DataFrame, DataFrame]:
+    """``rows``, of which there are ``total``, with the least (or by ``pick`` the largest) value of their key; and that value by key.
 
     Minima are combined before the shuffle. Keys that hold over 1/HOT of the rows, of which there are
     fewer than HOT, meet their rows by broadcast and so burden no task; the others are joined.
     """
-    found = rows.groupBy(key).agg(F.min(least).alias(into), F.count("*").alias("key_rows"))
+    found = rows.groupBy(key).agg(pick(least).alias(into), F.count("*").alias("key_rows"))
     hot = F.col("key_rows") * HOT > total
     many, few = (found.filter(f).drop("key_rows") for f in (hot, ~hot))
     joined = rows.join(F.broadcast(many), key).unionByName(rows.join(F.broadcast(many.select(key)), key, "left_anti").join(few, key))

@@ -4,9 +4,9 @@ Fingerprints are made from hashed word shingles. Candidate buckets come from equ
 given radius the bits are cut into more blocks than the radius, so that two fingerprints within
 it agree on one block or more (exact; the more fingerprints, the more blocks make a key); for a
 similarity on long fingerprints, from so many tables of sampled bits that of the pairs just at it
-all but MISSED are met. In a bucket fingerprints are stored as vertical bit planes; distances to 64 of them at once are counted by
-carry-save bitwise counters, and words whose lanes all exceed the radius are abandoned early.
-A bucket returns only a spanning forest of its links, never all pairs.
+all but MISSED are met. In a bucket fingerprints are stored as vertical bit planes; distances to
+64 of them at once are counted by carry-save bitwise counters, and words whose lanes all exceed
+the radius are abandoned early. A bucket returns only a spanning forest of its links, never all pairs.
 
 Where a similarity is asked for, these components only hold the candidates: in each of them the
 texts' shingle sets are compared, and links are the pairs whose Jaccard similarity reaches it.

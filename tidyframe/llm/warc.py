@@ -1,25 +1,40 @@
-"""WARC archives: a writer of DataFrame functions and a Python data source.
-
-The writer lays each record out as one string and hands it to Spark's text writer, whose commit
-protocol covers lost executors and which reaches any store that Spark does. The data source
-plans partitions of whole archives, takes predicates on the record type and other header
-columns, reads a record's header first and steps over payloads that nobody asked for.
+"""WARC archives: a Python data source that writes and reads them.
+
+Records are laid out by DataFrame functions. The writer makes each a gzip member of its own,
+whose header names the member's length (the "sl" field of compressed WARC), cuts archives at a
+number of bytes, and moves a task's archives to their place only when all tasks have ended, so
+that attempts of lost executors leave nothing behind. The reader plans partitions of whole archives,
+takes predicates on the record type and other header columns, inflates a record's header first
+and steps over the rest of members that nobody asked for, which are then neither read nor inflated.
 """
 
 from __future__ import annotations
 
 import gzip
 import io
-from collections.abc import Iterator
+import struct
+import uuid
+import zlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull, StringContains, StringEndsWith, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
+
+from .components import with_least
+from .shared import checkpointed
 
 CRLF = "\r\n"
 #: Bytes of archives that a task reads, about, and rows of a batch.
 PARTITION_BYTES, BATCH_ROWS, BATCH_BYTES = 32 << 20, 1000, 8 << 20
+#: Bytes at which the writer begins another archive, and bytes read at a time.
+ARCHIVE_BYTES, READ_BYTES = 128 << 20, 1 << 16
+#: What a gzip member with a length begins with: deflate with an extra field "sl" of eight bytes.
+_MAGIC, _SL = b"\x1f\x8b\x08\x04", b"\x0c\x00sl\x08\x00"
 #: Header fields that are columns of their own.
 FIELDS = {
     "record_type": "WARC-Type",
@@ -46,24 +61,31 @@ def _line(name: str, value: Column) -> Column:
 
 
 def revisits(rows: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """``rows`` (id, digest, size) with refers_to: the largest id of an equal payload, null for that row itself and for smaller payloads."""
-    groups = rows.filter(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.max("id").alias("first"))
-    joined = rows.join(groups, ["digest", "size"], "left")
-    return joined.withColumn("refers_to", F.when(F.col("id") != F.col("first"), F.col("first"))).drop("first")
+    """``rows`` (id, digest, size) with refers_to: the largest id of an equal payload, null for that row itself and for smaller payloads.
+
+    A payload that very many rows share meets them by broadcast, as ``components.with_least`` says.
+    """
+    keyed = checkpointed(rows.withColumn("key", F.concat_ws("-", "digest", "size")))
+    large = keyed.filter(F.col("size") >= least_bytes)
+    joined, _ = with_least(large, "key", F.col("id"), "first", large.count(), F.max)
+    refers = F.when(F.col("id").isNull() | (F.col("id") != F.col("first")), F.col("first")).alias("refers_to")
+    small = keyed.filter(F.col("size") < least_bytes).select(*rows.columns, F.lit(None).cast(rows.schema["id"].dataType).alias("refers_to"))
+    return joined.select(*rows.columns, refers).unionByName(small)
 
 
-def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", compression: str = "gzip", records_per_file: int = 20_000) -> None:
-    """Writes a response or revisit record for each row of ``pages`` below ``path``, ``records_per_file`` to an archive.
+def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", compression: str = "gzip", archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Adds a response or revisit record for each row of ``pages`` to the archives below ``path``, ended at ``archive_bytes`` or soon after.
 
     Payload: the text in UTF-8, null as empty. Of equal payloads of ``least_bytes`` or more the row
     with the largest id is the response; the others are revisits, which hold no payload but name
     its digest, length and the response. Rows that repeat an id are each written, all responses
     if theirs is the largest. Null ids and URLs have no such header; a row without an id is a
-    revisit wherever another has one. Extra columns are left out.
+    revisit wherever another has one. Extra columns are left out. A text must fit in a Spark value;
+    ``compression`` is gzip, a member for each record, or none.
     """
     text = F.coalesce(F.col(payload_col), F.lit(""))
     keys = pages.select(F.col(id_col).alias("id"), F.sha1(text.cast("binary")).alias("digest"), F.octet_length(text).cast("bigint").alias("size")).distinct()
-    refers = revisits(keys, least_bytes).filter("refers_to is not null or id is null").select(F.col("id").alias("_id"), "digest", F.col("refers_to").alias("_refers"))
+    refers = revisits(keys, least_bytes).filter("refers_to is not null").select(F.col("id").alias("_id"), "digest", F.col("refers_to").alias("_refers"))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), text.alias("text"))
     rows = rows.withColumns({"digest": F.sha1(F.col("text").cast("binary")), "size": F.octet_length("text")})
     rows = rows.join(refers, rows["id"].eqNullSafe(F.col("_id")) & (rows["digest"] == refers["digest"]), "left").drop(refers["digest"])
@@ -84,7 +106,69 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "1
         _line("Content-Type", F.lit("application/http; msgtype=response")),
     )
     record = F.concat(head, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF + CRLF), block)
-    rows.select(record.alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", compression).option("maxRecordsPerFile", records_per_file).text(path)
+    record = F.concat(record, F.lit(CRLF + CRLF)).cast("binary")
+    pages.sparkSession.dataSource.register(WarcSource)
+    rows.select(record.alias("record")).write.format("warc").mode("append").option("path", path).option("compression", compression).option("archiveBytes", archive_bytes).save()
+
+
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path in it; Spark's name for S3 is one of Arrow's."""
+    return fs.FileSystem.from_uri("s3" + path[3:] if path.startswith("s3a:") else path)
+
+
+def _member(record: bytes) -> bytes:
+    """A gzip member that names its length and the record's."""
+    deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = deflate.compress(record) + deflate.flush()
+    head = _MAGIC + bytes(5) + b"\xff" + _SL
+    return head + struct.pack("<II", len(head) + 16 + len(body), len(record)) + body + struct.pack("<II", zlib.crc32(record), len(record))
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    names: list[str]
+
+
+class WarcWriter(DataSourceArrowWriter):
+    """Writes laid-out records to archives in a folder of the job's own, and moves those of the tasks that count."""
+
+    def __init__(self, options: dict):
+        self.path, self.size = options["path"], int(options.get("archivebytes", ARCHIVE_BYTES))
+        self.gzip = options.get("compression", "gzip").lower() == "gzip"
+        self.folder = f"_temporary-{uuid.uuid4().hex}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
+        store, root = _store(self.path)
+        store.create_dir(f"{root}/{self.folder}", recursive=True)
+        task, names, out, size = TaskContext.get(), [], None, 0
+        try:
+            for record in (r.as_py() for batch in iterator for r in batch.column(0)):
+                if out is None:
+                    names.append(f"part-{task.partitionId():05d}-{len(names):05d}-{task.taskAttemptId()}.warc" + ".gz" * self.gzip)
+                    out, size = store.open_output_stream(f"{root}/{self.folder}/{names[-1]}", compression=None), 0
+                data = _member(record) if self.gzip else record
+                out.write(data)
+                size += len(data)
+                if size >= self.size:
+                    out.close()
+                    out = None
+        finally:
+            if out is not None:
+                out.close()
+        return _Written(names)
+
+    def commit(self, messages: list[_Written | None]) -> None:
+        store, root = _store(self.path)
+        store.create_dir(f"{root}/{self.folder}", recursive=True)
+        job = self.folder[-8:]
+        with ThreadPool(16) as pool:  # names only: no data passes here
+            pool.map(lambda n: store.move(f"{root}/{self.folder}/{n}", f"{root}/{job}-{n}"), [n for m in messages if m for n in m.names])
+        store.delete_dir(f"{root}/{self.folder}")
+
+    def abort(self, messages: list[_Written | None]) -> None:
+        store, root = _store(self.path)
+        store.create_dir(f"{root}/{self.folder}", recursive=True)
+        store.delete_dir(f"{root}/{self.folder}")
 
 
 class _Files(InputPartition):
@@ -118,6 +202,63 @@ def _skip(stream: io.BufferedReader, n: int) -> None:
         n -= len(stream.read(min(n, 1 << 20))) or n
 
 
+Record = tuple[dict[str, str], Callable[[], bytes]]
+
+
+def _plain(stream: io.BufferedReader) -> Iterator[Record]:
+    """The records of a stream in order; what of a block is not asked for is passed over."""
+    while (h := _header(stream)) is not None:
+        length, taken = int(h.get("content-length", 0)), []
+
+        def take() -> bytes:
+            taken.append(length)
+            return stream.read(length)
+
+        yield h, take
+        if not taken:
+            _skip(stream, length)
+
+
+def _records(stream: io.BufferedReader) -> Iterator[Record]:
+    """Each record's header, and what gives its block.
+
+    Of members that name their length only as much is inflated as the header needs, and the file is
+    read on at the next one unless the block is asked for. Other gzip streams, from the first such
+    member on, are inflated throughout.
+    """
+    while True:
+        at = stream.tell()
+        head = stream.read(20)
+        if not head:
+            return
+        if not (head[:4] == _MAGIC and head[10:16] == _SL):
+            stream.seek(at)
+            yield from _plain(io.BufferedReader(gzip.GzipFile(fileobj=stream), READ_BYTES) if head[:2] == _MAGIC[:2] else stream)
+            return
+        size = struct.unpack("<I", head[16:])[0]
+        left, inflate = size - len(head), zlib.decompressobj(31)
+        record = inflate.decompress(head)
+        while b"\r\n\r\n" not in record and left:
+            part = stream.read(min(left, 2048))
+            if not part:
+                raise EOFError("an archive ends within a record")
+            left -= len(part)
+            record += inflate.decompress(part)
+        lines = io.BytesIO(record)
+        h = _header(lines)
+        if h is None:
+            raise ValueError("a member holds no WARC record")
+
+        def take() -> bytes:
+            block = lines.read() + inflate.decompress(stream.read(left))
+            if not inflate.eof:
+                raise EOFError("an archive ends within a record")
+            return block[: int(h.get("content-length", 0))]
+
+        yield h, take
+        stream.seek(at + size)
+
+
 _TESTS = {
     EqualTo: lambda v, f: v == f.value,
     EqualNullSafe: lambda v, f: v == f.value,
@@ -146,9 +287,10 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         """Whole archives, put together up to about ``partitionBytes``."""
-        store, root = fs.FileSystem.from_uri(self.path)
+        store, root = _store(self.path)
         found = store.get_file_info(fs.FileSelector(root, recursive=True)) if store.get_file_info(root).type == fs.FileType.Directory else [store.get_file_info(root)]
-        files = sorted((f.path, f.size) for f in found if f.is_file and not f.base_name.startswith(("_", ".")) and f.size)
+        hidden = lambda p: any(n.startswith(("_", ".")) for n in p[len(root) :].split("/"))
+        files = sorted((f.path, f.size) for f in found if f.is_file and f.size and not hidden(f.path))
         out, total = [], self.size
         for path, size in files:
             if total + size > self.size and (total or not out):
@@ -159,25 +301,20 @@ class WarcReader(DataSourceReader):
         return [_Files(p) for p in out] or [_Files([])]
 
     def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(self.path)
+        store, _ = _store(self.path)
         rows, held = [], 0
         for path in partition.paths:
-            with store.open_input_stream(path, compression=None) as raw:
-                stream = io.BufferedReader(gzip.open(raw) if path.endswith(".gz") else raw, 1 << 20)
-                while (h := _header(stream)) is not None:
+            with store.open_input_file(path) as raw:
+                for h, take in _records(io.BufferedReader(raw, READ_BYTES)):
                     row = [h.get(name.lower()) for name in FIELDS.values()]
                     columns = dict(zip(FIELDS, row))
-                    length = int(h.get("content-length", 0))
                     if not all(_TESTS[type(f)](columns[f.attribute[0]], f) for f in self.filters):
-                        _skip(stream, length)
                         continue
                     payload = None
                     if self.payloads and columns["record_type"] != "revisit":
-                        payload = _payload(stream.read(length), h.get("content-type", ""))
-                    else:
-                        _skip(stream, length)
+                        payload = _payload(take(), h.get("content-type", ""))
                     rows.append((*row, list(h.items()), payload))
-                    held += length
+                    held += len(payload or b"")
                     if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
                         yield _batch(rows)
                         rows, held = [], 0
@@ -194,7 +331,9 @@ class WarcSource(DataSource):
     """``spark.read.format("warc")``: options path, payload (false: none is read) and partitionBytes.
 
     Records that are no revisits have their payload, HTTP content without its HTTP header.
-    Archives may be gzipped. The path may be any URI that Arrow's file systems open.
+    Archives may be gzipped, a member for each record or as a whole. ``write`` takes one binary column
+    of laid-out records, appends, and has the options path, compression and archiveBytes. The path may
+    be any URI that Arrow's file systems open, for both.
     """
 
     @classmethod
@@ -207,9 +346,17 @@ class WarcSource(DataSource):
     def reader(self, schema) -> WarcReader:
         return WarcReader(dict(self.options))
 
+    def writer(self, schema, overwrite: bool) -> WarcWriter:
+        if overwrite:
+            raise ValueError("archives are only added to a folder, not overwritten")
+        return WarcWriter(dict(self.options))
+
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """The records of the archives below ``path``; header predicates are pushed down."""
+    """The records of the archives below ``path``; header predicates are pushed down.
+
+    This turns on the session's push-down to Python data sources, which Spark has off.
+    """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
     return spark.read.format("warc").option("path", path).option("payload", str(payload).lower()).load()
