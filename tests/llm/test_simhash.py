@@ -196,3 +196,24 @@ def test_links_are_those_of_jaccard(spark, monkeypatch, shingles, pairs):
     assert {x.doc_id: x.component_id for x in simhash.near_duplicates(docs).collect()} == want
     packed = [np.unique(simhash.shingle_hashes(" ".join(t), 5)).tobytes() for t in texts]
     assert simhash.similar_sets(packed, 0.8).tolist() == [want[i] for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_similar_sets_against_all_pairs(seed):
+    draw = np.random.default_rng(seed)
+    bases = [draw.integers(0, 5000, draw.integers(1, 60)) for _ in range(4)]
+    sets = [frozenset()]
+    for _ in range(int(draw.integers(0, 150))):
+        base = bases[draw.integers(4)]
+        kept = base[draw.random(len(base)) > draw.choice([0.02, 0.1, 0.15])]
+        sets.append(frozenset(kept.tolist() + draw.integers(0, 5000, draw.integers(0, 8)).tolist()))
+    sets = list(dict.fromkeys(sets))
+    packed = [np.sort(np.array(list(s), "<u8")).tobytes() for s in sets]
+    for similarity in (0.5, 0.8, 1.0):
+        want = list(range(len(sets)))
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if a and b and len(a & b) >= similarity * len(a | b) - 1e-9:
+                    low, high = sorted((want[i], want[j]))
+                    want = [low if x == high else x for x in want]
+        assert simhash.similar_sets(packed, similarity).tolist() == want

@@ -34,8 +34,8 @@ BUCKET, TILE, TABLES = 512, 8192, 100
 MISSED = 1e-3
 #: Pairs of a query and a word of lanes compared at a time, and planes between two looks for words to abandon.
 PAIRS, PLANES = 16384, 15
-#: Shingles of the sets that a task compares with each other or with as many more, and of the pairs it compares at a time.
-SET_SHINGLES, PAIR_SHINGLES = 2_000_000, 4_000_000
+#: Shingles of the sets that a task compares with each other or with as many more.
+SET_SHINGLES = 2_000_000
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -296,80 +296,74 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
 
 
-class _Groups:
-    """Sets, of which each knows the least one it has been linked to."""
-
-    def __init__(self, values: np.ndarray, sizes: np.ndarray, similarity: float):
-        self.values, self.sizes, self.similarity = values, sizes, similarity
-        self.starts = np.cumsum(sizes) - sizes
-        self.labels = np.arange(len(sizes))
-        self.apart = np.zeros(0, np.int64)  # pairs that were compared and are not linked
-
-    def _similar(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Which pairs' Jaccard similarity is high enough."""
-        left, right = (np.repeat(np.arange(len(x)), self.sizes[x]) << 32 | self.values[_ranges(self.starts[x], self.sizes[x])] for x in (a, b))
-        at = np.minimum(np.searchsorted(left, right), len(left) - 1)
-        shared = np.bincount(right[left[at] == right] >> 32, minlength=len(a))
-        return shared >= self.similarity * (self.sizes[a] + self.sizes[b] - shared) - 1e-9
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Compares those pairs that are neither linked nor compared yet."""
-        pairs = np.setdiff1d(np.minimum(a, b) << 32 | np.maximum(a, b), self.apart)
-        while len(pairs):
-            a, b = pairs >> 32, pairs & 0xFFFFFFFF
-            pairs = pairs[self.labels[a] != self.labels[b]]
-            if not len(pairs):
-                return
-            a, b = pairs >> 32, pairs & 0xFFFFFFFF
-            some = max(1, int(np.searchsorted(np.cumsum(self.sizes[a] + self.sizes[b]), PAIR_SHINGLES)))
-            near = self._similar(a[:some], b[:some])
-            self.apart = np.union1d(self.apart, pairs[:some][~near])
-            up = self.labels.tolist()
-            for x, y in zip(a[:some][near].tolist(), b[:some][near].tolist()):
-                while up[x] != x:
-                    up[x] = x = up[up[x]]
-                while up[y] != y:
-                    up[y] = y = up[up[y]]
-                up[max(x, y)] = min(x, y)
-            labels = np.array(up)
-            while (labels[labels] != labels).any():
-                labels = labels[labels]
-            self.labels = labels
-            pairs = pairs[some:]
+def _packed_rows(owner: np.ndarray, column: np.ndarray, rows: int, columns: int) -> np.ndarray:
+    """A matrix of 0 and 1, packed to 64 columns a word, that is 1 at the given places."""
+    packed = np.zeros((rows, -(-columns // 64)), np.uint64)
+    np.bitwise_or.at(packed, (owner, column >> 6), np.uint64(1) << (column & 63).astype(np.uint64))
+    return packed
 
 
 def similar_sets(packed: list[bytes], similarity: float) -> np.ndarray:
     """Of distinct sets of hashes in order: each one's least linked set, directly or through others.
 
     Two sets are linked if their Jaccard similarity is at least ``similarity``. Such sets share a hash
-    among the least of each (as many as may differ, and one), so only sets that do are compared.
+    among the rarest of each (as many as may differ, and one), so only sets that do are compared, each
+    with those before it by size: first with one set of each group, then with what it is not yet linked
+    to. Of two sets' shared hashes the common ones (in over a 64th of the sets) are counted on bits, so
+    that a word takes 64 of them and all words take no more room than the sets, the others on postings.
     """
-    sizes = np.array([len(x) // 8 for x in packed], np.int64)
-    values = np.unique(np.frombuffer(b"".join(packed), "<u8"), return_inverse=True)[1].astype(np.int64)
-    groups = _Groups(values, sizes, similarity)
-    least = np.where(sizes > 0, sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1, 0).clip(max=sizes)
-    owner = np.repeat(np.arange(len(sizes)), least)
-    value = values[_ranges(groups.starts, least)]
-    order = np.lexsort((owner, sizes[owner], value))
-    owner, value = owner[order], value[order]
-    # pairs of neighbours first, so that most of a large group is one before all its pairs are looked at
-    at, held = np.arange(len(owner)), []
-    for apart in range(1, len(owner)):
-        at = at[at < len(owner) - apart]
-        x, y = owner[at], owner[at + apart]
-        fit = (value[at] == value[at + apart]) & (sizes[x] >= similarity * sizes[y] - 1e-9)  # later ones are no smaller
-        at, x, y = at[fit], x[fit], y[fit]
-        if len(at):
-            open_ = groups.labels[x] != groups.labels[y]
-            held.append((x[open_], y[open_]))
-        if held and (apart == 1 or not len(at) or sum(len(x) for x, _ in held) > 500_000):
-            groups.link(*map(np.concatenate, zip(*held)))
-            held = []
-        if not len(at):
-            break
-    if held:
-        groups.link(*map(np.concatenate, zip(*held)))
-    return groups.labels
+    size = np.array([len(x) // 8 for x in packed], np.int64)
+    by_size = np.argsort(size, kind="stable")
+    size, n = size[by_size], len(packed)
+    hashes, value, count = np.unique(np.frombuffer(b"".join(packed[i] for i in by_size), "<u8"), return_inverse=True, return_counts=True)
+    rarest = np.argsort(count, kind="stable")
+    rank, count = np.empty(len(hashes), np.int64), count[rarest]
+    rank[rarest] = np.arange(len(hashes))
+    owner = np.repeat(np.arange(n), size)
+    key = np.sort(owner * len(hashes) + rank[value])  # by set, then from the rarest hash on
+    value = key - owner * len(hashes)
+    ends = np.cumsum(size)
+
+    fitting = np.searchsorted(size, similarity * size - 1e-9)  # the first set that is not too small
+    least = np.where(size > 0, size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, 0).clip(max=size)
+    at = _ranges(ends - size, least)
+    meets = np.sort(value[at] * n + owner[at])
+    meets_owner = meets % max(n, 1)
+    meets_from, meets_to = np.searchsorted(meets, value[at] * n + fitting[owner[at]]), np.searchsorted(meets, value[at] * n + owner[at])
+    least_ends = np.cumsum(least)
+
+    common = int(np.searchsorted(count, max(1, n // 64), "right"))  # hashes from here on
+    bits = _packed_rows(owner[value >= common], value[value >= common] - common, n, len(hashes) - common)
+    shared_rare = np.flatnonzero((value < common) & (count[value] > 1))
+    postings = np.sort(value[shared_rare] * n + owner[shared_rare])
+    postings_owner = postings % max(n, 1)
+    post_from, post_to = np.searchsorted(postings, value[shared_rare] * n), np.searchsorted(postings, value[shared_rare] * n + owner[shared_rare])
+    rare_ends = np.searchsorted(owner[shared_rare], np.arange(n), "right")
+
+    labels = np.arange(n)
+    met = np.zeros(n, bool)
+    for x in range(n):
+        own = slice(least_ends[x] - least[x], least_ends[x])
+        near = meets_owner[_ranges(meets_from[own], meets_to[own] - meets_from[own])]
+        if not len(near):
+            continue
+        met[near] = True
+        near = np.flatnonzero(met[:x])
+        met[near] = False
+        own = slice(rare_ends[x - 1], rare_ends[x])
+        rare = np.bincount(postings_owner[_ranges(post_from[own], post_to[own] - post_from[own])], minlength=x)
+        for some in (near[np.unique(labels[near], return_index=True)[1]], near):
+            some = some[labels[some] != labels[x]]
+            shared = rare[some] + np.bitwise_count(bits[some] & bits[x]).sum(axis=1, dtype=np.int64)
+            linked_to = some[shared >= similarity * (size[some] + size[x] - shared) - 1e-9]
+            if len(linked_to):
+                found = np.unique(np.append(labels[linked_to], labels[x]))
+                labels[: x + 1][np.isin(labels[: x + 1], found)] = found[0]
+    first = np.full(n, n)
+    np.minimum.at(first, labels, by_size)
+    out = np.empty(n, np.int64)
+    out[by_size] = first[labels]
+    return out
 
 
 def _verified(rows: DataFrame, parts: DataFrame, fps: DataFrame, similarity: float) -> DataFrame:
