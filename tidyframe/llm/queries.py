@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, exact_dedup, language_model, pieces, simhash, token_count, toxicity, url_filter, warc
+from . import chat, decontam, exact_dedup, language_model, lexical_search, pieces, simhash, token_count, toxicity, url_filter, warc
 from .shared import shared_folder
 
 
@@ -88,9 +88,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", fold("doc_id").alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_token_counts, op4_sentencepiece, op5_url_filters, op6_chat_format, op7_exact_dedup, op8_warc, op9_lm_scoring, op10_toxicity)}
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for each benchmark item."""
+    return lexical_search.best_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
 
 
+QUERIES = {
+    f.__name__: f
+    for f in (op1_decontamination, op2_simhash, op3_token_counts, op4_sentencepiece, op5_url_filters, op6_chat_format, op7_exact_dedup, op8_warc, op9_lm_scoring, op10_toxicity, op13_lexical_search)
+}
+
 
 def _words(key: str, table: str) -> str:
     """SQL for the words (id, w) of a table's texts."""
@@ -103,6 +110,11 @@ def _grams(words: str) -> str:
     return f"SELECT DISTINCT id, list_slice(w, i, i + k - 1) AS g FROM (SELECT id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM {words})"
 
 
+def _terms(pattern: str) -> str:
+    """SQL for the list of a text's matches of a pattern, only A-Z lower-cased."""
+    return f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{pattern}')"
+
+
 _TERM = "regexp_matches(u, '(^|[^a-z0-9]){}($|[^a-z0-9])')"
 
 
@@ -158,4 +170,15 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
 FROM d""",
+    "op13_lexical_search": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_terms(lexical_search.TERM)} AS w FROM documents),
+own AS (SELECT r, doc_id, len(w)::BIGINT AS n FROM d WHERE len(w) > 0),
+t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term),
+i AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest({_terms(lexical_search.TERM)}) AS term FROM benchmark) GROUP BY item_id, term),
+s AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM own),
+f AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM t, s GROUP BY term, big_n),
+scored AS (SELECT item_id, doc_id, r, sum(c * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l))))::BIGINT AS score
+           FROM i JOIN t USING (term) JOIN f USING (term) JOIN own USING (r), s GROUP BY item_id, doc_id, r)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 20""",
 }
