@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, exact_dedup, language_model, lexical_search, pieces, simhash, token_count, toxicity, url_filter, warc
+from . import chat, decontam, divergence, exact_dedup, hyper_minhash, language_model, lexical_search, pieces, simhash, token_count, toxicity, url_filter, warc
 from .shared import shared_folder
 
 
@@ -88,6 +88,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", fold("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source's terms differ from those of its language's other sources, and which terms do most."""
+    return divergence.audit(_table(spark, sf_dir, "documents"), least_docs=3, top=200)
+
+
+def op12_hyper_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 5-word shingles have a Jaccard similarity of 0.85 or more."""
+    return hyper_minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=5, similarity=0.85)
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents for each benchmark item."""
     return lexical_search.best_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
@@ -95,7 +105,7 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_simhash, op3_token_counts, op4_sentencepiece, op5_url_filters, op6_chat_format, op7_exact_dedup, op8_warc, op9_lm_scoring, op10_toxicity, op13_lexical_search)
+    for f in (op1_decontamination, op2_simhash, op3_token_counts, op4_sentencepiece, op5_url_filters, op6_chat_format, op7_exact_dedup, op8_warc, op9_lm_scoring, op10_toxicity, op11_divergence, op12_hyper_minhash, op13_lexical_search)
 }
 
 
@@ -170,6 +180,33 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
 FROM d""",
+    "op11_divergence": f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_terms(divergence.TERM)} AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*)::HUGEINT AS c FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+l AS (SELECT lang, count(*)::HUGEINT AS v, sum(c)::HUGEINT AS n FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS c FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+n AS (SELECT lang, source, coalesce(sum(c), 0)::HUGEINT AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+p AS (SELECT n.lang, n.source, k.term, coalesce(c.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 1)) // (n.n + l.v) AS p
+      FROM n JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.term = k.term),
+q AS (SELECT k.lang, k.term, 1 + (1000000000::HUGEINT * (k.c + 1)) // (l.n + l.v) AS q FROM k JOIN l USING (lang)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p)::BIGINT AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL
+      SELECT p.lang, p.source, 'term', p.term, (((p.p - q.q) * (p.p - q.q)) // q.q)::BIGINT FROM p JOIN q USING (lang, term) WHERE p.c > 0 AND p.p > q.q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM o QUALIFY part = 'pair' OR rank <= 200""",
+    "op12_hyper_minhash": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_terms(r"[^\x20\x09-\x0D]+")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+      GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(reach.b) AS component_id, d.doc_id = min(reach.b) AS kept
+FROM d JOIN reach ON reach.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id, n.n""",
     "op13_lexical_search": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_terms(lexical_search.TERM)} AS w FROM documents),
 own AS (SELECT r, doc_id, len(w)::BIGINT AS n FROM d WHERE len(w) > 0),

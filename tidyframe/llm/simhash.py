@@ -366,16 +366,12 @@ def similar_sets(packed: list[bytes], similarity: float) -> np.ndarray:
     return out
 
 
-def _verified(rows: DataFrame, parts: DataFrame, fps: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links between the named sets of ``rows`` that lie in one component of fingerprints.
+def linked_sets(chosen: DataFrame, shingles: DataFrame, key: str, similarity: float) -> DataFrame:
+    """(a, b): links between the named sets (label, s, n, key) of one label whose Jaccard similarity is at least ``similarity``.
 
-    Small components share a task; those of over SET_SHINGLES shingles are dealt in parts to tiles.
+    ``shingles`` has their hashes by key. The labels' sets are connected as by all links. Small groups
+    share a task; those of over SET_SHINGLES shingles are dealt in parts to tiles.
     """
-    label = fps.select("fp", "node").join(parts, "node").select("fp", "label")
-    single = rows.groupBy("fp").agg(F.min("s").alias("s"), F.max("s").alias("other")).filter("s <> other").select("fp")  # equal fingerprints of other sets
-    label = label.unionByName(single.join(label, "fp", "left_anti").select("fp", F.xxhash64("fp").alias("label")))
-    chosen = rows.filter("n > 0").select("fp", "s", "uid", "n").join(label, "fp").groupBy("label", "s").agg(F.min(F.struct("uid", "n")).alias("u"))
-    chosen = checkpointed(chosen.select("label", "s", "u.uid", "u.n"))
     total = chosen.agg(F.sum("n")).first()[0] or 0
     bundles = max(1, -(-8 * total // SET_SHINGLES))
     size = chosen.groupBy("label").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).filter("sets > 1")
@@ -385,7 +381,8 @@ def _verified(rows: DataFrame, parts: DataFrame, fps: DataFrame, similarity: flo
         .withColumn("g", F.when(F.col("parts") > 1, F.col("label")).otherwise(F.pmod(F.xxhash64("label"), F.lit(bundles))))
         .withColumn("large", F.col("parts") > 1)
         .withColumn("p", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int"))
-        .join(rows.select("uid", "shingles"), "uid")
+        .select("large", "g", "parts", "p", "s", F.col(key).alias("set_key"))
+        .join(shingles.select(F.col(key).alias("set_key"), "shingles"), "set_key")
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("large", "g", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "s", "shingles")
     )
@@ -399,6 +396,16 @@ def _verified(rows: DataFrame, parts: DataFrame, fps: DataFrame, similarity: flo
     return tiles.groupBy("large", "g", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
+def _verified(rows: DataFrame, parts: DataFrame, fps: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between the named sets of ``rows`` that lie in one component of fingerprints."""
+    label = fps.select("fp", "node").join(parts, "node").select("fp", "label")
+    single = rows.groupBy("fp").agg(F.min("s").alias("s"), F.max("s").alias("other")).filter("s <> other").select("fp")  # equal fingerprints of other sets
+    label = label.unionByName(single.join(label, "fp", "left_anti").select("fp", F.xxhash64("fp").alias("label")))
+    chosen = rows.filter("n > 0").select("fp", "s", "uid", "n").join(label, "fp").groupBy("label", "s").agg(F.min(F.struct("uid", "n")).alias("u"))
+    chosen = checkpointed(chosen.select("label", "s", "u.uid", "u.n"))
+    return linked_sets(chosen, rows.select("uid", "shingles"), "uid", similarity)
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, bits: int = 384, radius: int | None = None, similarity: float = 0.8, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint hex, component_id) for every row of ``docs``.
 
