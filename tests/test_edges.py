@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidyframe.dtypes import unused
 from tidyframe.operators import aggregate, clean, diff, encode, filters, ordering, profile
 from tidyframe.operators.filters import FilterSpec as Spec
-from tidyframe.sources import files
+from tidyframe.sources import files, quoted
 
 OWN = ("_key", "_n", "_kept", "_found", "_score", "_v", "_p", "_m", "_part", "_fill", "_lo", "_hi", "_at", "_tail", "_carry", "_before", "_tie", "_origin", "_hit", "_odd", "_r", "_k0")
 
@@ -113,7 +113,7 @@ def test_csv_loses_nothing(spark, tmp_path):
     wide = files.read_csv(spark, str(tmp_path / "wide.csv"))
     assert wide.dtypes == [("a", "bigint"), ("_odd", "bigint"), ("col_3", "bigint"), ("col_4", "timestamp")] and wide.count() == 3
     assert files.read_csv(spark, str(tmp_path / "wide.csv"), width=2).columns == ["a", "_odd"]
-    assert files._has_line_ends_in_quotes(spark, str(tmp_path / "wide.csv"), "utf-8") is False
+    assert quoted.split_starts(spark, str(tmp_path / "wide.csv"), ",", "utf-8") is None
     (tmp_path / "l.csv").write_bytes("a,b\n1,\xe9\n2,\"x\ny\"\n".encode("latin-1"))
     assert sorted(tuple(r) for r in files.read_csv(spark, str(tmp_path / "l.csv"), encoding="ISO-8859-1").collect()) == [(1, "é"), (2, "x\ny")]
     (tmp_path / "u.csv").write_bytes("a,b\n1,é\n".encode("utf-16"))

@@ -291,6 +291,23 @@ def read_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_csv(spark, path)
 
 
+@query("SELECT * REPLACE (p_name || chr(13) || chr(10) || '\"' || p_type || '\",' || chr(10) AS p_name, p_size::BIGINT AS p_size) FROM part")
+def read_csv_quoted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line ends of both kinds, quotes and delimiters in one field of every row."""
+    path = scratch(spark, "csv")
+    text = F.concat("p_name", F.lit('\r\n"'), "p_type", F.lit('",\n'))
+    files.write_csv(table(spark, sf_dir, "part").withColumn("p_name", text), path)
+    return files.read_csv(spark, path)
+
+
+@query("SELECT * REPLACE (c_name || chr(9) || chr(10) AS c_name) FROM customer")
+def read_tsv_quoted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "tsv")
+    named = table(spark, sf_dir, "customer").withColumn("c_name", F.concat("c_name", F.lit("\t\n")))
+    named.write.option("sep", "\t").option("header", True).option("escape", '"').option("ignoreTrailingWhiteSpace", False).csv(path)
+    return files.read_tsv(spark, path).withColumn("c_nationkey", F.col("c_nationkey").cast("int"))
+
+
 @query("SELECT * FROM customer")
 def read_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tsv")

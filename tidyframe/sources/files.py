@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, DataFrameReader, Row, SparkSession, functions as F, types as T
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
 from ..dtypes import FALSE_TOKENS, NA_TOKENS, TRUE_TOKENS, label, name, physical, unused
+from .quoted import records, split_starts, splittable, without_quoted
 
 #: Keys of JSON lines that may become columns.
 MOST_KEYS = 10_000
@@ -95,56 +98,54 @@ def _texts(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def _looked_at(reader: DataFrameReader, path: str, delimiter: str, names: list[str], tests: bool) -> tuple[int, dict[str, str]]:
+def _looked_at(records: Callable[..., DataFrame], delimiter: str, names: list[str], tests: bool) -> tuple[int, dict[str, str]]:
     """Most fields of any record, at least as many as ``names``, and with ``tests`` the kinds of these, in one pass.
 
     The reader itself cuts the records and hands on the text of those with another number of
     fields; in these, delimiters are counted once quoted fields are taken out.
     """
     (odd,) = unused(names, "_odd")
-    records = reader.option("columnNameOfCorruptRecord", odd).schema(_texts([*names, odd])).csv(path)
-    edge = "\\Q" + delimiter.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-    bare = F.regexp_replace(name(odd), f'(^|{edge})"[^"]*+(?:""[^"]*+)*+"', "$1")
+    rows = records([*names, odd], columnNameOfCorruptRecord=odd)
+    bare = without_quoted(name(odd), delimiter)
     fields = (F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit("")))) / len(delimiter) + 1
     every = F.count(F.coalesce(*[name(c) for c in names]))  # a reader asked for fewer columns counts no fields
-    found = records.agg(F.max(fields).alias("most"), every.alias("every"), *(_tests(names) if tests else [])).first()
+    found = rows.agg(F.max(fields).alias("most"), every.alias("every"), *(_tests(names) if tests else [])).first()
     return max(len(names), int(found["most"] or 0)), _kinds(names, found) if tests else {}
 
 
-def _has_line_ends_in_quotes(spark: SparkSession, path: str, encoding: str) -> bool:
-    """Whether some line holds an odd number of quotes; stops at the first. True for encodings whose quotes are no single byte."""
-    if not encoding.lower().replace("_", "-").startswith(("utf-8", "utf8", "us-ascii", "ascii", "iso-8859", "latin", "windows-125", "cp125")):
-        return True
-    lines = spark.read.text(path)
-    odd = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return bool(lines.filter(odd % 2 == 1).take(1))
-
-
 def read_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8", has_header: bool = True, infer: bool = True, multi_line: bool | None = None, sample: int | None = None, width: int | None = None) -> DataFrame:
     """Delimited text with quoted fields and ragged rows.
 
     Short rows are filled with missing, surplus fields are columns col_{i+1}. Types come from all
     rows, in the pass that finds the most fields of a row; ``sample`` limits how many are looked at
-    for types, ``width`` gives the fields. Files that have line ends in quotes are read by one task
-    each, others are split; one look at the lines tells which, unless ``multi_line`` does. Names that
-    differ in case only count as repeats.
+    for types, ``width`` gives the fields. Line ends in quotes stay as they are; files that hold such
+    are split like others, for one more pass over the lines (``multi_line=False``: there are none). Only
+    files in an encoding of wider units than bytes are read by one task each. A quote inside an
+    unquoted field is a character like any other. Names that differ in case only count as repeats.
     """
-    multi_line = _has_line_ends_in_quotes(spark, path, encoding) if multi_line is None else multi_line
-
-    def raw(**more):
-        reader = spark.read.option("sep", delimiter).option("encoding", encoding).option("quote", '"').option("escape", '"').option("multiLine", multi_line).option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("enforceSchema", True)
-        return reader.options(**more)
-
-    first = raw(header=False).csv(path).limit(1)
+    options = {"sep": delimiter, "encoding": encoding, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    starts = split_starts(spark, path, delimiter, encoding) if splittable(encoding) and multi_line is not False else None
+    whole_files = str(not splittable(encoding) or starts is not None).lower()
+    reader = spark.read.options(**options, enforceSchema="true", multiLine=whole_files)
+    first = reader.options(header="false").csv(path).limit(1)
     head = first.first()
     named = [str(v) if v is not None else "" for v in head] if head and has_header else []
     if named:
         named[0] = named[0].lstrip("\ufeff")
     names, kinds = _unrepeated(named or [""] * len(head or ())), None
+    joined = records(spark, path, delimiter, encoding, starts) if starts is not None else None
+    if joined is not None and has_header:
+        joined = joined.filter("not head")
+
+    def parsed(columns: list[str], **more: str) -> DataFrame:
+        if joined is None:
+            return spark.read.options(**options, enforceSchema="true", multiLine=whole_files, header=str(has_header).lower(), nullValue="", **more).schema(_texts(columns)).csv(path)
+        return joined.select(F.from_csv("value", _texts(columns).toDDL(), options | {"multiLine": "true", "nullValue": ""} | more).alias("record")).select("record.*")
+
     if width is None:
-        width, kinds = _looked_at(raw(header=has_header, nullValue=""), path, delimiter, names, infer and sample is None) if names else (0, {})
+        width, kinds = _looked_at(parsed, delimiter, names, infer and sample is None) if names else (0, {})
     every = _unrepeated([*named, *[""] * max(0, width - len(named))])
-    df = raw(header=has_header, nullValue="").schema(_texts(every)).csv(path)
+    df = parsed(every)
     if not infer:
         return df
     if not kinds:
@@ -204,10 +205,10 @@ def dataset_info(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """Header, missing as an empty field, datetimes as YYYY-MM-DD HH:MM:SS, rows in the order given."""
+    """Header, missing as an empty field, white space kept, datetimes as YYYY-MM-DD HH:MM:SS, rows in the order given."""
     shown = [F.date_format(name(f.name), "yyyy-MM-dd HH:mm:ss").alias(f.name) if label(f.dataType) == "datetime" else name(f.name) for f in df.schema]
     out = df.select(*shown)
-    (out.coalesce(1) if single_file else out).write.option("header", True).option("emptyValue", "").option("nullValue", "").option("escape", '"').csv(path)
+    (out.coalesce(1) if single_file else out).write.option("header", True).option("emptyValue", "").option("nullValue", "").option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
