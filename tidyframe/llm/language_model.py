@@ -5,8 +5,8 @@ restaurants share one parent, whose base is uniform over the vocabulary and one
 Gibbs step takes all customers of a dish (context, word) out of its restaurant and seats them
 again given everybody else's tables: the number of their tables is drawn from its conditional
 distribution (Chinese restaurants by generalised Stirling numbers); those of over EXACT customers
-are seated one after another, in groups of a sixteenth of the seated, each a binomial draw. Every table sends a
-customer to the parent, which is seated likewise. Tables start at one a dish; the first sweep is
+are seated one after another, in groups of a quarter of the seated, each a binomial draw at the
+chances in the middle of the group. Every table sends a customer to the parent, which is seated likewise. Tables start at one a dish; the first sweep is
 left out, and predictive probabilities are averaged over the others. Discounts come from the
 numbers of dishes seen once and twice.
 
@@ -14,8 +14,9 @@ How it runs. Documents are gathered into blocks of about BLOCK_TOKENS tokens. A
 distinct words to partitions by word and its distinct pairs to partitions by pair, as packed
 arrays, and gets back what the whole corpus knows of them: counts, and which block of several
 owns a pair. In each sweep a block seats the dishes it owns and sends its tables' sums by word; the
-word partitions add them up, seat the parent and send back each block's own words. Draws depend
-on the dish and the sweep alone, so that any block can repeat them. Nothing but a few sums goes
+word partitions add them up, seat the parent and send back each block's own words. Draws are made
+of hashes of the dish, the sweep and the group alone, so that any block repeats them: texts are
+scored by the very tables that the restaurants' totals hold, and probabilities sum to one. Nothing but a few sums goes
 through the driver, and no task holds more than a block or a partition of words or pairs, whose
 number follows the corpus.
 """
@@ -39,8 +40,8 @@ START, END = b" ", b""
 #: Gibbs sweeps, of which the first is left out; strength of the restaurants and of their parent.
 SWEEPS = 4
 CONCENTRATION, ROOT_CONCENTRATION = 0.1, 1.0
-#: Customers of a dish up to which the number of its tables is drawn at once.
-EXACT = 32
+#: Customers of a dish up to which the number of its tables is drawn at once; mean of a binomial draw from which it is drawn as normal.
+EXACT, NORMAL = 32, 32.0
 #: Tokens of a block; words and pairs that blocks send to a partition, about.
 BLOCK_TOKENS, PARTITION_WORDS, PARTITION_PAIRS = 2_000_000, 1_000_000, 2_000_000
 #: Elements of a matrix of weights.
@@ -118,11 +119,8 @@ class Seating:
         for c in range(1, EXACT):
             self.ways[c + 1, 1:] = self.ways[c, 1:] * np.maximum(c - discount * np.arange(1, EXACT + 2), 0.0) + self.ways[c, :-1]
 
-    def draw(self, customers: np.ndarray, first: np.ndarray, more: np.ndarray, seed: np.ndarray, random: np.random.Generator | None) -> np.ndarray:
-        """Tables of each dish; a new one weighs ``first``, and ``more`` with each that the dish has by then.
-
-        Dishes of over EXACT customers draw from ``random``; without it they have the expected number.
-        """
+    def draw(self, customers: np.ndarray, first: np.ndarray, more: np.ndarray, seed: np.ndarray) -> np.ndarray:
+        """Tables of each dish, drawn by its ``seed``; a new one weighs ``first``, and ``more`` with each that the dish has by then."""
         tables = np.minimum(customers, 1).astype(np.float64)
         several = np.flatnonzero(customers > 1)
         order = several[np.argsort(customers[several], kind="stable")]
@@ -135,24 +133,55 @@ class Seating:
                 weight = np.cumprod(first[own, None] + more[own, None] * np.arange(c), axis=1)
                 weight *= self.ways[c, 1 : c + 1]
                 weight = np.cumsum(weight, axis=1)
-                at = (_mixed(seed[own]) >> np.uint64(11)).astype(np.float64) / 9007199254740992.0
-                tables[own] = 1 + (weight[:, :-1] < at[:, None] * weight[:, -1:]).sum(axis=1)
+                tables[own] = 1 + (weight[:, :-1] < _uniform(seed[own])[:, None] * weight[:, -1:]).sum(axis=1)
         large = order[len(small) :][::-1]
-        tables[large] = self._in_groups(customers[large], first[large], more[large], random)
+        tables[large] = self._in_groups(customers[large], first[large], more[large], seed[large])
         return tables
 
-    def _in_groups(self, customers: np.ndarray, first: np.ndarray, more: np.ndarray, random: np.random.Generator | None) -> np.ndarray:
-        """Tables of dishes, the largest first, whose customers come in groups of a sixteenth of those seated."""
-        tables, seated = np.ones(len(customers)), 1
+    def _in_groups(self, customers: np.ndarray, first: np.ndarray, more: np.ndarray, seed: np.ndarray) -> np.ndarray:
+        """Tables of dishes, the largest first, whose customers come in groups of a quarter of those seated."""
+        tables, seated, groups = np.ones(len(customers)), 1, 0
         while n := int(np.searchsorted(-customers, -seated)):
-            group = np.minimum(max(1, seated // 16), customers[:n] - seated)
-            weight = first[:n] + more[:n] * tables[:n]
-            p = np.minimum(1.0, weight / (weight + seated - self.discount * tables[:n]))
-            tables[:n] += random.binomial(group, p) if random else group * p
-            seated += max(1, seated // 16)
+            group = np.minimum(max(1, seated // 4), customers[:n] - seated)
+            t, half = tables[:n], (group - 1) / 2
+            for _ in range(2):  # by the chances at the group's start, then at those in its middle
+                weight = first[:n] + more[:n] * t
+                p = np.minimum(1.0, weight / (weight + seated + half - self.discount * t))
+                t = tables[:n] + p * half
+            groups += 1
+            tables[:n] += _binomial(group, p, _mixed(seed[:n] + np.uint64(groups * _ODD & 0xFFFFFFFFFFFFFFFF)))
+            seated += max(1, seated // 4)
         return tables
 
 
+def _uniform(h: np.ndarray) -> np.ndarray:
+    """Numbers of [0, 1) from hashes."""
+    return (h >> np.uint64(11)).astype(np.float64) / 9007199254740992.0
+
+
+def _binomial(n: np.ndarray, p: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Binomial draws by hashes: the least k whose distribution reaches a uniform number; of a large mean, a rounded normal number."""
+    p = np.minimum(p, 1 - 1e-12)
+    u, mean, k = _uniform(seed), n * p, np.zeros(len(n))
+    left = np.flatnonzero(mean < NORMAL)
+    u_left, m, odds = u[left], n[left], p[left] / (1 - p[left])
+    chance = np.exp(m * np.log1p(-p[left]))
+    below, at = chance.copy(), 0
+    while True:
+        more = (u_left > below) & (at < m)
+        if not more.any():
+            break
+        left, u_left, m, odds, chance, below = (x[more] for x in (left, u_left, m, odds, chance, below))
+        at += 1
+        chance = chance * (m - at + 1) / at * odds
+        below = below + chance
+        k[left] = at
+    large = np.flatnonzero(mean >= NORMAL)
+    normal = np.sqrt(-2 * np.log1p(-u[large])) * np.cos(2 * np.pi * _uniform(_mixed(seed[large] + np.uint64(_ODD))))
+    k[large] = np.clip(np.rint(mean[large] + normal * np.sqrt(mean[large] * (1 - p[large]))), 0, n[large])
+    return k
+
+
 class Model:
     """What all tasks need: sizes, discounts, and of each sweep (the start is -1) the parent's customers and tables."""
 
@@ -170,23 +199,17 @@ class Model:
     def seat_root(self, seating: Seating, sweep: int, ids: np.ndarray, customers: np.ndarray, before: np.ndarray) -> np.ndarray:
         """The parent's tables of words: each one's customers are seated again beside the others' tables before."""
         first = (ROOT_CONCENTRATION + self.root_discount * np.maximum(self.sums[sweep - 1][1] - before, 0.0)) * self.base
-        random = np.random.default_rng([sweep, *ids[:1].tolist()])
-        return seating.draw(customers, first, np.full(len(ids), self.root_discount * self.base), _mixed(ids * np.uint64(_ODD) + np.uint64(sweep + 2)), random)
-
-    def seat(self, upto: int, u: np.ndarray, w: np.ndarray, c: np.ndarray, known: _Known, owner: int | None = None) -> Iterator[np.ndarray]:
-        """Tables of dishes (u, w) with c customers after sweeps 0 to ``upto``.
+        return seating.draw(customers, first, np.full(len(ids), self.root_discount * self.base), _mixed(ids * np.uint64(_ODD) + np.uint64(sweep + 2)))
 
-        The block that owns the dishes draws all of them; others repeat its draws of dishes of up to
-        EXACT customers and take the expected tables of larger ones, by which their probability hardly changes.
-        """
+    def seat(self, upto: int, u: np.ndarray, w: np.ndarray, c: np.ndarray, known: _Known) -> Iterator[np.ndarray]:
+        """Tables of dishes (u, w) with c customers after sweeps 0 to ``upto``: the same in every block."""
         ids, tables, parents, seating = known.ids, known.tables, known.parents, Seating(self.discount)
         t = np.minimum(c, 1)
         name = _mixed(ids[u] * np.uint64(_ODD) + ids[w])
         for sweep in range(upto + 1):
             p = parents[sweep - 1][w]
             first = (CONCENTRATION + self.discount * np.maximum(tables[sweep - 1][u] - t, 0)) * p
-            random = None if owner is None else np.random.default_rng([sweep, owner])
-            t = seating.draw(c, first, self.discount * p, _mixed(name + np.uint64(sweep + 1)), random)
+            t = seating.draw(c, first, self.discount * p, _mixed(name + np.uint64(sweep + 1)))
             yield t
 
     def probability(self, known: _Known, u: np.ndarray, w: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -442,7 +465,7 @@ def _seated_dishes(model: Model, sweep: int) -> Callable[[pa.Table], pa.Table]:
         words = int(row["x"][2])
         known = _Known(rows, words, model)
         u, w, c = unpack(row["a"], "<u4").astype(np.int64), unpack(row["b"], "<u4").astype(np.int64), unpack(row["c"], "<i8")
-        *_, t = model.seat(sweep, u, w, c, known, row["block"])
+        *_, t = model.seat(sweep, u, w, c, known)
         of = lambda x: np.bincount(x, t - 1, words).astype(np.int64)
         return pa.Table.from_batches([_batch(known.sums(row["block"], sweep, of(u), of(w)))])
 
