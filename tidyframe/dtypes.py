@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 from collections.abc import Iterable
+from decimal import Decimal, InvalidOperation
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -90,6 +91,22 @@ def format_cell(df: DataFrame, column: str) -> Column:
     return c.cast("string")
 
 
+def group_key(df: DataFrame, column: str) -> Column:
+    """The cell as something that Spark can group by: NaN as null, maps as their entries in order, other types that hold maps as JSON."""
+    kind = kind_of(df, column)
+    if isinstance(kind, T.MapType) and not holds_map(kind.keyType) and not holds_map(kind.valueType):
+        return F.array_sort(F.map_entries(name(column)))
+    return F.to_json(name(column)) if holds_map(kind) else present(df, column)
+
+
+def holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, (T.MapType, T.VariantType)):
+        return True
+    if isinstance(kind, T.StructType):
+        return any(holds_map(f.dataType) for f in kind)
+    return isinstance(kind, T.ArrayType) and holds_map(kind.elementType)
+
+
 def py_literal(text: Any) -> Any:
     """What a typed parameter means: booleans, null and numbers by their form, all else text."""
     if not isinstance(text, str):
@@ -107,15 +124,37 @@ def py_literal(text: Any) -> Any:
     return text
 
 
+def exact_number(value: Any) -> Column:
+    """A number as a whole or decimal literal, exactly as written; a double only where 38 digits do not hold it."""
+    try:
+        number = Decimal(str(value).strip())
+    except InvalidOperation:
+        raise ValueError(f"{value!r} is no number") from None
+    if not number.is_finite():
+        return F.lit(float(number))
+    if number == number.to_integral_value() and -(1 << 63) <= number < 1 << 63:
+        return F.lit(int(number))
+    plain = Decimal(format(number, "f"))
+    _, digits, exponent = plain.as_tuple()
+    return F.lit(plain) if max(len(digits), -exponent) <= 38 else F.lit(float(number))
+
+
+def is_exact(kind: T.DataType) -> bool:
+    """Whole and decimal numbers, which a double may not hold."""
+    return isinstance(kind, (T.IntegralType, T.DecimalType))
+
+
 def typed_literal(kind: T.DataType, value: Any) -> Column:
-    """A literal of a column's kind; a value that isn't one raises ValueError."""
+    """A literal of a column's kind; a value that isn't one raises ValueError. Decimals compare with what is written."""
     what = label(kind)
+    if isinstance(kind, T.DecimalType):
+        return exact_number(value)
     if what == "boolean":
         if str(value) not in ("true", "True", "1", "false", "False", "0"):
             raise ValueError(f"{value!r} is no boolean")
         return F.lit(str(value) in ("true", "True", "1"))
     if what == "integer":
-        return F.lit(int(str(value).strip()))
+        return exact_number(int(str(value).strip()))
     if what == "float":
         return F.lit(float(value))
     if what == "datetime":

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..dtypes import FALSE_TOKENS, TRUE_TOKENS, kind_of, label, may_be_nan, missing, name, present, py_literal, typed_literal, unused
+from ..dtypes import FALSE_TOKENS, TRUE_TOKENS, exact_number, group_key, kind_of, label, may_be_nan, missing, name, present, py_literal, typed_literal, unused
 from ..functions import numeric, text
 from ..sources.files import parse_datetime
 from .ordering import fill_in_order
@@ -99,13 +100,13 @@ def drop_duplicates(df: DataFrame, columns: Sequence[str] = (), keep: str = "fir
     A missing ``order_by`` comes last. Without ``order_by`` any row of a group may stay.
     """
     _known(df, columns)
-    keys = [present(df, c) for c in columns or df.columns]
+    keys = [group_key(df, c) for c in columns or df.columns]
     named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
     row = F.struct(*[name(c) for c in df.columns])
     if keep == "none":
         kept = df.groupBy(*named).agg(F.any_value(row).alias("_r"), F.count("*").alias("_n")).filter("_n = 1")
     elif keep in ("first", "last"):
-        if order_by is None and not columns and not any(may_be_nan(f.dataType) for f in df.schema):
+        if order_by is None and not columns and all(isinstance(f.dataType, T.AtomicType) and not may_be_nan(f.dataType) for f in df.schema):
             return df.dropDuplicates()
         pick = F.min_by if keep == "first" else F.max_by
         kept = df.groupBy(*named).agg(F.any_value(row).alias("_r")) if order_by is None else df.groupBy(*named).agg(pick(row, F.struct(missing(df, order_by), name(order_by))).alias("_r"))
@@ -115,12 +116,23 @@ def drop_duplicates(df: DataFrame, columns: Sequence[str] = (), keep: str = "fir
 
 
 def fill_missing(df: DataFrame, column: str, method: str = "value", value: Any = None, order_by: str | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
-    """By a value, mean, median, mode (the smallest of ties), ffill or bfill."""
+    """By a value, mean, median, mode (the smallest of ties), ffill or bfill.
+
+    Present cells stay as they are. A whole column keeps its type where the fill is a whole number; a
+    fraction, mean or median makes it a double, and a cell that no double holds is then an error.
+    Decimals stay decimals: a value may add decimal places, means and medians are rounded to theirs.
+    """
     c, kind = present(df, column), kind_of(df, column)
     if method == "value":
         v = py_literal(value)
-        literal = F.lit(v) if label(kind) in ("integer", "float") and isinstance(v, (int, float)) else typed_literal(kind, value)
-        return replaced(df, column, F.coalesce(c, literal))
+        if not isinstance(v, (int, float)) or isinstance(v, bool) or label(kind) not in ("integer", "float"):
+            return replaced(df, column, F.coalesce(c, typed_literal(kind, value)))
+        if isinstance(kind, T.DecimalType):
+            return replaced(df, column, _with_decimal(c, kind, value))
+        if label(kind) == "integer":
+            whole = isinstance(v, int) or v.is_integer()
+            return replaced(df, column, F.coalesce(c, exact_number(int(v))) if whole else F.coalesce(_as_double(c, column), F.lit(float(v))))
+        return replaced(df, column, F.coalesce(c, F.lit(v)))
     if method in ("ffill", "bfill"):
         if order_by is None:
             raise ValueError("order_by is needed: Spark's rows have no order of their own")
@@ -135,8 +147,31 @@ def fill_missing(df: DataFrame, column: str, method: str = "value", value: Any =
         one = df.agg(back(F.avg(as_number)).alias(fill))
     else:
         raise ValueError(f"unknown method {method!r}")
+    filler = F.col(fill)
+    if isinstance(kind, T.DecimalType):
+        filler = F.round(filler, kind.scale).cast(kind)
+    elif label(kind) == "integer" and method != "mode":
+        c = _as_double(c, column)
     # ``one`` is a single row
-    return replaced(df.crossJoin(F.broadcast(one)), column, F.coalesce(c, F.col(fill))).select(*[name(x) for x in df.columns])
+    return replaced(df.crossJoin(F.broadcast(one)), column, F.coalesce(c, filler)).select(*[name(x) for x in df.columns])
+
+
+def _as_double(c: Column, column: str) -> Column:
+    """Whole numbers as doubles; one that no double holds is an error."""
+    far = c.cast("double").cast("decimal(38,0)") != c.cast("decimal(38,0)")
+    return F.when(far, F.raise_error(F.concat(F.lit(f"{column}: filling with a fraction would change "), c.cast("string")))).otherwise(c.cast("double"))
+
+
+def _with_decimal(c: Column, kind: T.DecimalType, value: Any) -> Column:
+    """A decimal column filled with a number, with as many places as either has."""
+    number = Decimal(format(Decimal(str(value).strip()), "f"))
+    _, digits, exponent = number.as_tuple()
+    scale = max(kind.scale, -exponent)
+    precision = max(kind.precision - kind.scale, len(digits) + exponent) + scale
+    if precision > 38:
+        raise ValueError(f"{value} and {kind.simpleString()} do not fit in 38 digits")
+    wide = T.DecimalType(precision, scale)
+    return F.coalesce(c.cast(wide), F.lit(number).cast(wide))
 
 
 def find_replace(df: DataFrame, column: str, find: str, replacement: str, regex: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..dtypes import format_cell, kind_of, label, may_be_nan, missing, name, present, py_literal, typed_literal, unused
+from ..dtypes import exact_number, format_cell, is_exact, kind_of, label, may_be_nan, missing, name, present, py_literal, typed_literal, unused
 
 COMPARE = ("eq", "ne", "gt", "gte", "lt", "lte")
 TEXT = ("contains", "starts_with", "ends_with", "regex")
@@ -104,7 +104,11 @@ def filter_step(df: DataFrame, column: str, condition: str, value: Any = None, r
         return df.filter(predicate(df, FilterSpec(column, "regex" if regex and condition == "contains" else condition, str(value))))
     kind = kind_of(df, column)
     v = py_literal(value)
-    literal = F.lit(v) if label(kind) in ("integer", "float") and isinstance(v, (int, float)) else typed_literal(kind, v)
+    number = isinstance(v, (int, float)) and not isinstance(v, bool)
+    if number and is_exact(kind):
+        literal = exact_number(value)  # as written: a double would be equal to its neighbours too
+    else:
+        literal = F.lit(v) if number and label(kind) == "float" else typed_literal(kind, v)
     c = present(df, column)
     if condition == "not_equals":
         return df.filter(~c.eqNullSafe(literal))

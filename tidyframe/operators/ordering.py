@@ -6,9 +6,9 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..dtypes import format_cell, kind_of, name, present, unused
+from ..dtypes import format_cell, group_key, holds_map, kind_of, name, present, unused
 from ..session import checkpointed, shuffle_partitions
 from .filters import FilterSpec, apply_filters
 
@@ -58,7 +58,7 @@ def view_row_count(df: DataFrame, filters: Sequence[FilterSpec] = ()) -> DataFra
 
 def _dealt(df: DataFrame, keys: Sequence[Column]) -> DataFrame:
     """Rows in sorted range partitions by keys; rows of one key are dealt on by their hash and where they come from."""
-    hashed = [name(f.name) for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    hashed = [name(f.name) for f in df.schema if not holds_map(f.dataType)]
     tie, origin = unused(df.columns, "_tie", "_origin")
     marked = df.withColumns({tie: F.xxhash64(*hashed) if hashed else F.lit(0), origin: F.spark_partition_id()})
     order = [*keys, F.col(tie), F.col(origin)]
@@ -96,40 +96,53 @@ def search_values(df: DataFrame, column: str, query: str, order_by: Sequence[Key
     return row_position(shown, order_by, at).filter(hit).select(F.col(at).alias("row_position"))
 
 
-def fill_in_order(df: DataFrame, column: str, order_by: str, backward: bool = False, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Missing cells take the last present value before them (after them if backward) in order; rows without a key come last.
+def carry_last(df: DataFrame, column: str, order: Sequence[Column], keys: Sequence[Column] = ()) -> DataFrame:
+    """``df`` with each null of a column replaced by the last value before it in order, among rows of equal keys.
 
-    With ``partition_by`` a plain window. Without, the rows are range-partitioned by the order key
-    once; each sorted partition is filled as its Arrow batches pass, with the last value held, and what
-    a partition hands on is carried over by a table of one row for each partition.
+    Rows are range-partitioned by key and order, so that a key with most of the rows is dealt to many
+    tasks. Each sorted partition is filled as its Arrow batches pass, with the last value held; what a partition
+    hands on to the next goes over a table of one row for each partition. A missing key equals a missing one.
     """
-    value, at = present(df, column), present(df, order_by)
-    key = at.desc_nulls_first() if backward else at.asc_nulls_last()
-    if partition_by:
-        w = Window.partitionBy(*[name(c) for c in partition_by]).orderBy(key)
-        filled = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        return df.withColumn(column, filled).select(*[name(c) for c in df.columns])
-    kind_of(df, column)
     place = df.columns.index(column)
-    m, p, tail, carry = unused(df.columns, "_m", "_part", "_tail", "_carry")
+    k1, k2, m, p, tail, carry = unused(df.columns, "_k1", "_k2", "_m", "_part", "_tail", "_carry")
+    # two hashes of the keys stand for them: one could be equal for two keys of many
+    marked = df.withColumns({k1: F.xxhash64(*keys), k2: F.xxhash64(F.lit("again"), *keys)}) if keys else df.withColumns({k1: F.lit(0).cast("bigint"), k2: F.lit(0).cast("bigint")})
+    at_key = marked.columns.index(k1)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, own = None, None
         for b in batches:
+            if not b.num_rows:
+                continue
             c = b.column(place)
-            if b.num_rows and held is not None:
-                c = pa.concat_arrays([held, c])
-            last = np.maximum.accumulate(np.where(c.is_valid().to_numpy(zero_copy_only=False), np.arange(len(c)), -1))
-            c = c.take(pa.array(last, mask=last < 0))[len(c) - b.num_rows :]
-            if b.num_rows and c[-1].is_valid:
-                held = pa.array([c[-1].as_py()], c.type)  # a copy, so that the batch can go
+            key = np.stack([b.column(i).to_numpy() for i in (at_key, at_key + 1)])
+            run = np.maximum.accumulate(np.where(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)), np.arange(b.num_rows), 0))
+            last = np.maximum.accumulate(np.where(c.is_valid().to_numpy(zero_copy_only=False), np.arange(b.num_rows), -1))
+            last = np.where(last >= run, last, -1)
+            if held is not None and (key[:, 0] == own).all():
+                last = np.where((last < 0) & (run == 0), b.num_rows, last)
+                c = pa.concat_arrays([c, held])
+            c = c.take(pa.array(last, mask=last < 0))
+            held, own = (pa.concat_arrays([c[-1:]]) if c[-1].is_valid else None), key[:, -1].copy()
             yield b.set_column(place, b.schema.field(place), c)
 
-    present_only = df.select(*[value.alias(c) if c == column else name(c) for c in df.columns])
-    dealt = _dealt(present_only, [key]).mapInArrow(fill, present_only.schema)
+    dealt = _dealt(marked, [F.col(k1), F.col(k2), *order]).mapInArrow(fill, marked.schema)
     rows = checkpointed(dealt.withColumn(m, F.monotonically_increasing_id())).withColumn(p, F.shiftright(m, 33))
-    tails = rows.groupBy(p).agg(F.max_by(name(column), F.col(m)).alias(tail))
+    last = F.struct(F.col(k1).alias("k1"), F.col(k2).alias("k2"), name(column).alias("v"))
+    tails = rows.groupBy(p).agg(F.max_by(last, F.col(m)).alias(tail)).withColumn(tail, F.when(F.col(tail)["v"].isNotNull(), F.col(tail)))
     earlier = Window.orderBy(p).rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     carried = tails.select(p, F.last(tail, ignorenulls=True).over(earlier).alias(carry))
     joined = rows.join(F.broadcast(carried), p)
-    return joined.select(*[F.coalesce(name(c), F.col(carry)).alias(c) if c == column else name(c) for c in df.columns])
+    same = (F.col(carry)["k1"] == F.col(k1)) & (F.col(carry)["k2"] == F.col(k2))
+    return joined.select(*[F.coalesce(name(c), F.when(same, F.col(carry)["v"])).alias(c) if c == column else name(c) for c in df.columns])
+
+
+def fill_in_order(df: DataFrame, column: str, order_by: str, backward: bool = False, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Missing cells take the last present value before them (after them if backward) in order, among rows of equal ``partition_by``.
+
+    Rows without a key of order come last. Missing keys equal each other. No task sees a whole key.
+    """
+    kind_of(df, column)
+    value, at = present(df, column), present(df, order_by)
+    present_only = df.select(*[value.alias(c) if c == column else name(c) for c in df.columns])
+    return carry_last(present_only, column, [at.desc_nulls_first() if backward else at.asc_nulls_last()], [group_key(df, c) for c in partition_by])

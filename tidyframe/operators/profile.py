@@ -21,10 +21,13 @@ QUARTILES = (0.25, 0.5, 0.75)
 
 
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, value, n): present values of each column as text."""
-    cells = [F.struct(F.lit(c).alias("column"), format_cell(df, c).alias("value")) for c in columns or df.columns]
+    """(column, value, n): present values of each column, shown as text; datetimes of one second are values of their own."""
+    columns = list(columns or df.columns)
+    moments = [c for c in columns if label(kind_of(df, c)) == "datetime"]
+    at = lambda c: F.unix_micros(present(df, c).cast("timestamp")) if c in moments else F.lit(None).cast("bigint")
+    cells = [F.struct(F.lit(c).alias("column"), format_cell(df, c).alias("value"), *([at(c).alias("at")] if moments else [])) for c in columns]
     long = df.select(F.inline(F.array(*cells))).filter("value is not null")
-    return long.groupBy("column", "value").agg(F.count("*").alias("n"))
+    return long.groupBy("column", "value", *(["at"] if moments else [])).agg(F.count("*").alias("n")).select("column", "value", "n")
 
 
 _NATIVE = {"integer": "bigint", "float": "double", "datetime": "timestamp", "boolean": "boolean"}
@@ -131,9 +134,13 @@ def _first_of(counts: DataFrame) -> DataFrame:
 
 
 def top_n(df: DataFrame, column: str, n: int = 10) -> DataFrame:
-    """(value, count) of the n most frequent present values as text, ties by value."""
-    counts = df.select(format_cell(df, column).alias("value")).filter("value is not null").groupBy("value").agg(F.count("*").alias("count"))
-    return counts.orderBy(F.desc("count"), F.asc("value")).limit(n)
+    """(value, count) of the n most frequent present values, shown as text, ties by value."""
+    if label(kind_of(df, column)) != "datetime":
+        counts = df.select(format_cell(df, column).alias("value")).filter("value is not null").groupBy("value").agg(F.count("*").alias("count"))
+        return counts.orderBy(F.desc("count"), F.asc("value")).limit(n)
+    counts = df.select(name(column).alias("value")).filter("value is not null").groupBy("value").agg(F.count("*").alias("count"))
+    first = counts.orderBy(F.desc("count"), F.asc("value")).limit(n)
+    return first.select(format_cell(first, "value").alias("value"), "count")
 
 
 def _ends(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..dtypes import nan_to_null, py_literal
-from ..operators import aggregate, by_example as examples, clean, diff, encode, filters, ordering, profile
+from ..operators import aggregate, by_example as examples, clean, diff, encode, filters, joins, ordering, profile, rolling
 from ..operators.filters import FilterSpec
 from ..session import shared_folder as scratch
 from ..sources import files
@@ -280,6 +280,76 @@ add("undo_step", on("events", lambda df: recipe.apply_recipe(_holes(df), recipe.
 add("custom", on("events", lambda df: recipe.custom(df, "SELECT event_type, count(*) AS n FROM {df} GROUP BY event_type")), "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 add("custom_callable", on("events", lambda df: recipe.custom(df, lambda d: d.filter(F.col("value") > 50).select("event_id"))), "SELECT event_id FROM events WHERE value > 50")
 
+# ---- differences without a key, joins by time and overlap, sliding frames
+
+
+def _copied(df: DataFrame) -> DataFrame:
+    """Orders by customer and priority, some of them again, some changed, some gone."""
+    few = df.select("o_custkey", "o_orderstatus", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("o_orderpriority"))
+    return few.unionByName(few.filter("o_custkey % 10 = 0")).withColumn("o_orderstatus", F.when(F.col("o_custkey") % 7 == 0, F.lower("o_orderstatus")).otherwise(F.col("o_orderstatus"))).filter("o_custkey % 11 <> 0")
+
+
+_PLAIN_SQL = "SELECT o_custkey, o_orderstatus, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS o_orderpriority FROM orders"
+_COPIED_SQL = f"SELECT o_custkey, CASE WHEN o_custkey % 7 = 0 THEN lower(o_orderstatus) ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM (FROM ({_PLAIN_SQL}) UNION ALL SELECT * FROM ({_PLAIN_SQL}) WHERE o_custkey % 10 = 0) WHERE o_custkey % 11 <> 0"
+add("row_difference", on("orders", lambda df: diff.row_difference(df.select("o_custkey", "o_orderstatus", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("o_orderpriority")), _copied(df))), f"SELECT o_custkey, o_orderstatus, o_orderpriority, sum(a)::BIGINT AS n_before, sum(1 - a)::BIGINT AS n_after FROM (SELECT *, 1 AS a FROM ({_PLAIN_SQL}) UNION ALL SELECT *, 0 FROM ({_COPIED_SQL})) GROUP BY 1, 2, 3 HAVING sum(a) <> sum(1 - a)")
+_SIDES = "(SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase') l ASOF LEFT JOIN (SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'view') r ON l.user_id = r.user_id AND l.ts"
+
+
+def _as_of(**options):
+    """Purchases beside a view of the same user."""
+    return on("events", lambda df: joins.as_of_join(df.filter("event_type = 'purchase'").select("event_id", "user_id", "ts"), df.filter("event_type = 'view'").select("event_id", "user_id", "ts", "value"), "ts", by=["user_id"], **options))
+
+
+add("as_of_join", _as_of(), f"SELECT l.*, r.event_id AS event_id_right, r.ts AS ts_right, r.value FROM {_SIDES} >= r.ts")
+add("as_of_join_forward", _as_of(direction="forward", exact=False, tolerance=86400.0), f"SELECT event_id, user_id, ts, CASE WHEN near THEN event_id_right END AS event_id_right, CASE WHEN near THEN ts_right END AS ts_right, CASE WHEN near THEN value END AS value FROM (SELECT l.*, r.event_id AS event_id_right, r.ts AS ts_right, r.value, epoch_us(r.ts) - epoch_us(l.ts) <= 86400000000 AS near FROM {_SIDES} < r.ts)")
+
+
+@query("SELECT o.o_orderkey, o.o_custkey, p.o_orderkey AS o_orderkey_right, p.o_orderdate AS o_orderdate_right FROM orders o LEFT JOIN LATERAL (SELECT o_orderkey, o_orderdate FROM orders q WHERE q.o_custkey = o.o_custkey AND q.o_orderdate < o.o_orderdate ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) p ON TRUE")
+def as_of_join_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order beside the customer's last one of an earlier day; of several on that day the one of the largest key."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return joins.as_of_join(df, df, "o_orderdate", by=["o_custkey"], exact=False, ties=["o_orderkey"]).drop("o_orderdate")
+
+
+@query("SELECT a.o_orderkey, b.o_orderkey AS o_orderkey_right FROM orders a JOIN orders b ON a.o_orderpriority = b.o_orderpriority AND a.o_orderdate < b.o_orderdate + INTERVAL 1 DAY * (1 + b.o_custkey % 3) AND b.o_orderdate < a.o_orderdate + INTERVAL 1 DAY * (CASE WHEN a.o_orderkey % 500 = 0 THEN 900 ELSE 1 + a.o_custkey % 2 END) WHERE a.o_orderstatus = 'F' AND b.o_orderstatus = 'P'")
+def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open orders of a priority that run while others do: days, and a few that run for years."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_orderdate", "o_custkey")
+    days = lambda n: F.col("o_orderdate") + F.make_dt_interval(n)
+    a = df.filter("o_orderstatus = 'F'").withColumn("until", days(F.when(F.col("o_orderkey") % 500 == 0, 900).otherwise(1 + F.col("o_custkey") % 2).cast("int")))
+    b = df.filter("o_orderstatus = 'P'").withColumn("until", days((1 + F.col("o_custkey") % 3).cast("int")))
+    return joins.overlap_join(a, b, ("o_orderdate", "until"), by=["o_orderpriority"]).select("o_orderkey", "o_orderkey_right")
+
+
+add("rolling_median_rows", on("events", lambda df: rolling.rolling_quantiles(_holes(df).select("event_id", "user_id", "ts", "value"), "value", "ts", [0.5, 0.9], ["user_id"], rows=20).withColumns({c: F.round(c, 6) for c in ("value_q50", "value_q90")})), 'SELECT event_id, user_id, ts, value, round(quantile_cont(value, 0.5) OVER w, 6) AS "value_q50", round(quantile_cont(value, 0.9) OVER w, 6) AS "value_q90" FROM ' + _EVENTS + " WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")
+add("rolling_median_time", on("events", lambda df: rolling.rolling_quantiles(_holes(df).select("event_id", "ts", "value"), "value", "ts", within=6 * 3600).withColumn("value_q50", F.round("value_q50", 6))), 'SELECT event_id, ts, value, round(quantile_cont(value, 0.5) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW), 6) AS "value_q50" FROM ' + _EVENTS)
+
+# ---- exact values
+
+_EXACT = "(SELECT *, (o_orderkey::DECIMAL(38,2) + 12345678901234567890.12) AS d, 9007199254740993 + o_orderkey AS n FROM orders)"
+
+
+def _exact(df: DataFrame) -> DataFrame:
+    return df.withColumns({"d": (F.col("o_orderkey").cast("decimal(38,2)") + F.expr("12345678901234567890.12BD")).cast("decimal(38,2)"), "n": F.col("o_orderkey") + F.lit(9007199254740993)})
+
+
+add("filter_decimal", on("orders", lambda df: filters.apply_filters(_exact(df), [FilterSpec("d", "gt", "12345678901234567990.12"), FilterSpec("d", "ne", "12345678901234568000.12")]).select("o_orderkey")), f"SELECT o_orderkey FROM {_EXACT} WHERE d > 12345678901234567990.12 AND d <> 12345678901234568000.12")
+add("filter_step_large", on("orders", lambda df: filters.filter_step(filters.filter_step(_exact(df), "n", "greater_than", "9007199254741000.0"), "n", "not_equals", "9007199254741003").select("o_orderkey")), f"SELECT o_orderkey FROM {_EXACT} WHERE n > 9007199254741000 AND n <> 9007199254741003")
+add("fill_missing_large", on("orders", lambda df: clean.fill_missing(clean.fill_missing(_exact(df).select("o_orderkey", *[F.when(F.col("o_orderkey") % 5 != 0, F.col(c)).alias(c) for c in ("d", "n")]), "n", "value", "-1.0"), "d", "value", "0.25").withColumn("d", F.col("d").cast("string"))), f"SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN d ELSE 0.25 END::DECIMAL(38,2)::VARCHAR AS d, CASE WHEN o_orderkey % 5 <> 0 THEN n ELSE -1 END AS n FROM {_EXACT}")
+
+
+@query("SELECT event_id, 'ts' AS \"column\", strftime(ts, '%Y-%m-%d %H:%M:%S') AS old_value, strftime(ts + INTERVAL 10 MILLISECOND, '%Y-%m-%d %H:%M:%S') AS new_value FROM (SELECT *, CASE WHEN event_id <> 7 THEN event_id END AS event_id FROM events) WHERE user_id % 3 = 0".replace("SELECT *, CASE", "SELECT * EXCLUDE (event_id), CASE"))
+def changed_cells_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moments moved by 10 milliseconds; one key is missing."""
+    df = table(spark, sf_dir, "events").withColumn("event_id", F.when(F.col("event_id") != 7, F.col("event_id")))
+    moved = df.withColumn("ts", F.when(F.col("user_id") % 3 == 0, F.col("ts") + F.expr("interval 10 milliseconds")).otherwise(F.col("ts")))
+    return diff.changed_cells(df, moved, ["event_id"])
+
+
+add("value_domain_moments", on("events", lambda df: profile.value_domain(df.select("event_type", F.timestamp_millis(F.col("user_id") % 12).alias("moment")))), "SELECT 'event_type' AS \"column\", event_type AS value, count(*) AS n FROM events GROUP BY event_type UNION ALL SELECT 'moment', '1970-01-01 00:00:00', count(*) FROM events GROUP BY user_id % 12")
+add("top_n_moments", on("events", lambda df: profile.top_n(df.select(F.timestamp_millis(F.col("user_id") % 12).alias("moment")), "moment", 4)), "SELECT '1970-01-01 00:00:00' AS value, count(*) AS count FROM events GROUP BY user_id % 12 ORDER BY count DESC LIMIT 4")
+add("drop_duplicates_maps", on("events", lambda df: clean.drop_duplicates(df.select(F.create_map(F.lit("type"), "event_type", F.lit("user"), (F.col("user_id") % 20).cast("string")).alias("m"))).select(F.col("m")["type"].alias("event_type"), F.col("m")["user"].cast("bigint").alias("u"))), "SELECT DISTINCT event_type, user_id % 20 AS u FROM events")
+
 # ---- sources and sinks
 
 
