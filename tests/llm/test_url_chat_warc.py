@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import io
+import time
 import zlib
 
 import numpy as np
@@ -48,6 +49,28 @@ def test_odd_chats(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chats_of_many_turns(spark):
+    """Work grows with the turns, not their square: 20,000 of them take less than eight times as long as 5,000."""
+    def seconds(n):
+        turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("two words é "), F.col("id").cast("string")).alias("text"))
+        began = time.perf_counter()
+        (r,) = chat.read_chats(chat.format_chats(turns.withColumn("content", chat.text_part(F.col("text"))))).collect()
+        assert len(r.read_turns) == n and r.loss_text == "".join(f"two words é {i}" for i in range(1, n, 2))
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(20_000) < 8 * max(seconds(5_000), 0.7)
+
+
+def test_loss_spans_that_meet_no_text(spark):
+    made = chat.format_chats(spark.createDataFrame([(1, 0, "assistant", "said")], "conv_id int, turn int, role string, text string").withColumn("content", chat.text_part(F.col("text"))))
+    moved = made.withColumn("loss_spans", F.transform("loss_spans", lambda s: F.struct((s["start"] + 1).alias("start"), s["end"].alias("end"))))
+    with pytest.raises(Exception, match="no turn's text"):
+        chat.read_chats(moved).collect()
+    read = chat.read_chats(made.withColumn("formatted", F.lit(None).cast("string")).withColumn("loss_spans", F.lit(None).cast("array<struct<start:bigint,end:bigint>>"))).collect()
+    assert [(r.conv_id, r.read_turns, r.loss_text) for r in read] == [(1, [], "")]
+
+
 def test_clashing_columns_in_archives(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "h", "d", "s"), (2, "u", "h", "d", "s")], "page_id bigint, url string, html string, digest string, _refers string")
     warc.write_warc(df, path := str(tmp_path / "w"))
