@@ -78,6 +78,15 @@ def test_against_brute_force(spark, sf_dir):
         assert math.isclose(r.score, score(texts[r.doc_id] or ""), rel_tol=1e-6, abs_tol=1e-9) and r.predicted == (r.score >= 0.7)
 
 
+def test_rows_that_repeat_an_id_are_one_example(spark):
+    """Two labelled ids over many rows put two rows into the task that fits."""
+    docs = spark.range(20_000).select((F.col("id") % 2).alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 7).cast("string")).alias("text"))
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id bigint, toxic int")
+    assert [(r.doc_id, r.label, r.text) for r in toxicity.examples(docs, labels).orderBy("doc_id").collect()] == [(0, 0, "text 0"), (1, 1, "text 0")]
+    nulls = docs.withColumn("text", F.when(F.col("doc_id") == 0, F.col("text")))
+    assert [r.text for r in toxicity.examples(nulls, labels).orderBy("doc_id").collect()] == ["text 0", ""]
+
+
 def test_stages(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]

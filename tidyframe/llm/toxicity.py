@@ -90,25 +90,32 @@ def _sigmoid(x: float) -> float:
     return 1 / (1 + float(np.exp(-np.clip(x, -500, 500))))
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray]:
-    """Places and values of the weights that are not zero, from at most ``sample_rows`` labelled rows.
+def examples(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """(doc_id, label, text): at most ``sample_rows`` labelled ids, each once, by its least text; null counts as empty.
 
-    ``learn`` is a condition on the id. Rows without an id or label are not learned from; an id with
-    both labels counts as toxic. Without any labelled row there are no weights. One task fits
-    the bounded sample; the rest of the work is spread.
+    ``learn`` is a condition on the id. Rows without an id or label are left out; an id with both labels is toxic.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).filter("doc_id is not null and label is not null")
     known = known.filter(learn) if learn is not None else known
     known = known.groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, **options) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the weights that are not zero, from the ``examples``.
+
+    Without any there are no weights. One task fits the bounded sample; the rest of the work is spread.
+    """
+    rows = examples(docs, labels, learn, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, examples = Words(), []
+        words, known = Words(), []
         for b in slices(batches):
-            examples += [(np.unique(places(t, words)), y) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-        if examples:
-            w = fit(examples)
+            known += [(np.unique(places(t, words)), y) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        if known:
+            w = fit(known)
             at = np.flatnonzero(w)
             yield pa.RecordBatch.from_arrays([pa.array([at.astype("<i4").tobytes()]), pa.array([w[at].tobytes()])], ["at", "w"])
 
