@@ -267,10 +267,14 @@ def audit(docs: DataFrame, least_docs: int = 3, top: int = 200, text_col: str =
     groups = checkpointed(groups.withColumn("lang_total", F.sum("total").over(by_lang)))
     # terms of alike counts become neighbours: that makes equal subtrees
     by = [F.col("lang_no"), F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, c: a + c).desc(), F.col("sources"), F.col("counts"), F.col("term")]
-    dealt = kept.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS))
+    dealt = kept.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("m", F.monotonically_increasing_id())
     path = shared_folder(docs.sparkSession, "blocks")
-    dealt.select("lang_no", "block", "term", "sources", "counts").write.parquet(path)
-    dealt = docs.sparkSession.read.parquet(path)
+    dealt.select("lang_no", "m", "term", "sources", "counts").write.parquet(path)
+    dealt = docs.sparkSession.read.parquet(path).withColumn("part", F.shiftright("m", 33))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    offsets = dealt.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
+    place = F.col("m").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("before")
+    dealt = dealt.join(F.broadcast(offsets), "part").select("lang_no", F.shiftright(place, BLOCK_BITS).alias("block"), "term", "sources", "counts")
     facts = dealt.select("lang_no", "block").distinct().join(fit(groups.select("lang_no", "source_no", "total", "terms", "lang_total")), "lang_no")
     facts = facts.select(F.col("lang_no").alias("of_lang"), F.col("block").alias("of_block"), "source_no", "total", "terms", "lang_total")
 
@@ -287,7 +291,8 @@ def audit(docs: DataFrame, least_docs: int = 3, top: int = 200, text_col: str =
     sums = found.filter("other >= 0").groupBy("lang_no", "source_no", "other").agg(F.sum("value").alias("value"))
     pairs = named.join(fit(others), "lang_no").filter("source_no <> other").join(sums, ["lang_no", "source_no", "other"], "left")
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0).cast("bigint")).alias("value"))
-    own = found.filter("other < 0").join(fit(named), ["lang_no", "source_no"]).select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
-    rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
-    first = own.withColumn("rank", rank).filter(F.col("rank") <= top)
-    return pairs.withColumn("rank", rank).unionByName(first).select("lang", "source", "part", "item", "value", "rank")
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("value"), "item"))
+    own = found.filter("other < 0").select("lang_no", "source_no", F.col("term").alias("item"), "value")
+    first = own.withColumn("rank", rank("lang_no", "source_no")).filter(F.col("rank") <= top).join(fit(named), ["lang_no", "source_no"])
+    first = first.select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
+    return pairs.withColumn("rank", rank("lang", "source")).unionByName(first).select("lang", "source", "part", "item", "value", "rank")
