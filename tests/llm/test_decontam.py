@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidyframe.llm import decontam
 
@@ -80,3 +81,25 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "6", "None"]
     assert decontam.contaminated(docs.limit(0), items).count() == decontam.contaminated(docs, items.limit(0)).count() == 0
     assert decontam.drop_contaminated(docs, items.limit(0)).count() == 7
+
+
+def test_one_pass_for_items_of_all_widths(spark):
+    """Items of one to eight words: the texts are read and split once, whatever widths are sought."""
+    docs = spark.createDataFrame([(1, "a b c d e f g h i")], "doc_id bigint, text string")
+    words = docs.select("doc_id", decontam.normal_words(F.col("text")).alias("words"))
+    plan = decontam._grams(words, "doc_id", 5, [1, 2, 3, 4, 5])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Union" not in plan
+    items = spark.createDataFrame([(n, " ".join("abcdefgh"[:n])) for n in range(1, 9)] + [(20, "b d")], "item_id bigint, text string")
+    assert sorted((r.item_id, r.matched) for r in decontam.contaminated(docs, items).collect()) == [(n, max(1, n - 4)) for n in range(1, 9)]
+
+
+def test_a_phrase_that_all_have_is_in_no_sketch(spark):
+    """Items and documents share a phrase: it is met by none of the sketches, as each item has rarer shingles."""
+    common = "one two three four five"
+    items = spark.createDataFrame([(i, f"{common} " + " ".join(f"i{i}w{j}" for j in range(12))) for i in range(30)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(d, f"{common} and d{d}") for d in range(200)] + [(1000 + i, "x " + t) for i, t in enumerate(r.text for r in items.limit(3).collect())], "doc_id bigint, text string")
+    k = spark.range(1).select(F.xxhash64(*[F.lit(w) for w in common.split()])).first()[0]
+    full = items.select("item_id", F.explode(F.array(*[F.lit(x) for x in (k, 5, 6, 7)])).alias("h")).withColumn("h", F.when(F.col("h") == k, k).otherwise(F.col("h") + 10 * F.col("item_id"))).withColumn("m", F.lit(2))
+    hits = docs.select("doc_id", F.lit(k).alias("h"))
+    assert decontam._sketches(full, hits).filter(F.col("h") == k).count() == 0
+    assert sorted((r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()) == [(1000, 0), (1001, 1), (1002, 2)]
