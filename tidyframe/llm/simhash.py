@@ -4,7 +4,7 @@ Fingerprints are made from hashed word shingles. Candidate buckets come from equ
 given radius the bits are cut into more blocks than the radius, so that two fingerprints within
 it agree on one block or more (exact; the more fingerprints, the more blocks make a key); for a
 similarity on long fingerprints, from so many tables of sampled bits that of the pairs just at it
-all but MISSED are met. In a bucket fingerprints are stored as vertical bit planes; distances to
+all but MISSED are met, whatever the number of texts. In a bucket fingerprints are stored as vertical bit planes; distances to
 64 of them at once are counted by carry-save bitwise counters, and words whose lanes all exceed
 the radius are abandoned early. A bucket returns only a spanning forest of its links, never all pairs.
 
@@ -21,8 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import connected_components, with_least
 from .shared import checkpointed, shared_folder, slices, unused
@@ -30,10 +29,12 @@ from .shared import checkpointed, shared_folder, slices, unused
 SEED = 42
 #: Fingerprints that a bucket should hold, and at which it is cut into tiles; tables of equal blocks at most, unless the radius asks for more.
 BUCKET, TILE, TABLES = 512, 8192, 100
-#: Share of the pairs just at the similarity that the search for candidates may miss.
-MISSED = 1e-3
+#: Share of the pairs just at the similarity that the search for candidates may miss, and standard deviations of their distance that it reaches beyond the mean.
+MISSED, DEVIATIONS = 1e-6, 6
 #: Pairs of a query and a word of lanes compared at a time, and planes between two looks for words to abandon.
 PAIRS, PLANES = 16384, 15
+#: Most hashes of candidates' texts that are broadcast, 8 bytes each; above, texts are shuffled to them.
+BROADCAST_ROWS = 1_000_000
 #: Shingles of the sets that a task compares with each other or with as many more.
 SET_SHINGLES = 2_000_000
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -201,17 +202,18 @@ def share_of_bits(similarity: float) -> float:
 
 
 def candidate_radius(bits: int, similarity: float) -> int:
-    """A distance that sets of that similarity keep within, up to four standard deviations."""
+    """A distance that sets of that similarity keep within, up to DEVIATIONS standard deviations."""
     p = share_of_bits(similarity)
-    return min(bits, math.ceil(bits * p + 4 * math.sqrt(bits * p * (1 - p))))
+    return min(bits, math.ceil(bits * p + DEVIATIONS * math.sqrt(bits * p * (1 - p))))
 
 
 def sampled_tables(n: int, bits: int, similarity: float, missed: float = MISSED) -> list[list[int]]:
     """Tables of sampled bits, so many that two sets of that similarity share no bucket with probability ``missed`` at most.
 
     That is the mean over the distances (binomial) that such sets have; more similar ones are missed less.
+    Keys grow with n, so that buckets stay at about BUCKET; the tables then grow as a small power of n.
     """
-    k = min(max(1, math.ceil(math.log2(max(2, n) / BUCKET))), 14)
+    k = max(1, math.ceil(math.log2(max(2, n) / BUCKET)))
     p = max(share_of_bits(similarity), 1e-9)
     logs = [math.lgamma(bits + 1) - math.lgamma(i + 1) - math.lgamma(bits - i + 1) + i * math.log(p) + (bits - i) * math.log1p(-p) for i in range(bits + 1)]
     chance = np.exp(logs)
@@ -266,31 +268,44 @@ def links(fps: DataFrame, tables: list[list[int]], radius: int, tile: int = TILE
     return tiles.groupBy("t", "k", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash")
+
+
 def _sets(docs: DataFrame, shingle_words: int, bits: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, fp, uid, s, n, shingles) for every row, from the shared folder.
+    """(doc_id, text_hash, fp, s, n) for every row, from the shared folder.
 
-    shingles: the n distinct shingle hashes in order, 8 bytes each; s: their hash, which names the set;
-    fp: the fingerprint of the distinct shingles; uid: a number of the row's own.
+    s: a hash of the n distinct shingles' hashes in order, which names the set; fp: the fingerprint of these.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uid = TaskContext.get().partitionId() << 40
         for b in slices(batches):
-            hashes = [shingle_hashes(t, shingle_words) for t in b.column(1).to_pylist()]
-            sets = [np.unique(h).astype("<u8") for h in hashes]
+            sets = [np.unique(shingle_hashes(t, shingle_words)).astype("<u8") for t in b.column(2).to_pylist()]
             fp = [_fingerprint(h, bits // 64) for h in sets]
-            packed = [h.tobytes() for h in sets]
-            s = np.array([xxhash.xxh64_intdigest(x) for x in packed], np.uint64).astype(np.int64)
-            n = pa.array([len(h) for h in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.binary()), pa.array(np.arange(uid, uid + b.num_rows)), pa.array(s), n, pa.array(packed, pa.binary())], ["doc_id", "fp", "uid", "s", "n", "shingles"])
-            uid += b.num_rows
+            s = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.binary()), pa.array(s), pa.array([len(h) for h in sets], pa.int64())], ["doc_id", "text_hash", "fp", "s", "n"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    path = shared_folder(docs.sparkSession, "shingles")
-    made = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp binary, uid bigint, s bigint, n bigint, shingles binary")
-    made.write.option("compression", "none").parquet(path)
+    path = shared_folder(docs.sparkSession, "sets")
+    docs.select(F.col(id_col).alias("doc_id"), text_hash(text_col), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, text_hash bigint, fp binary, s bigint, n bigint").write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
+def shingles_of(docs: DataFrame, wanted: DataFrame, shingle_words: int, text_col: str) -> DataFrame:
+    """(s, shingles) of the texts with a wanted text_hash, each text once: 8 bytes a shingle, in order.
+
+    Candidates' shingles are made again from their texts, so that those of all texts need not be kept.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            packed = [np.unique(shingle_hashes(t, shingle_words)).astype("<u8").tobytes() for t in b.column(0).to_pylist()]
+            s = np.array([xxhash.xxh64_intdigest(x) for x in packed], np.uint64).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(packed, pa.binary())], ["s", "shingles"])
+
+    few = wanted.count() <= BROADCAST_ROWS
+    texts = docs.select(text_hash(text_col), F.col(text_col).alias("text")).join(F.broadcast(wanted) if few else wanted, "text_hash", "left_semi")
+    return texts.dropDuplicates(["text_hash"]).select("text").mapInArrow(run, "s bigint, shingles binary")
+
+
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers from each start, as many as its size."""
     return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
@@ -396,14 +411,12 @@ def linked_sets(chosen: DataFrame, shingles: DataFrame, key: str, similarity: fl
     return tiles.groupBy("large", "g", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
-def _verified(rows: DataFrame, parts: DataFrame, fps: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links between the named sets of ``rows`` that lie in one component of fingerprints."""
+def _candidates(sets: DataFrame, parts: DataFrame, fps: DataFrame) -> DataFrame:
+    """(label, s, n, text_hash): the sets that lie in one component of fingerprints, or share one."""
     label = fps.select("fp", "node").join(parts, "node").select("fp", "label")
-    single = rows.groupBy("fp").agg(F.min("s").alias("s"), F.max("s").alias("other")).filter("s <> other").select("fp")  # equal fingerprints of other sets
+    single = sets.groupBy("fp").agg(F.min("s").alias("s"), F.max("s").alias("other")).filter("s <> other").select("fp")  # equal fingerprints of other sets
     label = label.unionByName(single.join(label, "fp", "left_anti").select("fp", F.xxhash64("fp").alias("label")))
-    chosen = rows.filter("n > 0").select("fp", "s", "uid", "n").join(label, "fp").groupBy("label", "s").agg(F.min(F.struct("uid", "n")).alias("u"))
-    chosen = checkpointed(chosen.select("label", "s", "u.uid", "u.n"))
-    return linked_sets(chosen, rows.select("uid", "shingles"), "uid", similarity)
+    return checkpointed(sets.filter("n > 0").select("fp", "s", "n", "text_hash").join(label, "fp").select("label", "s", "n", "text_hash"))
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, bits: int = 384, radius: int | None = None, similarity: float = 0.8, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -414,24 +427,28 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, bits: int = 384, ra
     shingles), and two of these are linked if the Jaccard similarity of their sets of shingles is
     at least ``similarity``. component_id is the least id reachable over links.
     Null and empty texts have fingerprint zero and equal sets and are linked like any other. Repeated
-    rows stay repeated. Null ids never name a component unless all ids in it are null. An empty table
-    gives no rows; further columns are left out.
+    rows stay repeated. Null ids never name a component unless all ids in it are null. Very long texts are
+    read whole. An empty table gives no rows; further columns are left out.
     """
     verify = radius is None
     radius = candidate_radius(bits, similarity) if verify else radius
     rows = _sets(docs, shingle_words, bits, id_col, text_col) if verify else checkpointed(fingerprints(docs, shingle_words, bits, id_col, text_col))
     node = F.conv(F.hex("fp"), 16, -10).cast("bigint") if bits == 64 else F.xxhash64("fp")
-    fps = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", node))
+    if verify:
+        sets = checkpointed(rows.groupBy("s").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("text_hash").alias("text_hash")))
+    fps = checkpointed((sets.select("fp", "least") if verify else rows.select("fp", F.col("doc_id").alias("least"))).groupBy("fp").agg(F.min("least").alias("least")).withColumn("node", node))
     n = fps.count()
     tables = sampled_tables(n, bits, similarity) if verify else bit_tables(n, bits, radius)
     parts = connected_components(links(fps, tables, radius, tile))
     key = "fp"
     if verify:
-        parts = connected_components(_verified(rows, parts, fps, similarity))
-        key, fps = "s", rows.groupBy("s").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("s"))
+        chosen = _candidates(sets, parts, fps)
+        parts = connected_components(linked_sets(chosen.select("label", "s", "n"), shingles_of(docs, chosen.select("text_hash"), shingle_words, text_col), "s", similarity))
+        key, fps = "s", sets.select("s", "least", F.col("s").alias("node"))
     named = checkpointed(fps.select("node", "least").join(parts, "node"))
     component = checkpointed(with_least(named, "label", F.col("least"), "component", named.count())[0].select("node", "component"))
-    known = fps.join(component, "node", "left").select(key, F.coalesce("component", "least").alias("component_id"))
+    # a table of its own, so that Spark sees both sides of the join with all rows as they are dealt and splits a key that most rows have
+    known = checkpointed(fps.join(component, "node", "left").select(key, F.coalesce("component", "least").alias("component_id")))
     return rows.join(known, key).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
