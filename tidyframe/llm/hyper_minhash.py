@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components, with_least
 from .shared import checkpointed, shared_folder, slices
-from .simhash import TILE, linked_sets, shingle_hashes
+from .simhash import TILE, linked_sets, shingle_hashes, shingles_of, text_hash
 
 REGISTERS, MANTISSA, BANDS = 128, 10, 32
 #: Chance that the estimate leaves out a pair just at the similarity.
@@ -123,26 +123,10 @@ def _sketched(docs: DataFrame, shingle_words: int, id_col: str, text_col: str) -
 
     kind = docs.schema[id_col].dataType.simpleString()
     path = shared_folder(docs.sparkSession, "registers")
-    docs.select(F.col(id_col).alias("doc_id"), _text_hash(text_col), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, text_hash bigint, s bigint, n bigint, regs binary").write.parquet(path)
+    docs.select(F.col(id_col).alias("doc_id"), text_hash(text_col), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, text_hash bigint, s bigint, n bigint, regs binary").write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
-def _text_hash(text_col: str):
-    return F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash")
-
-
-def _shingles(docs: DataFrame, wanted: DataFrame, shingle_words: int, text_col: str) -> DataFrame:
-    """(s, shingles) of the texts with a wanted hash, each text once: 8 bytes a shingle, in order."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            packed = [np.unique(shingle_hashes(t, shingle_words)).astype("<u8").tobytes() for t in b.column(0).to_pylist()]
-            s = np.array([xxhash.xxh64_intdigest(x) for x in packed], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(packed, pa.binary())], ["s", "shingles"])
-
-    texts = docs.select(_text_hash(text_col), F.col(text_col).alias("text")).join(wanted, "text_hash", "left_semi")
-    return texts.dropDuplicates(["text_hash"]).select("text").mapInArrow(run, "s bigint, shingles binary")
-
-
 def _candidates(sets: DataFrame, similarity: float, tile: int) -> DataFrame:
     """(a, b): edges between sets (s, n, regs) that share a band and whose estimated similarity is not too low."""
     width = 2 * REGISTERS // BANDS
@@ -195,10 +179,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
     # a smaller set is too far from any set but itself
     parts = connected_components(_candidates(sets.filter(F.col("n") + 1e-9 >= similarity * (F.col("n") + 1)), similarity, tile))
     chosen = checkpointed(sets.join(parts.withColumnRenamed("node", "s"), "s").select("label", "s", "n", "text_hash"))
-    links = linked_sets(chosen.select("label", "s", "n"), _shingles(docs, chosen.select("text_hash"), shingle_words, text_col), "s", similarity)
+    links = linked_sets(chosen.select("label", "s", "n"), shingles_of(docs, chosen.select("text_hash"), shingle_words, text_col), "s", similarity)
     parts = connected_components(links)
     named = checkpointed(sets.select(F.col("s").alias("node"), "least").join(parts, "node"))
     component = checkpointed(with_least(named, "label", F.col("least"), "component", named.count())[0].select("node", "component"))
-    known = sets.join(component, sets["s"] == component["node"], "left").select("s", F.coalesce("component", "least").alias("component_id"))
+    # a table of its own, so that Spark sees both sides of the join with all rows as they are dealt and splits a set that most rows have
+    known = checkpointed(sets.join(component, sets["s"] == component["node"], "left").select("s", F.coalesce("component", "least").alias("component_id")))
     joined = rows.join(known, "s", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
