@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..dtypes import nan_to_null, py_literal
-from ..operators import aggregate, by_example as examples, clean, diff, encode, filters, joins, ordering, profile, rolling
+from ..operators import aggregate, by_example as examples, calendar, clean, cube, diff, encode, filters, incremental, joins, json_profile, ordering, profile, rolling
 from ..operators.filters import FilterSpec
 from ..session import shared_folder as scratch
 from ..sources import files
+from ..streaming import sessions as streamed
 from . import recipe
 from .recipe import Step
 
@@ -324,6 +325,83 @@ def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("rolling_median_rows", on("events", lambda df: rolling.rolling_quantiles(_holes(df).select("event_id", "user_id", "ts", "value"), "value", "ts", [0.5, 0.9], ["user_id"], rows=20).withColumns({c: F.round(c, 6) for c in ("value_q50", "value_q90")})), 'SELECT event_id, user_id, ts, value, round(quantile_cont(value, 0.5) OVER w, 6) AS "value_q50", round(quantile_cont(value, 0.9) OVER w, 6) AS "value_q90" FROM ' + _EVENTS + " WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")
 add("rolling_median_time", on("events", lambda df: rolling.rolling_quantiles(_holes(df).select("event_id", "ts", "value"), "value", "ts", within=6 * 3600).withColumn("value_q50", F.round("value_q50", 6))), 'SELECT event_id, ts, value, round(quantile_cont(value, 0.5) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW), 6) AS "value_q50" FROM ' + _EVENTS)
 
+# ---- profiles by parts, grids of time, grouping sets
+
+
+@query("SELECT \"column\", count(*)::BIGINT AS parts, sum(c)::BIGINT AS count, sum(n - c)::BIGINT AS missing, min(lo) AS min, max(hi) AS max, TRUE AS near FROM (SELECT 'value' AS \"column\", ts::DATE AS day, count(value) AS c, count(*) AS n, min(value) AS lo, max(value) AS hi FROM " + _EVENTS + " GROUP BY 2 UNION ALL SELECT 'user_id', ts::DATE, count(*), count(*), min(user_id)::DOUBLE, max(user_id)::DOUBLE FROM events GROUP BY 2 UNION ALL SELECT 'event_type', ts::DATE, count(*), count(*), NULL, NULL FROM events GROUP BY 2) GROUP BY 1")
+def incremental_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days come in three times, one of them again; near: the estimates are within their errors of the exact figures."""
+    path = scratch(spark, "profile")
+    df = _holes(table(spark, sf_dir, "events")).select("value", "user_id", "event_type", F.to_date("ts").alias("day"))
+    for days in ("day < '2024-01-10'", "day between '2024-01-10' and '2024-01-20'", "day > '2024-01-20'", "day = '2024-01-10'"):
+        incremental.update_profile(df.filter(days), path, "day")
+    merged = incremental.merged_profile(incremental.stored_sketches(spark, path))
+    exact = profile.column_stats(df.drop("day")).select("column", *[F.col(c).alias(f"exact_{c}") for c in ("distinct", "mean", "std_pop", "p50", "top_count")])
+    # ranks of numbers may be off by 1.3 %: the median lies between the quantiles of 47 and 53 %
+    ends = df.agg(*[F.percentile_approx(c, [0.47, 0.53], 10_000).alias(c) for c in ("value", "user_id")]).select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.get(c, F.lit(0)).cast("double").alias("lo"), F.get(c, F.lit(1)).cast("double").alias("hi")) for c in ("value", "user_id")])))
+    close = lambda a, b, share: F.abs(F.col(a) - F.col(b)) <= share * F.abs(F.col(b))
+    near = close("distinct", "exact_distinct", 0.06) & F.coalesce(close("mean", "exact_mean", 1e-9) & close("std_pop", "exact_std_pop", 1e-9) & F.col("p50").between(F.col("lo"), F.col("hi")), F.lit(True)) & ((F.col("column") != "event_type") | (F.col("top")[0]["count"] == F.col("exact_top_count")))
+    return merged.join(exact, "column").join(ends, "column", "left").select("column", "parts", "count", "missing", "min", "max", near.alias("near"))
+
+
+_HOURS = "(SELECT user_id, date_trunc('hour', ts) AS ts, sum(value) AS value FROM events WHERE event_type <> 'view' GROUP BY 1, 2)"
+
+
+def _hours(df: DataFrame) -> DataFrame:
+    return df.filter("event_type <> 'view'").groupBy("user_id", F.date_trunc("hour", "ts").alias("ts")).agg(F.sum("value").alias("value"))
+
+
+_GRID = f"(SELECT user_id, unnest(generate_series(min(ts), max(ts), INTERVAL 6 HOUR)) AS ts FROM (SELECT user_id, to_timestamp(0)::TIMESTAMP + INTERVAL 6 HOUR * ceil(epoch(min(ts)) / 21600)::INT AS ts FROM {_HOURS} GROUP BY 1 UNION ALL SELECT user_id, to_timestamp(0)::TIMESTAMP + INTERVAL 6 HOUR * floor(epoch(max(ts)) / 21600)::INT FROM {_HOURS} GROUP BY 1) GROUP BY 1)"
+_FILLED = f"(SELECT * FROM {_HOURS} UNION ALL SELECT user_id, ts, NULL FROM {_GRID} WHERE (user_id, ts) NOT IN (SELECT (user_id, ts) FROM {_HOURS}))"
+add("fill_gaps", on("events", lambda df: calendar.fill_gaps(_hours(df), "ts", 6 * 3600, ["user_id"]).withColumn("value", F.round("value", 6))), f"SELECT * REPLACE (round(value, 6) AS value) FROM {_FILLED}")
+add("interpolate", on("events", lambda df: calendar.interpolate(calendar.fill_gaps(_hours(df), "ts", 6 * 3600, ["user_id"]), "value", "ts", ["user_id"]).withColumn("value", F.round("value", 8))), f"SELECT user_id, ts, round(coalesce(value, a + (b - a) * (epoch(ts) - epoch(ta)) / (epoch(tb) - epoch(ta))), 8) AS value FROM (SELECT *, last_value(value IGNORE NULLS) OVER w AS a, last_value(CASE WHEN value IS NOT NULL THEN ts END IGNORE NULLS) OVER w AS ta, first_value(value IGNORE NULLS) OVER v AS b, first_value(CASE WHEN value IS NOT NULL THEN ts END IGNORE NULLS) OVER v AS tb FROM {_FILLED} WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), v AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))")
+_SET_COLUMNS = "grouping(event_type, day)::INT AS grouping_id, count(*) AS n, count(value) AS count, round(sum(value), 4) AS sum, count(DISTINCT value) AS \"distinct\", round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.9), 6) AS q90"
+
+
+def _grouped(sets) -> Callable[[SparkSession, str], DataFrame]:
+    def run(df: DataFrame) -> DataFrame:
+        rows = _holes(df).withColumn("day", F.when(F.dayofmonth("ts") != 5, F.dayofmonth("ts")))
+        found = cube.grouping_sets(rows, sets(["event_type", "day"]), "value", [0.5, 0.9])
+        return found.withColumns({"sum": F.round("sum", 4), "q50": F.round("q50", 6), "q90": F.round("q90", 6)})
+
+    return on("events", run)
+
+
+_BY_DAY = f"(SELECT *, CASE WHEN day(ts) <> 5 THEN day(ts)::INT END AS day FROM {_EVENTS})"
+add("grouping_sets_cube", _grouped(cube.cube_sets), f"SELECT event_type, day, {_SET_COLUMNS} FROM {_BY_DAY} GROUP BY CUBE (event_type, day)")
+add("grouping_sets_rollup", _grouped(cube.rollup_sets), f"SELECT event_type, day, {_SET_COLUMNS} FROM {_BY_DAY} GROUP BY ROLLUP (event_type, day)")
+
+# ---- nested JSON, sessions
+
+
+def _nested(df: DataFrame) -> DataFrame:
+    """Lines with an object in an object, an array, and a key that holds numbers, texts or nothing."""
+    mixed = F.when(F.col("user_id") % 3 == 0, F.col("user_id").cast("string")).when(F.col("user_id") % 3 == 1, F.lit('"x"')).otherwise("null")
+    more = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit(',"tags":["a",'), F.col("value").cast("string"), F.lit("]"))).otherwise("")
+    return df.select(F.concat(F.lit('{"props":'), "props", F.lit(',"m.n":'), mixed, more, F.lit("}")).alias("line"))
+
+
+_EVEN = "count(*) FILTER (user_id % 2 = 0)"
+add("json_profile", on("events", lambda df: json_profile.json_profile(json_profile.path_counts(_nested(df), "line")).drop("kinds").withColumn("presence", F.round("presence", 9))), f"""
+SELECT '$' AS path, 'object' AS type, FALSE AS conflict, count(*) AS n, 0::BIGINT AS nulls, 1.0::DOUBLE AS presence FROM events UNION ALL SELECT '$.props', 'object', FALSE, count(*), 0, 1.0 FROM events UNION ALL SELECT '$.props.k', 'integer', FALSE, count(*), 0, 1.0 FROM events
+UNION ALL SELECT '$."m.n"', 'mixed', TRUE, count(*), count(*) FILTER (user_id % 3 = 2), 1.0 FROM events
+UNION ALL SELECT '$.tags', 'array', FALSE, {_EVEN}, 0, round({_EVEN} / count(*), 9) FROM events UNION ALL SELECT '$.tags[]', 'mixed', TRUE, 2 * {_EVEN}, 0, 2.0 FROM events""")
+_SESSIONS = "SELECT user_id, min(ts) AS session_start, max(ts) AS last_event, count(*) AS events, round(sum(value), 6) AS total FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 4 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s"
+add("sessions", on("events", lambda df: streamed.sessions(df, "ts", 4 * 3600, ["user_id"], "value").withColumn("total", F.round("total", 6))), _SESSIONS)
+
+
+@query(_SESSIONS)
+def sessions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream of ten files in no order; an event of long after closes all sessions."""
+    path = scratch(spark, "arrivals")
+    df = table(spark, sf_dir, "events").select("user_id", "ts", "value")
+    last = df.agg(F.lit(-1).cast("bigint").alias("user_id"), (F.max("ts") + F.expr("interval 200 days")).alias("ts"), F.lit(0.0).alias("value"))
+    df.repartition(10).write.parquet(path)
+    last.coalesce(1).write.mode("append").parquet(path)
+    found = streamed.all_available(streamed.sessions(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 3).parquet(path), "ts", 4 * 3600, ["user_id"], "value", delay=90 * 86400))
+    return found.filter("user_id >= 0").withColumn("total", F.round("total", 6))
+
+
 # ---- exact values
 
 _EXACT = "(SELECT *, (o_orderkey::DECIMAL(38,2) + 12345678901234567890.12) AS d, 9007199254740993 + o_orderkey AS n FROM orders)"
