@@ -17,7 +17,7 @@ os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 from tidyframe.operators import profile  # noqa: E402
 from tidyframe.plans import queries as core  # noqa: E402
 
-CORE = ("flagship", "apply_filters", "view", "page", "page_deep", "filter_is_duplicated", "drop_duplicates_first", "fill_missing_ffill", "group_by_agg_median", "column_stats", "quick_insights", "histogram", "diff_summary", "one_hot_encode", "read_csv", "row_position")
+CORE = ("flagship", "apply_filters", "view", "page", "page_deep", "filter_is_duplicated", "drop_duplicates_first", "fill_missing_ffill", "group_by_agg_median", "column_stats", "quick_insights", "histogram", "diff_summary", "one_hot_encode", "read_csv", "row_position", "read_csv_quoted_lines", "changed_cells", "row_difference", "as_of_join", "overlap_join", "rolling_median_rows", "fill_missing_ffill_by_user", "incremental_profile", "interpolate", "grouping_sets_cube", "sessions")
 
 
 def insights(spark: SparkSession, sf_dir: str):
@@ -40,15 +40,16 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     chosen = {n: core.QUERIES[n] for n in CORE} | {"quick_insights_lineitem": insights}
     try:
+        import corpus_pipeline
         from tidyframe.llm import queries as llm
 
-        chosen |= llm.QUERIES
+        chosen |= llm.QUERIES | {"pipeline": corpus_pipeline.run}
     except ImportError:
         pass
     times = {}
     for name, query in chosen.items():
         taken = []
-        for _ in range(runs if not name.startswith("op") else 1):
+        for _ in range(runs if not name.startswith(("op", "pipeline")) else 1):
             began = time.perf_counter()
             query(spark, sf_dir).write.format("noop").mode("overwrite").save()
             taken.append(time.perf_counter() - began)

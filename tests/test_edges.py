@@ -126,3 +126,15 @@ def test_json_keys(spark, tmp_path):
     assert df.dtypes == [("Id", "bigint"), ("id_2", "string")] and sorted(r["id_2"] for r in df.collect()) == ["x", "y"]
     with pytest.raises(ValueError):
         files.read_jsonl(spark, str(tmp_path / "k.jsonl"), most_keys=1)
+
+
+def test_partitions_follow_the_files(spark, monkeypatch):
+    from tidyframe import session
+    from tidyframe.operators import ordering
+
+    df = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    assert session.partitions_for(df) == session.partitions_for(spark.range(10)) == 8
+    monkeypatch.setattr(session, "PARTITION_BYTES", 50_000)
+    assert 20 < session.partitions_for(df) == session.partitions_for(df.groupBy("l_orderkey").count()) < 60
+    placed = ordering.row_position(df.select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"])
+    assert placed.agg(F.count("*"), F.countDistinct("row_position"), F.max("row_position")).first()[:] == (60_000, 60_000, 59_999)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..dtypes import format_cell, group_key, holds_map, kind_of, name, present, unused
-from ..session import checkpointed, shuffle_partitions
+from ..session import checkpointed, partitions_for
 from .filters import FilterSpec, apply_filters
 
 PAGE_ROWS = 500
@@ -62,7 +62,7 @@ def _dealt(df: DataFrame, keys: Sequence[Column]) -> DataFrame:
     tie, origin = unused(df.columns, "_tie", "_origin")
     marked = df.withColumns({tie: F.xxhash64(*hashed) if hashed else F.lit(0), origin: F.spark_partition_id()})
     order = [*keys, F.col(tie), F.col(origin)]
-    return marked.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order).drop(tie, origin)
+    return marked.repartitionByRange(partitions_for(df), *order).sortWithinPartitions(*order).drop(tie, origin)
 
 
 def row_position(df: DataFrame, order_by: Sequence[Key], into: str = "row_position") -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..dtypes import kind_of, label, present
-from ..session import checkpointed, shuffle_partitions
+from ..session import checkpointed, partitions_for
 
 
 def numbered(df: DataFrame, column: str) -> tuple[Column, Callable[[Column], Column]]:
@@ -25,7 +25,7 @@ def numbered(df: DataFrame, column: str) -> tuple[Column, Callable[[Column], Col
 
 def dealt_by_value(counts: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The counts in range partitions by keys and value, with the partition's number _p, in reliable storage."""
-    return checkpointed(counts.repartitionByRange(shuffle_partitions(counts.sparkSession), *keys, *order).withColumn("_p", F.spark_partition_id()))
+    return checkpointed(counts.repartitionByRange(partitions_for(counts), *keys, *order).withColumn("_p", F.spark_partition_id()))
 
 
 def quantiles(dealt: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, shares: Sequence[float]) -> DataFrame:

@@ -45,3 +45,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Bytes of files that a partition made by ``partitions_for`` should hold.
+PARTITION_BYTES = 128 << 20
+
+
+def partitions_for(df: DataFrame) -> int:
+    """Partitions for a shuffle of all rows of ``df``: by the bytes of the files that it reads, at least the session's number.
+
+    Adaptive execution does not change a number that is asked for, so that it has to grow with the input.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    files = [f for f in (leaves.apply(i) for i in range(leaves.size())) if f.nodeName() == "LogicalRelation"]
+    size = sum(int(str(f.stats().sizeInBytes())) for f in files)
+    return max(shuffle_partitions(df.sparkSession), -(-size // PARTITION_BYTES))
