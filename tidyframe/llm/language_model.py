@@ -296,6 +296,14 @@ class Block:
         key = key[np.concatenate(([True], key[1:] != key[:-1]))]
         return key >> 32, key & 0xFFFFFFFF, key
 
+    def pair_of_token(self) -> np.ndarray:
+        """Each token's place among the distinct pairs in order of their keys."""
+        order = np.argsort(self.keys)
+        key = self.keys[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])))
+        return place
+
     def pair_counts(self) -> np.ndarray:
         key = self.keys << 1
         key |= self.learned()  # learned ones come last in a pair
@@ -506,9 +514,9 @@ def _scored(model: Model) -> tuple[Callable[[pa.Table], pa.Table], str]:
         rows = table.to_pylist()
         block = Block(next(r for r in rows if r["kind"] == _BLOCK))
         known = _Known(rows, len(block.words), model)
-        u, w, key = block.pairs()
+        u, w, _ = block.pairs()
         c = _pair_values(rows, _pair_hashes(block.hashes(), u, w)) >> 1
-        p = np.log10(model.probability(known, u, w, c))[np.searchsorted(key, block.keys)]
+        p = np.log10(model.probability(known, u, w, c))[block.pair_of_token()]
         base = np.log10((known.n + 1) / (model.total + model.vocabulary + 1))
         starts = np.cumsum(block.docs[:, 2]) - block.docs[:, 2]
         of_doc = lambda x: pa.array(np.add.reduceat(x, starts))  # noqa: E731  each document has a token, its end
