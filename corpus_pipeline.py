@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidyframe.llm import decontam, exact_dedup, pieces, simhash, toxicity
-from tidyframe.llm.shared import shared_folder
+from tidyframe.llm.shared import remove_folder, shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +20,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked at five-word shingle fingerprints of similarity 0.8 or more the least doc_id stays."""
+    """Of each group linked by a similarity of five-word shingles of 0.8 or more, the least doc_id stays."""
     return simhash.keep_one(docs, shingle_words=5, similarity=0.8)
 
 
@@ -41,10 +41,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows for the documents of ``sf_dir``; what earlier stages wrote is removed once it has been read."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_, stage) in enumerate(STAGES):
         path = shared_folder(spark, f"stage{i}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before is not None:
+            remove_folder(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
