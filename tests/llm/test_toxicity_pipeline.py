@@ -8,6 +8,8 @@ import public_tokenizers
 import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
+from test_hyper_minhash import shingles
+from test_simhash import brute_components
 
 import corpus_pipeline
 from tidyframe.llm import queries, toxicity
@@ -87,6 +89,46 @@ def test_rows_that_repeat_an_id_are_one_example(spark):
     assert [r.text for r in toxicity.examples(nulls, labels).orderBy("doc_id").collect()] == ["text 0", ""]
 
 
+def one_of_each(ids, texts):
+    """The least id of each group linked at a similarity of five-word shingles of 0.8 or more; texts without words are alike."""
+    sets = {d: shingles(texts[d]) for d in ids}
+    root = brute_components(ids, lambda a, b: sets[a] == sets[b] or 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]))
+    return {d for d in ids if root[d] == d}
+
+
+def holds_an_item(text, items):
+    """Whether a text holds 0.8 of an item's five-word shingles."""
+    split = lambda t: re.sub(r"[\W_]+", " ", (t or "").lower()).split()
+    grams = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    own = split(text)
+    for item in items:
+        w = split(item)
+        k = min(5, len(w))
+        if k and len(grams(own, k) & grams(w, k)) >= 0.8 * len(grams(w, k)) - 1e-9:
+            return True
+    return False
+
+
+def test_odd_rows_through_the_pipeline(spark, tmp_path, sf_dir):
+    """Null and empty texts, null and repeated ids, repeated rows, short texts and further columns."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    odd = [(90_001, None, "en", "x", None), (90_002, "", None, None, 0), (90_003, " \n", "en", "x", 2), (90_004, "two words", "en", "x", 9), (90_004, "two words", "en", "x", 9), (90_004, "other text of this id", "en", "x", 21), (None, "text without an id", "en", "x", 18), (90_005, "word " * 60_000, "en", "x", 300_000)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumn("_kept", F.lit("clash"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    ran = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    toxic = {(r.doc_id) for r in toxicity.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("predicted = 1").collect()}
+    kept = {r.doc_id for r in ran}
+    assert None in kept and {90_001, 90_004, 90_005} <= kept and not {90_002, 90_003} & kept and not toxic & kept
+    assert sum(r.doc_id == 90_004 for r in ran) == 2
+    empty = spark.createDataFrame([], docs.schema)
+    empty.write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(0).write.parquet(str(tmp_path / "none" / f"{t}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_stages(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
@@ -105,7 +147,10 @@ def test_stages(spark, sf_dir, tmp_path):
     toxic = {r.doc_id for r in toxicity.judge(everything, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("predicted = 1").collect()}
     assert sets[0] == {r.doc_id for r in everything.collect()} - toxic
     least = {r.d for r in everything.filter(F.col("doc_id").isin(list(sets[0]))).groupBy("text").agg(F.min("doc_id").alias("d")).collect()}
-    assert sets[1] == least and sets[2] <= sets[1] and sets[3] <= sets[2] and sets[4] == sets[3] and sets[4]
+    texts = {r.doc_id: r.text for r in everything.collect()}
+    near = one_of_each(least, texts)
+    clean = {d for d in near if not holds_an_item(texts[d], [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()])}
+    assert sets[1] == least and sets[2] == near and sets[3] == clean and sets[4] == clean and len(clean) < len(near) < len(least)
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in spark.read.parquet(path).limit(50).collect():
