@@ -133,7 +133,7 @@ class Seating:
                 weight = np.cumprod(first[own, None] + more[own, None] * np.arange(c), axis=1)
                 weight *= self.ways[c, 1 : c + 1]
                 weight = np.cumsum(weight, axis=1)
-                tables[own] = 1 + (weight[:, :-1] < _uniform(seed[own])[:, None] * weight[:, -1:]).sum(axis=1)
+                tables[own] = 1 + (weight[:, :-1] < _uniform(_mixed(seed[own]))[:, None] * weight[:, -1:]).sum(axis=1)
         large = order[len(small) :][::-1]
         tables[large] = self._in_groups(customers[large], first[large], more[large], seed[large])
         return tables
