@@ -456,7 +456,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the least of its near-duplicate group; all columns stay.
 
     Rows that repeat the kept id all stay, as do rows without an id, which no group can name. Null
-    and empty texts are one group. An empty table gives no rows; no column's name can clash.
+    and empty texts are one group. Very long texts are read whole. An empty table gives no rows; no column's
+    name can clash.
     """
     (own,) = unused(docs.columns, "_kept")
     kept = near_duplicates(docs, **options).filter("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias(own)).distinct()

@@ -142,8 +142,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str =
 def judge(docs: DataFrame, labels: DataFrame, learn: Column | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(doc_id, score, predicted) for every row of ``docs``; predicted is 1 from ``threshold`` on.
 
-    Null and empty texts have the intercept's score, without labels 0.5. Repeated rows stay
-    repeated; an empty table gives no rows; further columns are left out.
+    Null and empty texts have the intercept's score, without labels 0.5. Very long texts are read whole. Repeated
+    rows stay repeated; an empty table gives no rows; further columns are left out.
     """
     model = train(docs, labels, learn, id_col=id_col, text_col=text_col, **options)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -153,8 +153,8 @@ def judge(docs: DataFrame, labels: DataFrame, learn: Column | None = None, thres
 def drop_toxic(docs: DataFrame, labels: DataFrame, learn: Column | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows scored at ``threshold`` or above; all columns stay.
 
-    Null and empty texts have the intercept's score; repeated rows share their fate; an empty table
-    gives no rows; no column's name can clash.
+    Null and empty texts have the intercept's score; very long texts are read whole; repeated rows share their
+    fate; an empty table gives no rows; no column's name can clash.
     """
     model = train(docs, labels, learn, id_col=id_col, text_col=text_col, **options)
     scored = score(docs, model, text_col=text_col)
