@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidyframe.operators import calendar, cube, incremental, json_profile, profile
+from tidyframe.plans import queries
 from tidyframe.streaming.sessions import all_available, sessions
 
 AT = datetime(2024, 1, 1)
@@ -39,6 +40,17 @@ def test_merged_profile_equals_one_of_all(spark, tmp_path):
     assert incremental.merged_profile(incremental.sketch_parts(df.limit(0), "part")).count() == 0
 
 
+def test_profile_of_many_rare_values(spark, tmp_path):
+    """More users than counters, none frequent: their top is empty, and the query has all its rows."""
+    day = F.lit(AT).cast("timestamp") + F.make_dt_interval((F.col("id") % 30).cast("int"))
+    events = spark.range(60_000).select(F.col("id").alias("event_id"), day.alias("ts"), (F.col("id") * 7919 % 20_011).alias("user_id"), F.element_at(F.array(F.lit("view"), F.lit("click")), (F.col("id") % 7 % 2 + 1).cast("int")).alias("event_type"), (F.col("id") % 50).cast("double").alias("value"), F.lit("{}").alias("props"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = {x.column: x for x in queries.QUERIES["incremental_profile"](spark, str(tmp_path)).collect()}
+    assert {c: (x["count"] + x.missing, x.parts, x.near) for c, x in got.items()} == {c: (60_000, 30, True) for c in ("value", "user_id", "event_type")}
+    tops = {x.column: x.top for x in incremental.merged_profile(incremental.sketch_parts(events.select("user_id", "event_type", F.to_date("ts").alias("day")), "day")).collect()}
+    assert tops["user_id"] == [] and sum(x["count"] for x in tops["event_type"]) == 60_000
+
+
 def test_gaps_and_interpolation(spark, monkeypatch):
     """A hot key, a missing one, moments beside the grid and missing ones; small chunks."""
     monkeypatch.setattr(calendar, "CHUNK", 7)

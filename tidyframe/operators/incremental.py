@@ -72,8 +72,9 @@ def merged_profile(sketches: DataFrame, top: int = 5) -> DataFrame:
     """A row for each column over all parts of ``sketches``, which may be filtered by part first.
 
     column, kind, parts, count, missing, min, max, sum, mean, std_pop: exact up to the rounding of doubles. distinct,
-    p25, p50, p75 and ``top`` (value, count) are estimates; see the module for their errors. Sketches of one column
-    under several kinds are rows of their own.
+    p25, p50, p75 and ``top`` (value, count) are estimates; see the module for their errors. ``top`` leaves out values that
+    are no more frequent than its error, so that it is empty for a column of very many values, all rare. Sketches of one
+    column under several kinds are rows of their own.
     """
     of_column = Window.partitionBy("column", "kind")
     mean = F.sum("sum").over(of_column) / F.sum("numbers").over(of_column)
