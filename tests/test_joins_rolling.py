@@ -88,6 +88,42 @@ def test_overlaps(spark, closed, by):
     assert joins.overlap_join(df.limit(0), other, ("s", "e"), by=by).count() == 0
 
 
+@pytest.mark.parametrize("closed", [False, True])
+def test_overlaps_in_crowded_cells(spark, monkeypatch, closed):
+    """Many intervals at one moment, equal rows, maps, negative, fractional and infinite bounds; small blocks, cells that are joined and broadcast."""
+    r = random.Random(7)
+    inf = float("inf")
+
+    def made(n):
+        for i in range(n):
+            s = r.choice([5.0] * 6 + [-inf, -0.0, *[x / 3 for x in range(-90, 90)]])
+            yield i // 2, s, r.choice([inf, s, s + 0.1, s + 1, s + 1, s + 2.5, s + 40, s + 1e300]), {"m": i // 2}
+
+    a, b = list(made(150)), list(made(170))
+    df, other = (spark.createDataFrame(x, "i int, s double, e double, m map<string,int>").repartition(3) for x in (a, b))
+    good = lambda x: x[1] <= x[2] if closed else x[1] < x[2]
+    meet = lambda x, y: max(x[1], y[1]) <= min(x[2], y[2]) if closed else max(x[1], y[1]) < min(x[2], y[2])
+    want = sorted((x[0], y[0]) for x in a for y in b if good(x) and good(y) and meet(x, y))
+    monkeypatch.setattr(joins, "CELL_ROWS", 4)
+    for cells in (100, 0):
+        monkeypatch.setattr(joins, "BROADCAST_CELLS", cells)
+        assert sorted((x.i, x.i_right) for x in joins.overlap_join(df, other, ("s", "e"), closed=closed).collect()) == want
+
+
+def test_overlaps_with_long_intervals_are_dealt_to_small_cells(spark, tmp_path):
+    """300 intervals over 15,000 others each: no task repeats all of these for each, so that the written pairs repeat what is near."""
+    r = random.Random(8)
+    a = spark.createDataFrame([(r.getrandbits(60), s, s + 15_000) for s in (r.randrange(5000) for _ in range(300))], "i bigint, s int, e int")
+    b = spark.createDataFrame([(r.getrandbits(60), s, s + 1) for s in range(20_000)], "i bigint, s int, e int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joins.overlap_join(a, b, ("s", "e")).select("i", "i_right").write.parquet(str(tmp_path / "pairs"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert spark.read.parquet(str(tmp_path / "pairs")).count() == 300 * 15_000
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 300 * 15_000
+
+
 def test_overlap_of_datetimes(spark):
     at = datetime(2024, 1, 1)
     a = spark.createDataFrame([(1, at, at + timedelta(days=400)), (2, at, at + timedelta(seconds=1))], "i int, s timestamp, e timestamp")
