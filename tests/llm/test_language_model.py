@@ -234,6 +234,44 @@ def test_seating_of_large_dishes(monkeypatch):
     assert 9 < big.mean() < 11 and abs(big.std() / big.mean() - grouped.std() / grouped.mean()) < 0.1
 
 
+def test_large_dishes_start_from_an_exact_draw(monkeypatch):
+    """Their first EXACT customers are one draw instead of a binomial draw for each few, and rare tables are not drawn too often."""
+    a, b, d, seed = 0.02, 0.01, 0.7, np.random.default_rng(4).integers(0, 2**63, 40_000).astype(np.uint64)
+    draw = lambda c: lm.Seating(d).draw(np.full(40_000, c), np.full(40_000, a), np.full(40_000, b), seed)
+    calls, binomial = [], lm._binomial
+    monkeypatch.setattr(lm, "_binomial", lambda *x: calls.append(1) or binomial(*x))
+    grouped = draw(100)
+    assert 0 < len(calls) <= 8
+    assert draw(lm.EXACT + 1).mean() - draw(lm.EXACT).mean() < 0.01
+    monkeypatch.setattr(lm, "EXACT", 100)
+    exact = draw(100)
+    assert abs(grouped.mean() - exact.mean()) < 0.05
+
+
+def test_a_sweep_goes_on_from_the_tables_before(monkeypatch):
+    """Each sweep draws a dish once and needs only what the sweep before sent; the sums are those of all sweeps done again."""
+    texts = ["a b c a b d e a a " * 40] * 5 + TINY
+    model, _, _, back = local(texts, lm.SWEEPS)
+    gathered = lm._Gathered()
+    for i, t in enumerate(texts):
+        gathered.add(i, t, True)
+    run = lambda f, rows: f(pa.Table.from_batches([lm._batch([tuple(r.values()) for r in rows])])).to_pylist()
+    of = lambda rows, kind: [r for r in rows if r["kind"] == kind]
+    block = dict(zip(lm._NAMES, gathered.row(0)))
+    first = [*of(run(lm._owned, [block, *of(back, lm._WORDS), *of(back, lm._PAIRS)]), lm._DISHES), *of(back, lm._WORDS)]
+    drawn, draw = [], lm.Seating.draw
+    monkeypatch.setattr(lm.Seating, "draw", lambda self, c, *x: drawn.append(len(c)) or draw(self, c, *x))
+    tables = []
+    for s in range(lm.SWEEPS):
+        seated = lm._seated_dishes(model, s)
+        again = of(run(seated, [*first, *of(back, lm._BACK)]), lm._SUMS)
+        drawn.clear()
+        sent = run(seated, [*first, *tables, *[r for r in of(back, lm._BACK) if r["sweep"] == s - 1]])
+        assert len(drawn) == 1 and of(sent, lm._SUMS) == again
+        tables = of(sent, lm._TABLES)
+        assert len(tables) == 1 and lm.unpack(tables[0]["a"], "<u4").max() > 1
+
+
 def test_packed_arrays():
     r = np.random.default_rng(0)
     for kind in ("<u4", "<i8", "<u8"):

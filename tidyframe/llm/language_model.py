@@ -4,16 +4,16 @@ Each token is seated in the restaurant of the word before it, or of the start of
 restaurants share one parent, whose base is uniform over the vocabulary and one unknown word. A
 Gibbs step takes all customers of a dish (context, word) out of its restaurant and seats them
 again given everybody else's tables: the number of their tables is drawn from its conditional
-distribution (Chinese restaurants by generalised Stirling numbers); those of over EXACT customers
-are seated one after another, in groups of a quarter of the seated, each a binomial draw at the
-chances in the middle of the group. Every table sends a customer to the parent, which is seated likewise. Tables start at one a dish; the first sweep is
+distribution (Chinese restaurants by generalised Stirling numbers); of over EXACT customers
+the first EXACT so, the others one after another, in groups of a quarter of the seated, each a
+binomial draw at the chances in the middle of the group. Every table sends a customer to the parent, which is seated likewise. Tables start at one a dish; the first sweep is
 left out, and predictive probabilities are averaged over the others. Discounts come from the
 numbers of dishes seen once and twice.
 
 How it runs. Documents are gathered into blocks of about BLOCK_TOKENS tokens. A block sends its
 distinct words to partitions by word and its distinct pairs to partitions by pair, as packed
 arrays, and gets back what the whole corpus knows of them: counts, and which block of several
-owns a pair. In each sweep a block seats the dishes it owns and sends its tables' sums by word; the
+owns a pair. In each sweep a block seats the dishes it owns, from the tables that the sweep before left, and sends its tables' sums by word; the
 word partitions add them up, seat the parent and send back each block's own words. Draws are made
 of hashes of the dish, the sweep and the group alone, so that any block repeats them: texts are
 scored by the very tables that the restaurants' totals hold, and probabilities sum to one. Nothing but a few sums goes
@@ -23,6 +23,7 @@ number follows the corpus.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -50,7 +51,7 @@ _ODD = 0x9E3779B97F4A7C15
 
 #: Rows of every table and exchange here; a to d hold packed arrays that each kind explains.
 ROW = "kind int, block bigint, p int, sweep int, a binary, b binary, c binary, d binary, x array<double>"
-_BLOCK, _WORDS, _PAIRS, _DISHES, _SUMS, _STATE, _BACK = range(7)
+_BLOCK, _WORDS, _PAIRS, _DISHES, _SUMS, _STATE, _BACK, _TABLES = range(8)
 _TYPES = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()))
 _NAMES = [c.split(" ")[0] for c in ROW.split(", ")]
 
@@ -122,25 +123,33 @@ class Seating:
     def draw(self, customers: np.ndarray, first: np.ndarray, more: np.ndarray, seed: np.ndarray) -> np.ndarray:
         """Tables of each dish, drawn by its ``seed``; a new one weighs ``first``, and ``more`` with each that the dish has by then."""
         tables = np.minimum(customers, 1).astype(np.float64)
-        several = np.flatnonzero(customers > 1)
-        order = several[np.argsort(customers[several], kind="stable")]
-        small = order[: np.searchsorted(customers[order], EXACT, side="right")]
-        sizes, starts = np.unique(customers[small], return_index=True)
-        for c, s, e in zip(sizes.tolist(), starts.tolist(), [*starts[1:].tolist(), len(small)]):
+        at_once = np.minimum(customers, EXACT).astype(np.uint16)
+        order = np.argsort(at_once, kind="stable")
+        ends = np.searchsorted(at_once[order], np.arange(EXACT + 1), side="right").tolist()
+        for c in range(2, EXACT + 1):
             step = max(1, WEIGHTS // c)
-            for i in range(s, e, step):
-                own = small[i : min(e, i + step)]
-                weight = np.cumprod(first[own, None] + more[own, None] * np.arange(c), axis=1)
-                weight *= self.ways[c, 1 : c + 1]
-                weight = np.cumsum(weight, axis=1)
-                tables[own] = 1 + (weight[:, :-1] < _uniform(_mixed(seed[own]))[:, None] * weight[:, -1:]).sum(axis=1)
-        large = order[len(small) :][::-1]
-        tables[large] = self._in_groups(customers[large], first[large], more[large], seed[large])
+            for i in range(ends[c - 1], ends[c], step):
+                own = order[i : min(ends[c], i + step)]
+                tables[own] = self._at_once(c, first[own], more[own], seed[own])
+        large = np.flatnonzero(customers > EXACT)
+        large = large[np.argsort(-customers[large], kind="stable")]
+        tables[large] = self._in_groups(customers[large], tables[large], first[large], more[large], seed[large])
         return tables
 
-    def _in_groups(self, customers: np.ndarray, first: np.ndarray, more: np.ndarray, seed: np.ndarray) -> np.ndarray:
-        """Tables of dishes, the largest first, whose customers come in groups of a quarter of those seated."""
-        tables, seated, groups = np.ones(len(customers)), 1, 0
+    def _at_once(self, c: int, first: np.ndarray, more: np.ndarray, seed: np.ndarray) -> np.ndarray:
+        """Tables of c customers each: one inverse draw over all numbers of tables."""
+        weight, upto = first, [first * self.ways[c, 1]]
+        for k in range(1, c):
+            weight = weight * (first + more * k)
+            upto.append(upto[-1] + weight * self.ways[c, k + 1])
+        goal, tables = _uniform(_mixed(seed)) * upto[-1], np.ones(len(first))
+        for x in upto[:-1]:
+            tables += x < goal
+        return tables
+
+    def _in_groups(self, customers: np.ndarray, tables: np.ndarray, first: np.ndarray, more: np.ndarray, seed: np.ndarray) -> np.ndarray:
+        """Tables of dishes, the largest first, whose customers after the first EXACT come in groups of a quarter of those seated."""
+        seated, groups = EXACT, 0
         while n := int(np.searchsorted(-customers, -seated)):
             group = np.minimum(max(1, seated // 4), customers[:n] - seated)
             t, half = tables[:n], (group - 1) / 2
@@ -168,8 +177,8 @@ def _binomial(n: np.ndarray, p: np.ndarray, seed: np.ndarray) -> np.ndarray:
     chance = np.exp(m * np.log1p(-p[left]))
     below, at = chance.copy(), 0
     while True:
-        more = (u_left > below) & (at < m)
-        if not more.any():
+        more = np.flatnonzero((u_left > below) & (at < m))
+        if not len(more):
             break
         left, u_left, m, odds, chance, below = (x[more] for x in (left, u_left, m, odds, chance, below))
         at += 1
@@ -201,12 +210,12 @@ class Model:
         first = (ROOT_CONCENTRATION + self.root_discount * np.maximum(self.sums[sweep - 1][1] - before, 0.0)) * self.base
         return seating.draw(customers, first, np.full(len(ids), self.root_discount * self.base), _mixed(ids * np.uint64(_ODD) + np.uint64(sweep + 2)))
 
-    def seat(self, upto: int, u: np.ndarray, w: np.ndarray, c: np.ndarray, known: _Known) -> Iterator[np.ndarray]:
-        """Tables of dishes (u, w) with c customers after sweeps 0 to ``upto``: the same in every block."""
+    def seat(self, upto: int, u: np.ndarray, w: np.ndarray, c: np.ndarray, known: _Known, start: int = 0, t: np.ndarray | None = None) -> Iterator[np.ndarray]:
+        """Tables of dishes (u, w) with c customers after sweeps ``start`` to ``upto``, before which they are t (one a dish): the same in every block."""
         ids, tables, parents, seating = known.ids, known.tables, known.parents, Seating(self.discount)
-        t = np.minimum(c, 1)
+        t = np.minimum(c, 1) if t is None else t
         name = _mixed(ids[u] * np.uint64(_ODD) + ids[w])
-        for sweep in range(upto + 1):
+        for sweep in range(start, upto + 1):
             p = parents[sweep - 1][w]
             first = (CONCENTRATION + self.discount * np.maximum(tables[sweep - 1][u] - t, 0)) * p
             t = seating.draw(c, first, self.discount * p, _mixed(name + np.uint64(sweep + 1)))
@@ -230,17 +239,16 @@ class _Gathered:
     """Tokens of some documents as numbers of their distinct words."""
 
     def __init__(self):
-        self.words: dict[bytes, int] = {START: 0}
+        self.words: dict[bytes, int] = defaultdict(None, {START: 0})
+        self.words.default_factory = self.words.__len__  # a new word's number
         self.ids: list[np.ndarray] = []
         self.docs: list[int | None] = []
         self.learn: list[bool] = []
         self.size = 0
 
     def add(self, doc: int | None, text: str | None, learn: bool) -> None:
-        split, words = tokens(text), self.words
-        for w in set(split).difference(words):
-            words[w] = len(words)
-        self.ids.append(np.fromiter(map(words.__getitem__, split), np.int32, len(split)))
+        split = tokens(text)
+        self.ids.append(np.fromiter(map(self.words.__getitem__, split), np.int32, len(split)))
         self.docs.append(doc)
         self.learn.append(learn)
         self.size += len(split)
@@ -431,10 +439,8 @@ class _Known:
                 self.tables.setdefault(sweep, np.zeros(words, np.int64))[at] = unpack(r["a"], "<i8")
                 both = root.setdefault(sweep, np.zeros((2, words), np.int64))
                 both[0, at], both[1, at] = unpack(r["b"], "<i8"), unpack(r["c"], "<i8")
-        for sweep in range(-1, max(root, default=-1) + 1) if model else ():
-            zero = np.zeros((2, words), np.int64)
-            self.tables.setdefault(sweep, zero[0])
-            self.parents[sweep] = model.parent(sweep, *root.get(sweep, zero))
+        for sweep in root if model else ():
+            self.parents[sweep] = model.parent(sweep, *root[sweep])
 
     def sums(self, block: int, sweep: int, of_context: np.ndarray, of_word: np.ndarray) -> list[tuple]:
         """a: places in the partition; b, c: sums of its words as contexts and as words."""
@@ -466,22 +472,27 @@ def _owned(table: pa.Table) -> pa.Table:
 
 
 def _seated_dishes(model: Model, sweep: int) -> Callable[[pa.Table], pa.Table]:
-    """Of a block: by word the tables beyond one of each dish it owns, after the sweep."""
+    """Of a block: by word the tables beyond one of each dish it owns, after the sweep; and the dishes' tables (a), from which the next one goes on.
+
+    Without tables of the sweep before, all sweeps are done again.
+    """
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         row = next(r for r in rows if r["kind"] == _DISHES)
         words = int(row["x"][2])
         known = _Known(rows, words, model)
         u, w, c = unpack(row["a"], "<u4").astype(np.int64), unpack(row["b"], "<u4").astype(np.int64), unpack(row["c"], "<i8")
-        *_, t = model.seat(sweep, u, w, c, known)
+        before = {r["sweep"]: unpack(r["a"], "<u4").astype(np.float64) for r in rows if r["kind"] == _TABLES}.get(sweep - 1)
+        *_, t = model.seat(sweep, u, w, c, known, 0 if before is None else sweep, before)
         of = lambda x: np.bincount(x, t - 1, words).astype(np.int64)
-        return pa.Table.from_batches([_batch(known.sums(row["block"], sweep, of(u), of(w)))])
+        kept = _row(_TABLES, row["block"], known.parts[row["block"] % len(known.parts)]["p"], sweep, a=pack(t.astype("<u4")))
+        return pa.Table.from_batches([_batch([kept, *known.sums(row["block"], sweep, of(u), of(w))])])
 
     return run
 
 
 def _seated_words(model: Model | None, sweep: int) -> Callable[[pa.Table], pa.Table]:
-    """Of a word partition: its state (a: tables as context, b: customers and c: tables in the parent), x: the parent's customers, tables, words of one and of two customers; and each block's words of it."""
+    """Of a word partition: its state (a: tables as context, b: customers and c: tables in the parent), x: the parent's customers, tables, words of one and of two customers; and each block's words of it. Blocks' tables pass unchanged."""
     def run(table: pa.Table) -> pa.Table:
         rows = _by_block(table)
         sent, states = [r for r in rows if r["kind"] == _SUMS], {r["sweep"]: r for r in rows if r["kind"] == _STATE}
@@ -501,7 +512,7 @@ def _seated_words(model: Model | None, sweep: int) -> Callable[[pa.Table], pa.Ta
         sums = [float(x) for x in (customers.sum(), tables.sum(), (customers == 1).sum(), (customers == 2).sum())]
         state = _row(_STATE, p=rows[0]["p"], sweep=sweep, a=pack(context), b=pack(customers), c=pack(tables), x=sums)
         back = [_row(_BACK, r["block"], r["p"], sweep, a=pack(context[at]), b=pack(customers[at]), c=pack(tables[at])) for r, at in zip(sent, places)]
-        return pa.Table.from_batches([_batch([state, *back])])
+        return pa.Table.from_batches([_batch([state, *back, *[tuple(r.values()) for r in rows if r["kind"] == _TABLES]])])
 
     return run
 
@@ -570,8 +581,9 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     own = _sums(state.filter(F.col("kind") == _STATE), 4)
     model = Model(int(total), int(vocabulary), _discount(*_sums(dishes, 2)), _discount(own[2], own[3]))
     model.sums[-1] = own[0], own[1]
+    after = state
     for sweep in range(SWEEPS):
-        of_blocks = _together(dishes, known, state.filter(F.col("kind") == _BACK)).groupBy("block").applyInArrow(_seated_dishes(model, sweep), ROW)
+        of_blocks = _together(dishes, known, after.filter(F.col("kind").isin(_BACK, _TABLES))).groupBy("block").applyInArrow(_seated_dishes(model, sweep), ROW)
         held = state.filter((F.col("kind") == _STATE) & F.col("sweep").isin(-1, sweep - 1))
         after = _written(_together(of_blocks, held).groupBy("p").applyInArrow(_seated_words(model, sweep), ROW), f"sweep{sweep}")
         own = _sums(after.filter(F.col("kind") == _STATE), 2)
