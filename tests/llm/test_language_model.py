@@ -272,6 +272,22 @@ def test_a_sweep_goes_on_from_the_tables_before(monkeypatch):
         assert len(tables) == 1 and lm.unpack(tables[0]["a"], "<u4").max() > 1
 
 
+def test_what_is_sent_back_meets_one_array_a_sweep(monkeypatch):
+    """However many partitions send it: the work of a block is not its words times the partitions."""
+    at = lambda p: np.arange(p, 60, 20)
+    rows = [lm._row(lm._WORDS, 0, p, a=lm.pack(at(p).astype("<u4")), b=lm.pack_sorted(np.arange(3, dtype="<u4")), c=lm.pack(at(p))) for p in range(20)]
+    rows += [lm._row(lm._BACK, 0, p, s, *[lm.pack(at(p) + 100 * s + i) for i in range(3)]) for p in range(20) for s in range(3)]
+    made, zeros = [], np.zeros
+    monkeypatch.setattr(lm.np, "zeros", lambda *x: made.append(x) or zeros(*x))
+    model = lm.Model(10, 60, 0.5, 0.5)
+    model.sums = {s: (1.0, 1.0) for s in range(-1, 3)}
+    known = lm._Known([dict(zip(lm._NAMES, r)) for r in rows], 60, model)
+    assert len(made) <= 2 + 2 * 3 and known.n.tolist() == list(range(60))
+    for s in range(3):
+        assert known.tables[s].tolist() == [100 * s + i for i in range(60)]
+        assert np.allclose(known.parents[s], model.parent(s, known.tables[s] + 1, known.tables[s] + 2))
+
+
 def test_packed_arrays():
     r = np.random.default_rng(0)
     for kind in ("<u4", "<i8", "<u8"):

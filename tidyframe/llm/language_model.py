@@ -84,12 +84,18 @@ def swell(data: bytes) -> bytes:
 def pack(values: np.ndarray) -> bytes:
     """A number array in few bytes: byte planes, compressed."""
     v = np.ascontiguousarray(values)
-    return squeeze(v.view(np.uint8).reshape(len(v), v.dtype.itemsize).T.tobytes())
+    planes = np.empty((v.dtype.itemsize, len(v)), np.uint8)
+    for i, plane in enumerate(planes):
+        plane[:] = v.view(np.uint8)[i :: len(planes)]
+    return squeeze(planes.tobytes())
 
 
 def unpack(data: bytes, kind: str) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(swell(data), np.uint8).reshape(width, -1).T).view(kind).ravel()
+    planes = np.frombuffer(swell(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    v = np.empty(planes.shape[1], kind)
+    for i, plane in enumerate(planes):
+        v.view(np.uint8)[i :: len(planes)] = plane
+    return v
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
@@ -436,9 +442,9 @@ class _Known:
         for r in rows:
             if r["kind"] == _BACK:
                 at, sweep = self.at[r["p"]], r["sweep"]
-                self.tables.setdefault(sweep, np.zeros(words, np.int64))[at] = unpack(r["a"], "<i8")
-                both = root.setdefault(sweep, np.zeros((2, words), np.int64))
-                both[0, at], both[1, at] = unpack(r["b"], "<i8"), unpack(r["c"], "<i8")
+                if sweep not in root:
+                    self.tables[sweep], root[sweep] = np.zeros(words, np.int64), np.zeros((2, words), np.int64)
+                self.tables[sweep][at], root[sweep][0, at], root[sweep][1, at] = (unpack(r[x], "<i8") for x in "abc")
         for sweep in root if model else ():
             self.parents[sweep] = model.parent(sweep, *root[sweep])
 
