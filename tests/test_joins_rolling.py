@@ -124,6 +124,42 @@ def test_overlaps_with_long_intervals_are_dealt_to_small_cells(spark, tmp_path):
     assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 300 * 15_000
 
 
+def test_overlaps_of_many_left_rows_are_dealt_to_many_tasks(spark, monkeypatch):
+    """20,000 rows at one moment meet 10 others: their pairs are no one task's."""
+    for c, n in {"CELL_LEFT_ROWS": 500, "TASK_PAIRS": 10_000}.items():
+        monkeypatch.setattr(joins, c, n, raising=False)
+    a = spark.range(20_000).select(F.col("id").alias("i"), F.lit(5).alias("s"), F.lit(7).alias("e"))
+    b = spark.range(12).select(F.col("id").alias("i"), F.col("id").cast("int").alias("s"), F.lit(20).alias("e")).filter("s <> 7")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = joins.overlap_join(a, b, ("s", "e"), closed=True).select("i", "i_right", F.spark_partition_id().alias("p"))
+        sizes = [x["count"] for x in got.filter("i_right < 7").groupBy("p").count().collect()]
+        assert got.filter("i_right < 7").select("i", "i_right").distinct().count() == sum(sizes) == got.count() == 140_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(sizes) >= 8 and max(sizes) < 50_000
+
+
+@pytest.mark.parametrize("closed", [False, True])
+def test_overlaps_by_chunks_and_runs(spark, monkeypatch, closed):
+    """Runs of equal bounds, chunks that a left row meets wholly, in part and not; left and right blocks, many tasks."""
+    r = random.Random(9)
+
+    def made(n):
+        for i in range(n):
+            s = r.choice([3, 3, 3, 4, *range(40)])
+            yield i, r.choice(["x", "x", "y", None]), s, s + r.choice([1, 2, 2, 2, 9, 30])
+
+    a, b = list(made(160)), list(made(190))
+    df, other = (spark.createDataFrame(x, "i int, k string, s int, e int").repartition(3) for x in (a, b))
+    meet = lambda x, y: max(x[2], y[2]) <= min(x[3], y[3]) if closed else max(x[2], y[2]) < min(x[3], y[3])
+    want = sorted((*x, y[0], *y[2:]) for x in a for y in b if x[1] is not None and x[1] == y[1] and meet(x, y))
+    for sizes in ({"CHUNK_ROWS": 5, "RUN_ROWS": 3, "CELL_ROWS": 40, "CELL_LEFT_ROWS": 20, "TASK_PAIRS": 1000}, {"CHUNK_ROWS": 4, "RUN_ROWS": 1000}):
+        for c, n in sizes.items():
+            monkeypatch.setattr(joins, c, n, raising=False)
+        assert sorted(map(tuple, joins.overlap_join(df, other, ("s", "e"), by=["k"], closed=closed).collect())) == want
+
+
 def test_overlap_of_datetimes(spark):
     at = datetime(2024, 1, 1)
     a = spark.createDataFrame([(1, at, at + timedelta(days=400)), (2, at, at + timedelta(seconds=1))], "i int, s timestamp, e timestamp")
